@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality
+from . import bpe, chat, jaccard, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings; figures are read back from the formatted text."""
+    ok = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {ok} AS text UNION ALL SELECT -7L, 1L, 'assistant', {ok}")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    messages = chat.rows_to_turns(rows)
+    back = chat.read_back(chat.format_turns(chat.to_turns(messages)))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    per_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(per_turn).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        digest(learnt).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -32,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op6_bpe, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op6_bpe, op7_chat, op8_mixing, op10_quality)}
 
 
 OP8_SQL = """
@@ -51,14 +71,37 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN water * w < cap THEN water * w ELSE CAST(cap AS DOUBLE) END AS target FROM l CROSS JOIN h
 ), k AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS k,
     CAST(CAST('0x' || substr(md5('cytoframe-mix|' || coalesce('s' || d.source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), c AS (SELECT *, CAST(least(floor(rate * k + u) - floor(rate * (k - 1) + u), ceil(rate)) AS BIGINT) AS copies FROM k)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+), o AS (
+  SELECT k.*, i, u + i / 32.0::DOUBLE - floor(u + i / 32.0::DOUBLE) AS v FROM k CROSS JOIN (SELECT unnest(range(32)) AS i) x
+), c AS (
+  SELECT *, CAST(least(floor(rate * k + v) - floor(rate * (k - 1) + v), ceil(rate)) AS BIGINT) AS copies FROM o
+), g AS (SELECT source, i, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, i
+), b AS (SELECT source, i FROM (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY gap, i) AS n FROM g) y WHERE n = 1)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c JOIN b ON c.i = b.i AND c.source IS NOT DISTINCT FROM b.source
+"""
+
+
+_CONTROL = r"(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|\|im_sep\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)"
+OP7_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(text, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))
+    + length(replace(replace(regexp_replace(role, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'), '%', '%25'), chr(10), '%0A')) + 24 AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL}
