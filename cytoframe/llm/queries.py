@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, quality
+from . import bpe, chat, coder, jaccard, lengths, lm, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files, reads them back, and describes each document from what it read."""
+    path = coder.new_path(spark)
+    coder.write_ids(table(spark, sf_dir, "documents"), path)
+    before = coder.starts(spark, path)
+    docs = coder.read_ids(spark, path).select("shard", "segment", "doc_id", "n_tokens", "in_segment", F.crc32("ids").alias("ids_crc32"))
+    return docs.join(before, ["shard", "segment"]).select("doc_id", (F.col("before") + F.col("in_segment")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_histogram(lengths.token_lengths(table(spark, sf_dir, "documents")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bpe.encoded_and_decoded(table(spark, sf_dir, "documents"))
     return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -47,12 +60,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op6_bpe, op7_chat, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_ids, op4_length_histogram, op6_bpe, op7_chat, op8_mixing, op9_brown_lm, op10_quality)}
 
 
 OP8_SQL = """
