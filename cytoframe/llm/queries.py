@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, coder, jaccard, lengths, lm, mixing, quality
+from . import bpe, chat, coder, html, jaccard, lengths, lm, mixing, nndescent, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files, reads them back, and describes each document from what it read."""
     path = coder.new_path(spark)
@@ -31,6 +35,10 @@ def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bpe.encoded_and_decoded(table(spark, sf_dir, "documents"))
     return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -69,7 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_token_ids, op4_length_histogram, op6_bpe, op7_chat, op8_mixing, op9_brown_lm, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_nn_descent, op3_token_ids, op4_length_histogram, op5_html_main_text, op6_bpe, op7_chat, op8_mixing, op9_brown_lm, op10_quality)}
 
 
 OP8_SQL = """
