@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -44,7 +45,7 @@ class WordBpe:
     of a path down to all words below it.
     """
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], {c: b for b, c in enumerate(byte_letters())}
@@ -70,6 +71,12 @@ class WordBpe:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.word_memo: dict[bytes, bytes] = {}
+        # The trie: node and letter to the node below, and each node's state.
+        self.child: dict[int, int] = {}
+        self.state = [-1]
+        self.nodes = 2 * bound
+        self.width = {i: len(raw) for i, (raw, _) in self.parts.items()}
         self.bound = bound
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -106,48 +113,54 @@ class WordBpe:
             known = self.whole_memo[a] = self.merged(self.symbols(a)) == [a]
         return known
 
-    def last_token(self, path: bytes | bytearray, last: list[int], tokens: dict[bytes, int]) -> int:
-        """The state at the end of ``path``: longest first, the token that ends there and stays apart from the state before it."""
-        n = len(path)
-        first = max(0, n - self.longest)
-        tail = bytes(path[first:])
-        for start in range(first, n):
-            t = tokens.get(tail[start - first :])
-            if t is not None and (self.apart(last[start], t) if start else self.whole(t)):
-                return t
+    def last_token(self, path: bytes, last: list[int], tokens: dict[bytes, int]) -> int:
+        """The state at the end of ``path`` (its last letters do), given the states at all depths before: the one token that ends there and stays apart from the state before it, short ones first."""
+        n = len(last)
+        tail = path[-self.longest :]
+        size = len(tail)
+        memo = self.apart_memo
+        for start in range(size - 1, -1, -1):
+            t = tokens.get(tail[start:])
+            if t is not None:
+                at = n - size + start
+                if at:
+                    ok = memo.get((last[at], t))
+                    if ok is None:
+                        ok = self.apart(last[at], t)
+                else:
+                    ok = self.whole(t)
+                if ok:
+                    return t
         raise ValueError("the vocabulary has no token for a byte")
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Token ids of each distinct non-empty word."""
-        root: dict = {}
-        for w in words:  # a word stands, under the key -1, at the node of all but its last letter
-            node = root
-            for letter in w[:-1]:
-                node = node.setdefault(letter, {})
-            node.setdefault(-1, []).append(w)
-        out: dict[bytes, list[int]] = {}
-        path, last = bytearray(), [-1]
-        stack: list[tuple[int, int, dict]] = [(0, -1, root)]
-        while stack:
-            depth, letter, node = stack.pop()
-            if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(letter)
-                last.append(self.last_token(path, last, self.inner))
-            for key, below in node.items():
-                if key >= 0:
-                    stack.append((depth + 1, key, below))
-                    continue
-                for w in below:
-                    ids, at = [], len(w)
-                    t = self.last_token(w, last, self.final)
-                    while True:
-                        ids.append(t)
-                        at -= len(self.parts[t][0])
-                        if not at:
-                            break
-                        t = last[at]
-                    out[w] = ids[::-1]
+        """Token ids of each distinct non-empty word.
+
+        Words enter the trie in sorted order, which visits it depth first: a word walks down to where it leaves the
+        words before it, and only from there on are states computed.  The trie stays for later words, up to its bound.
+        """
+        if len(self.state) > self.nodes:
+            self.child.clear()
+            self.state = [-1]
+        child, state, out = self.child, self.state, {}
+        for w in sorted(words):
+            node, last = 0, [-1]
+            for depth, letter in enumerate(w[:-1], 1):
+                key = node << 8 | letter
+                below = child.get(key)
+                if below is None:
+                    state.append(self.last_token(w[:depth] if depth <= self.longest else w[depth - self.longest : depth], last, self.inner))
+                    below = child[key] = len(state) - 1
+                node = below
+                last.append(state[node])
+            ids, at, t = [], len(w), self.last_token(w, last, self.final)
+            while True:
+                ids.append(t)
+                at -= self.width[t]
+                if not at:
+                    break
+                t = last[at]
+            out[w] = ids[::-1]
         return out
 
     def split(self, chunk: str) -> list[bytes]:
@@ -162,9 +175,16 @@ class WordBpe:
     def encode_chunks(self, chunks: set[str]) -> None:
         """Put the id bytes of new chunks into the memo."""
         split = {c: self.split(c) for c in chunks}
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in self.encode_words({w for ws in split.values() for w in ws}).items()}
+        words = {w for ws in split.values() for w in ws}
+        new = words - self.word_memo.keys()
+        if len(self.word_memo) + len(new) > self.bound:
+            self.word_memo.clear()
+            new = words
+        known = self.word_memo
+        for w, x in self.encode_words(new).items():
+            known[w] = struct.pack(f"<{len(x)}I", *x)
         for c, ws in split.items():
-            self.memo[c] = b"".join([ids[w] for w in ws])
+            self.memo[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
@@ -197,8 +217,8 @@ def _mapped(df: DataFrame, column: str, out: str, kind: pa.DataType, of: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary or default_vocabulary())
         for b in batches:
-            for at in range(0, b.num_rows, 128):  # a few texts at a time, so memory stays small
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 512):  # a few texts at a time, so memory stays small
+                part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of(e, part.column(1).to_pylist()), kind)], names=["doc_id", out])
 
     return df.mapInArrow(run, f"doc_id long, {out} {'binary' if kind == pa.binary() else 'string'}")
@@ -226,8 +246,8 @@ def encoded_and_decoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary or default_vocabulary())
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 ids = e.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
