@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_path(s: pd.Series) -> pd.Series:
     """Composed, folded in case, white space as single spaces."""
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFC", v).split()).casefold())
