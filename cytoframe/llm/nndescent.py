@@ -27,7 +27,7 @@ ROUNDS, TRIES = 2, 3
 #: The audit: so many nodes at most, compared with all; the search goes on below this recall.
 AUDIT, RECALL = 1000, 0.99
 #: Nodes of a component in one chunk of the exact count.
-CHUNK = 2048
+CHUNK = 512
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
