@@ -157,6 +157,13 @@ LEFT JOIN kn k ON p.session_id = k.session_id AND p.t_max_sampled >= k.t0 AND (p
         "q_semi": "SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)",
         "q_nearest_frame": "WITH t AS (SELECT * FROM events WHERE event_type = 'purchase'), f AS (SELECT * FROM events WHERE event_type <> 'purchase'), j AS (SELECT t.event_id AS target_id, f.event_id AS path, abs(epoch_us(f.ts) - epoch_us(t.ts)) / 60e6 AS d FROM t LEFT JOIN f ON t.user_id = f.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d NULLS LAST, path) AS n FROM j) SELECT target_id, CASE WHEN d <= 720 THEN path END AS path, CASE WHEN d <= 720 THEN round(d, 6) END AS distance_min FROM r WHERE n = 1",
         "q_acquisition_order": "WITH o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS acquisition_order FROM events), f AS (SELECT *, min(acquisition_order) OVER (PARTITION BY user_id, event_type) AS first FROM o) SELECT event_id, acquisition_order, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS timepoint FROM f",
+        "q_scale_diagnostics": "WITH p AS (SELECT l_suppkey, l_extendedprice / 1000 AS i, l_quantity AS m FROM lineitem), f AS (SELECT l_suppkey, count(*) AS n, sum(i * m) / sum(m * m) AS scale, regr_slope(i, m) AS slope, regr_intercept(i, m) AS intercept FROM p GROUP BY 1) SELECT l_suppkey, n, round(scale, 6) AS scale, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(sqrt(avg((i - scale * m) * (i - scale * m))), 6) AS rmse_origin, round(sqrt(avg((i - slope * m - intercept) * (i - slope * m - intercept))), 6) AS rmse_affine FROM p JOIN f USING (l_suppkey) GROUP BY l_suppkey, n, scale, slope, intercept",
+        "q_prior_density": f"WITH {_GRID}, d AS (SELECT dose_uM, coalesce((lead(dose_uM) OVER (ORDER BY dose_uM) + dose_uM) / 2, 200) - coalesce((lag(dose_uM) OVER (ORDER BY dose_uM) + dose_uM) / 2, 0) AS w FROM (SELECT DISTINCT dose_uM FROM g)), t AS (SELECT time_h, coalesce((lead(time_h) OVER (ORDER BY time_h) + time_h) / 2, 4) - coalesce((lag(time_h) OVER (ORDER BY time_h) + time_h) / 2, 0) AS v FROM (SELECT DISTINCT time_h FROM g)) SELECT dose_uM, time_h, round(w * v / sum(w * v) OVER (), 6) AS prior FROM d CROSS JOIN t",
+        "q_sessions": _from_cells("SELECT DISTINCT session_id, day, stressor, strain FROM annotated"),
+        "q_quality_fold": _from_cells("SELECT cell_id, NOT (sat_flag OR edge_flag OR timepoint = 7 OR acquisition_order >= 2) AS qc_pass, concat_ws(';', CASE WHEN sat_flag THEN 'saturation' END, CASE WHEN edge_flag THEN 'border' END, CASE WHEN timepoint = 7 THEN 'lamp_warmup' END, CASE WHEN acquisition_order >= 2 THEN 'registration' END) AS qc_reasons FROM cells"),
+        "q_event_windows": "SELECT CAST(epoch_us(ts) // 21600000000 AS BIGINT) * 21600 AS start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+        "q_event_sessions": "WITH b AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b) SELECT user_id, min(t) AS start_us, count(*) AS n FROM r GROUP BY user_id, run",
+        "q_field_counts": _from_cells("SELECT session_id, condition_id, sample_id, count(*) AS n_cells, count(*) FILTER (ok) AS n_usable, round(sum(corrected_mean_green) FILTER (ok), 6) AS sum_green, round(sum(corrected_mean_red) FILTER (ok), 6) AS sum_red FROM annotated GROUP BY 1, 2, 3"),
     }
 
 

@@ -402,11 +402,62 @@ def q_decode_culture(spark, sf_dir):
     return classify.decode(new, trained).drop("p", "doses", "time_p")
 
 
+def q_scale_diagnostics(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 1000).alias("i"), "l_quantity")
+    return rounded(stats.scale_diagnostics(li, ["l_suppkey"], "i", "l_quantity"))
+
+
+def q_prior_density(spark, sf_dir):
+    return rounded(grids.prior_masses(grid(spark), "uniform_density", dose_bounds=(0.0, 200.0), time_bounds=(0.0, 4.0)).select("dose_uM", "time_h", "prior"))
+
+
+def q_sessions(spark, sf_dir):
+    from ..sources.tables import sessions
+
+    return sessions(cells(spark, sf_dir))
+
+
+def q_quality_fold(spark, sf_dir):
+    c = cells(spark, sf_dir).withColumns({"lamp_flag": F.col("timepoint") == 7, "registration_ok": F.col("acquisition_order") < 2})
+    return summary.quality_fold(c).select("cell_id", "qc_pass", "qc_reasons")
+
+
+def q_event_windows(spark, sf_dir):
+    from ..streaming.windows import event_windows
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = event_windows(e, "ts", ["event_type"], "value", length="6 hours")
+    return rounded(w.select(F.unix_seconds("window_start").alias("start_s"), "event_type", "n", "total"))
+
+
+def q_event_sessions(spark, sf_dir):
+    from ..streaming.windows import sessions
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, "ts", ["user_id"], gap="6 hours").select("user_id", F.unix_micros("session_start").alias("start_us"), "n")
+
+
+def q_field_counts(spark, sf_dir):
+    from ..streaming.windows import field_counts
+
+    return rounded(field_counts(cells(spark, sf_dir)))
+
+
+def q_model_robustness(spark, sf_dir):
+    from . import robustness
+
+    g = grids.prior_masses(grid(spark).withColumn("green", F.col("green") - 0.1), "uniform_grid")
+    truths = g.select(F.monotonically_increasing_id().alias("truth_id"), "artifact_id", "dose_uM", "time_h", "ratio", F.col("green").alias("green_norm"))
+    o = robustness.trials(truths, 4, 0.1, 0.1)
+    return robustness.evaluate(g, o, (0.01, 0.0, 0.01))
+
+
 QUERIES: tuple[Query, ...] = (
     q_annotate, q_usable, q_per_second, q_baseline, q_baseline_diagnostics, q_subtract_baseline, q_field_summaries, q_timecourse, q_thresholds, q_reporter_positive, q_field_features,
     q_sample_points, q_imaging_times, q_population_summary, q_manual_review, q_saturation_impact, q_reason_counts, q_interp_inside, q_interp_flat, q_paired_features, q_effects, q_peaks, q_excess,
     q_bh, q_credible_set, q_mass_region, q_intervals, q_cell_widths, q_not_increasing, q_late_drift, q_linear_fit, q_session_scale, q_pooled_covariance, q_class_fits, q_lodo, q_lodo_scores,
     q_time_windows, q_snapshot_grid, q_grid_posterior, q_dose_grid, q_continuous_dose, q_joint_dose_time, q_rejected, q_semi, q_nearest_frame, q_acquisition_order,
+    q_scale_diagnostics, q_prior_density, q_sessions, q_quality_fold, q_event_windows, q_event_sessions, q_field_counts, q_model_robustness,
     q_induction_bootstrap, q_peak_bootstrap, q_assignment, q_dose_response, q_decode_culture,
 )
 
