@@ -56,6 +56,23 @@ def _seed(seed: int, *names: object) -> np.random.Generator:
     return np.random.default_rng([seed, *(crc32(str(n).encode()) for n in names)])
 
 
+def redraw(arrays: list[tuple[np.ndarray, ...]], count: int, rng: np.random.Generator) -> np.ndarray:
+    """(count, fields, columns): per replicate as many fields as there are, drawn with replacement, each with its cells redrawn.
+
+    The last of three columns is a share and gets a mean, the others medians.  All draws of one field are made at once.
+    """
+    m = len(arrays)
+    picks = rng.integers(0, m, (count, m))
+    out = np.empty((count, m, len(arrays[0])))
+    for j, columns in enumerate(arrays):
+        where = picks == j
+        n = len(columns[0])
+        at = rng.integers(0, n, (int(where.sum()), n))
+        for k, c in enumerate(columns):
+            out[where, k] = c[at].mean(1) if k == 2 else np.median(c[at], axis=1)
+    return out
+
+
 def point_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """(session_id, dose_uM, condition_id, time_h, replicate, readout, value): fields redrawn within points, cells within fields.
 
@@ -71,14 +88,9 @@ def point_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: int
         for (dose, condition), point in pdf.sort_values(["dose_uM", "condition_id", "sample_id"]).groupby(["dose_uM", "condition_id"], sort=True):
             arrays = [tuple(np.asarray(r[c], float) for c in READOUTS) for r in point.to_dict("records")]
             t = float(point["time_h"].iloc[0]) if point["time_h"].notna().any() else np.nan
-            for k in range(count):
-                per = []
-                for j in rng.integers(0, len(arrays), len(arrays)):
-                    g, r, p = arrays[j]
-                    i = rng.integers(0, len(g), len(g))
-                    per.append((np.median(g[i]), np.median(r[i]), np.mean(p[i])))
-                a = np.array(per)
-                out += [(session, dose, condition, t, block * BLOCK + k, n, v) for n, v in zip(READOUTS, (np.median(a[:, 0]), np.median(a[:, 1]), np.mean(a[:, 2])), strict=True)]
+            v = redraw(arrays, count, rng)
+            values = (np.median(v[:, :, 0], axis=1), np.median(v[:, :, 1], axis=1), v[:, :, 2].mean(1))
+            out += [(session, dose, condition, t, block * BLOCK + k, name, x[k]) for name, x in zip(READOUTS, values, strict=True) for k in range(count)]
         return pd.DataFrame(out, columns=["session_id", "dose_uM", "condition_id", "time_h", "replicate", "readout", "value"])
 
     return rows.groupBy("session_id", "block").applyInPandas(draw, "session_id string, dose_uM double, condition_id string, time_h double, replicate long, readout string, value double")
@@ -179,13 +191,8 @@ def _curve_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: in
         out = []
         for _, point in pdf.sort_values(["condition_id", "sample_id"]).groupby("condition_id", sort=True):
             arrays, t = [(np.asarray(r["green"], float), np.asarray(r["red"], float)) for r in point.to_dict("records")], point["time_h"].iloc[0]
-            for k in range(count):
-                per = []
-                for j in rng.integers(0, len(arrays), len(arrays)):
-                    i = rng.integers(0, len(arrays[j][0]), len(arrays[j][0]))
-                    per.append([np.median(a[i]) for a in arrays[j]])
-                g, r = np.median(np.array(per), axis=0)
-                out += [(session, dose, t, block * BLOCK + k, "green", g), (session, dose, t, block * BLOCK + k, "red", r)]
+            v = np.median(redraw(arrays, count, rng), axis=1)
+            out += [(session, dose, t, block * BLOCK + k, name, v[k, c]) for c, name in enumerate(("green", "red")) for k in range(count)]
         return pd.DataFrame(out, columns=["session_id", "dose_uM", "time_h", "replicate", "channel", "value"])
 
     return rows.groupBy("session_id", "dose_uM", "block").applyInPandas(draw, "session_id string, dose_uM double, time_h double, replicate long, channel string, value double")
