@@ -1,19 +1,20 @@
-"""Fast exact encoding with a byte-level BPE of the tokenizers library: repeated chunks of text are encoded once."""
+"""Fast exact encoding with a byte-level BPE of the tokenizers library: repeated pieces of text are encoded once."""
 
 from __future__ import annotations
 
 import os
 import re
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import regex
 
 VOCABULARY = "byte_bpe_50k.json"
-#: A space that is followed by white space or ends the text: there plain cutting at spaces is not safe.
-_UNSAFE = re.compile(r" (?:\s|\Z)")
 #: Fixed value: the published pattern by which byte-level vocabularies of this kind cut text before merging.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Marks a text that is one piece as it stands.
+WHOLE = "\0whole:"
 #: Control characters on which engines differ about white space.
 _DISPUTED = re.compile(r"[\x1c-\x1f\x85]")
 
@@ -25,74 +26,74 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class ChunkEncoder:
+class WordEncoder(dict):
     """Ids of texts, as the library gives them for the whole text without adding special tokens.
 
-    The vocabulary's pattern never joins a space to what stands before it when a character other than white
-    space follows, so texts may be cut there.  Cut that way, most chunks are single words, and each is given to the
-    library once per worker (up to a bound).  Texts that hold a special token's string go to the library whole.
+    The library cuts a text by a published pattern and merges within the pieces alone.  So texts are cut by the same
+    pattern here, and each distinct piece is given to the library once per worker, up to a bound.  The dictionary numbers the
+    pieces, and arrays hold the ids of each number.  Texts that hold a special token's string, or characters on
+    which engines disagree, go to the library whole.
     """
 
-    def __init__(self, path: str, bound: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, bound: int = 800_000, longest: int = 64):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.bound, self.longest = bound, longest
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces between single spaces; the space goes with the piece after it.  A piece that is empty or begins
-        with white space stays with the one before, for the cut would not be safe."""
-        first, *rest = text.split(" ")
-        out = [first]
-        for piece in rest:
-            if piece and not piece[0].isspace():
-                out.append(" " + piece)
-            else:
-                out[-1] += " " + piece
-        return out
+        self.new: dict[str, int] = {}
+        self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def __missing__(self, piece: str) -> int:
+        n = self.new.get(piece)
+        if n is None:
+            n = self.new[piece] = len(self.start) - 1 + len(self.new)
+        return n
+
+    def by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+
+    def numbered(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of each text, numbers of all pieces, where each number's ids begin, ids)."""
+        pieces: list[list[str]] = []
+        for text in texts:
+            whole = text and (_DISPUTED.search(text) or any(s in text for s in self.special))
+            pieces.append([] if not text else [WHOLE + text] if whole else PATTERN.findall(text))
+        counts = list(map(len, pieces))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+        start, ids = self.start, self.ids
+        if self.new:
+            lengths, more = self.by_library([p.removeprefix(WHOLE) for p in self.new])
+            start, ids = np.concatenate((start, start[-1] + np.cumsum(lengths))), np.concatenate((ids, more))
+            # A full memory keeps what it holds: frequent pieces come early, and what comes late mostly comes once.
+            if len(self) < self.bound and len(ids) < 16 * self.bound:
+                self.start, self.ids = start, ids
+                self.update(x for x in self.new.items() if len(x[0]) <= self.longest)
+            self.new = {}
+        return counts, numbers, start, ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        out: list[list[str] | bytes] = []
-        new: set[str] = set()
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special):
-                out.append(self.by_library([text])[0])
-            else:
-                # Without double or odd white space each cut is safe and plain splitting does.
-                pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text and not _UNSAFE.search(text) else self.chunks(text)
-                out.append(pieces)
-                new.update(pieces)
-        new -= self.memo.keys()
-        if len(self.memo) + len(new) > self.bound:
-            self.memo.clear()
-            new = {p for x in out if isinstance(x, list) for p in x}
-        extra: dict[str, bytes] = {}
-        cut = {p: [p] if _DISPUTED.search(p) else PATTERN.findall(p) for p in new}
-        words = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        if len(self.words) + len(words) > self.bound:
-            self.words.clear()
-            words = list({w for ws in cut.values() for w in ws})
-        self.words.update(zip(words, self.by_library(words), strict=True))
-        for p, ws in cut.items():
-            (self.memo if len(p) <= self.longest else extra)[p] = b"".join([self.words[w] for w in ws])
-        if extra:
-            get = lambda p: self.memo.get(p) if p in self.memo else extra[p]
-        else:
-            get = self.memo.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
+        counts, numbers, start, ids = self.numbered(texts)
+        first = start[numbers]
+        length = start[numbers + 1] - first
+        ends = np.concatenate(([0], np.cumsum(length)))
+        out = ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], length)].astype("<u4")
+        cuts = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
+        return [out[a:b].tobytes() for a, b in pairwise(cuts)]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of each text."""
+        counts, numbers, start, _ = self.numbered(texts)
+        ends = np.concatenate(([0], np.cumsum(start[numbers + 1] - start[numbers])))
+        return np.diff(ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]).tolist()
 
 
 @lru_cache(1)
-def encoder(vocabulary: str) -> ChunkEncoder:
-    return ChunkEncoder(vocabulary)
+def encoder(vocabulary: str) -> WordEncoder:
+    return WordEncoder(vocabulary)

@@ -57,9 +57,9 @@ def test_bpe_odd_rows(spark, word_library):
     assert bpe.decode(e).count() == df.count() and bpe.encode(empty_table(spark)).count() == 0
 
 
-def test_chunked_encoding_is_the_librarys(byte_library):
+def test_encoding_by_pieces_is_the_librarys(byte_library):
     texts = [t or "" for t in odd_texts()] + ODD
-    for e in (tokens.ChunkEncoder(tokens.default_vocabulary()), tokens.ChunkEncoder(tokens.default_vocabulary(), bound=5)):
+    for e in (tokens.WordEncoder(tokens.default_vocabulary()), tokens.WordEncoder(tokens.default_vocabulary(), bound=5)):
         for text, ids in zip(texts, e.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == byte_library.encode(text, add_special_tokens=False).ids
 
