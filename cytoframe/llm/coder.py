@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import work_root
+from .common import work_root, write
 
 MAGIC = b"CYTOIDS1"
 BLOCK = 2048
-LANES = 2048
+LANES = 4096
 _TABLE = 1024
 _SEEN = 256
 _LEVELS = 8
@@ -40,63 +40,65 @@ class Model:
 
     def __init__(self, lanes: int):
         self.n = lanes
-        base = np.arange(lanes, dtype=np.int64)
-        self.base = base * _TABLE
-        self.base0 = base * _SEEN
+        self.at = np.arange(lanes)
+        self.base, self.base0, self.base4 = self.at * _TABLE, self.at * _SEEN, self.at * 5
+        # Predicted id plus one (zero: nothing seen) and, in the last three bits, how often it held of late.
         self.t2 = np.zeros(lanes * _TABLE, np.uint32)
         self.t1 = np.zeros(lanes * _TABLE, np.uint32)
-        self.level2 = np.zeros(lanes * _TABLE, np.uint8)
-        self.level1 = np.zeros(lanes * _TABLE, np.uint8)
         self.t0 = np.zeros(lanes * _SEEN, np.uint32)
         self.prev = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
-        # Probabilities of the first three outcomes, per order, context level and block; the fourth has the rest.
-        self.p = [np.full((3, k * lanes), 0.25, np.float32) for k in (_LEVELS, _LEVELS, 4)]
-        self.w = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
+        self.mixed = np.zeros(lanes, np.uint32)
+        # Probabilities of the four outcomes, by order: a row for each block and level of the order's context.
+        self.p = [np.full((k * lanes, 4), 0.25, np.float32) for k in (_LEVELS, _LEVELS, 4)]
+        self.w = [np.full((lanes, 1), 1 / 3, np.float32) for _ in range(3)]
         self.hits = np.zeros(lanes, np.int64)
+        self.c = np.zeros((lanes, 5), np.int64)
+        self.c[:, 4] = 4096
+        self.flat = self.c.ravel()
 
     def predict(self) -> None:
-        """Predictions and the cumulative frequencies of the four outcomes, out of 4096."""
+        """Predictions, and the cumulative frequencies of the four outcomes out of 4096."""
         with np.errstate(over="ignore"):
-            self.i1 = self.base + ((self.prev * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int64)
-            self.i2 = self.base + (((self.prev * np.uint32(2654435761) + self.before) * np.uint32(2246822519)) >> np.uint32(22)).astype(np.int64)
-        # Ids are kept plus one; zero stands for nothing seen.
-        self.a1, self.a2 = self.t1[self.i1], self.t2[self.i2]
-        at = np.arange(self.n)
-        self.at = [self.level2[self.i2].astype(np.int64) * self.n + at, self.level1[self.i1].astype(np.int64) * self.n + at, (self.hits & 3) * self.n + at]
-        self.q = [p[:, a] for p, a in zip(self.p, self.at, strict=True)]
+            h = self.prev * np.uint32(2654435761)
+            self.i1 = self.base + (h >> np.uint32(22))
+            self.i2 = self.base + (((h ^ self.mixed) * np.uint32(2246822519)) >> np.uint32(22))
+            self.mixed = h >> np.uint32(3)
+        self.v1, self.v2 = self.t1[self.i1], self.t2[self.i2]
+        self.a1, self.a2 = self.v1 >> np.uint32(3), self.v2 >> np.uint32(3)
+        n = self.n
+        self.rows = [(self.v2 & np.uint32(7)) * np.int64(n) + self.at, (self.v1 & np.uint32(7)) * np.int64(n) + self.at, (self.hits & 3) * n + self.at]
+        self.q = [p.take(r, 0) for p, r in zip(self.p, self.rows, strict=True)]
         mix = self.w[0] * self.q[0] + self.w[1] * self.q[1] + self.w[2] * self.q[2]
-        f = (mix * np.float32(4080.0)).astype(np.int64) + 4
-        self.f = f
-        self.c = np.empty((4, self.n), np.int64)
-        self.c[0] = 0
-        np.cumsum(f, axis=0, out=self.c[1:])
-
-    def update(self, symbol: np.ndarray, ids1: np.ndarray, live: np.ndarray) -> None:
-        """Learn the outcome and the id (plus one) of each block that still has ids."""
-        rate = np.float32(0.04)
-        one = np.stack([symbol == 0, symbol == 1, symbol == 2]).astype(np.float32)
-        total = np.zeros(self.n, np.float32)
+        f = (mix * np.float32(4070.0)).astype(np.int64) + 4
+        c = self.c
+        c[:, 1] = f[:, 0]
+        np.add(c[:, 1], f[:, 1], out=c[:, 2])
+        np.add(c[:, 2], f[:, 2], out=c[:, 3])
+
+    def span(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each block's outcome."""
+        i = self.base4 + symbol
+        start = self.flat[i]
+        return start, self.flat[i + 1] - start
+
+    def update(self, symbol: np.ndarray, ids1: np.ndarray) -> None:
+        """Learn the outcome, and the id plus one, of each block."""
+        one = _ONE[symbol]
+        total = np.zeros((self.n, 1), np.float32)
         for k in range(3):
             q = self.q[k]
-            rest = np.float32(1.0) - (q[0] + q[1] + q[2])
-            got = np.where(symbol == 3, rest, np.where(symbol == 2, q[2], np.where(symbol == 1, q[1], q[0])))
-            self.p[k][:, self.at[k]] = q + (one - q) * rate
-            w = self.w[k] * (np.maximum(got, np.float32(0.0)) + np.float32(0.002))
-            self.w[k] = w
-            total = total + w
+            got = q[self.at, symbol][:, None]
+            self.p[k][self.rows[k]] = q + (one - q) * np.float32(0.04)
+            self.w[k] = self.w[k] * (got + np.float32(0.002))
+            total += self.w[k]
         for k in range(3):
             self.w[k] = self.w[k] / total * np.float32(0.97) + np.float32(0.01)
-        up = np.minimum(self.level2[self.i2] + 1, _LEVELS - 1).astype(np.uint8)
-        self.level2[self.i2] = np.where(self.a2 == ids1, up, np.where(self.a2 == 0, 1, 0)).astype(np.uint8)
-        up = np.minimum(self.level1[self.i1] + 1, _LEVELS - 1).astype(np.uint8)
-        self.level1[self.i1] = np.where(self.a1 == ids1, up, np.where(self.a1 == 0, 1, 0)).astype(np.uint8)
-        self.t2[self.i2] = ids1
-        self.t1[self.i1] = ids1
-        with np.errstate(over="ignore"):
-            self.t0[self.base0 + self.slot(ids1)] = ids1
+        x = ids1 << np.uint32(3)
+        self.t2[self.i2] = x | np.where(self.a2 == ids1, _UP[self.v2 & np.uint32(7)], _NEW[np.minimum(self.a2, 1)])
+        self.t1[self.i1] = x | np.where(self.a1 == ids1, _UP[self.v1 & np.uint32(7)], _NEW[np.minimum(self.a1, 1)])
+        self.t0[self.base0 + self.slot(ids1)] = ids1
         self.hits = (self.hits << 1) | (symbol < 3)
-        self.before, self.prev = self.prev, ids1
+        self.prev = ids1
 
     @staticmethod
     def slot(ids1: np.ndarray) -> np.ndarray:
@@ -104,6 +106,9 @@ class Model:
             return ((ids1 * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64)
 
 
+_ONE = np.eye(4, dtype=np.float32)
+#: Level after a prediction held, and the first level of a context that was empty or was wrong.
+_UP, _NEW = np.array([1, 2, 3, 4, 5, 6, 7, 7], np.uint32), np.array([1, 0], np.uint32)
 _TOP, _BOTTOM, _MASK = np.int64(1 << 24), np.int64(1 << 16), np.int64(0xFFFFFFFF)
 
 
@@ -118,10 +123,12 @@ def _narrow(low: np.ndarray, width: np.ndarray, start: np.ndarray, freq: np.ndar
 def _full(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Blocks whose first byte is settled, or whose width has become too small and is cut to the next boundary."""
     settled = (low ^ (low + width)) < _TOP
-    small = ~settled & (width < _BOTTOM)
+    small = width < _BOTTOM
+    small &= ~settled
     if small.any():
         width[small] = -low[small] & (_BOTTOM - 1)
-    return np.flatnonzero(settled | small)
+        settled |= small
+    return np.flatnonzero(settled)
 
 
 def code_blocks(ids: np.ndarray, wide: int) -> list[bytes]:
@@ -143,7 +150,7 @@ def code_blocks(ids: np.ndarray, wide: int) -> list[bytes]:
         m.predict()
         slot = m.slot(x)
         s = np.where(x == m.a2, 0, np.where(x == m.a1, 1, np.where(m.t0[m.base0 + slot] == x, 2, 3)))
-        c, f = m.c[s, at], np.where(s == 3, 4096 - m.c[3], m.f[np.minimum(s, 2), at])
+        c, f = m.span(s)
         if live.all():
             _narrow(low, width, c, f)
         else:
@@ -163,7 +170,7 @@ def code_blocks(ids: np.ndarray, wide: int) -> list[bytes]:
         for b in range(wide):
             raw[i, n_raw[i] + b] = (plain >> np.uint32(8 * b)) & np.uint32(255)
         n_raw[i] += wide
-        m.update(s, x, live)
+        m.update(s, x)
     for _ in range(4):
         out[at, n_out] = low >> 24
         n_out += 1
@@ -190,8 +197,8 @@ def decode_blocks(blocks: list[bytes], length: np.ndarray, wide: int) -> np.ndar
         live = step < length
         m.predict()
         v = ((value - low) & _MASK) // (width >> 12)
-        s = (v >= m.c[1]).astype(np.int64) + (v >= m.c[2]) + (v >= m.c[3])
-        c, f = m.c[s, at], np.where(s == 3, 4096 - m.c[3], m.f[np.minimum(s, 2), at])
+        s = (v >= m.c[:, 1]).astype(np.int64) + (v >= m.c[:, 2]) + (v >= m.c[:, 3])
+        c, f = m.span(s)
         if live.all():
             _narrow(low, width, c, f)
         else:
@@ -214,7 +221,7 @@ def decode_blocks(blocks: list[bytes], length: np.ndarray, wide: int) -> np.ndar
         x[i] = plain + np.uint32(1)
         n_raw[i] += wide
         grid[step] = x
-        m.update(s, x, live)
+        m.update(s, x)
     out = (grid.T - np.uint32(1)).reshape(-1) if steps == BLOCK else np.concatenate([grid[:k, i] - np.uint32(1) for i, k in enumerate(length)])
     return out[: int(length.sum())] if steps == BLOCK else out
 
@@ -294,7 +301,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         if names:
             yield out()
 
-    docs.mapInArrow(run, "shard long, segment long, n_tokens long, payload binary").write.parquet(path)
+    write(docs.mapInArrow(run, "shard long, segment long, n_tokens long, payload binary"), path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -16,20 +16,42 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Temporary folders by application, where no shared folder is set.
+_OWN: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cytoframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cytoframe-")
+        root = _OWN[app]
     return root.rstrip("/")
 
 
+#: Spark then deletes a query's shuffle files as soon as the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write Parquet, and free the shuffle files of the query at once: nothing reads them after their result is on disk."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        # Whether to clean up is settled when a query is planned, so the frame is made anew under the setting.
+        df.select("*").write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/cytoframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
@@ -155,5 +177,6 @@ def components(edges: DataFrame) -> DataFrame:
             discard(labels)
         discard(e, to)
         labels, e = labels_next, nxt
+        del moved, both, to, new
     discard(e)
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")

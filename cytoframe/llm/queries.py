@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, coder, html, jaccard, lengths, lm, mixing, nndescent, quality
+from .common import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = coder.new_path(spark)
     coder.write_ids(table(spark, sf_dir, "documents"), path)
     before = coder.starts(spark, path)
-    docs = coder.read_ids(spark, path).select("shard", "segment", "doc_id", "n_tokens", "in_segment", F.crc32("ids").alias("ids_crc32"))
+    # Figures of the documents are written before the join, so that nothing decodes the files twice.
+    docs = materialise(coder.read_ids(spark, path).select("shard", "segment", "doc_id", "n_tokens", "in_segment", F.crc32("ids").alias("ids_crc32")), "figures")
     return docs.join(before, ["shard", "segment"]).select("doc_id", (F.col("before") + F.col("in_segment")).alias("start"), "n_tokens", "ids_crc32")
 
 
