@@ -2,8 +2,8 @@
 
 1. Every distinct shingle set gets a content id; equal sets are one node from the first pass on.
 2. Blocking that loses nothing: two sets whose Jaccard is at least t differ in at most
-   d = (1-t)/(1+t) * (|x|+|y|) shingles.  Cut the hash range into more than d segments and one of them holds
-   the same shingles in both.  Equal segments put two nodes in one block; a frequent passage alone does
+   d = (1-t)/(1+t) * (|x|+|y|) shingles.  Cut the hash range into enough segments (``segments``) and one of them
+   holds the same shingles in both.  Equal segments put two nodes in one block; a frequent passage alone does
    not, because a segment must agree as a whole.
 3. Within each block (large ones in pairs of chunks) signature trees over the whole sets are walked
    against each other, and what is not pruned is compared exactly.
@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, discard, materialise, mix64, shingle_hashes, signed, text_bytes
+from .common import WordHashes, components, discard, materialise, mix64, shingle_hashes, signed, text_bytes, with_rank
 
 #: Sets in one chunk of a large block; a task holds the sets of two chunks.
 CHUNK = 1024
@@ -38,15 +39,30 @@ def size_class(n: int, t: float) -> int:
     return math.floor(math.log(n) / -math.log(t) + 1e-9)
 
 
+@lru_cache(4096)
 def segments(level: int, t: float) -> tuple[int, int]:
-    """(segments, spare) for pairs whose smaller set is in class ``level``: one more than the two sets can differ in, and
-    ``spare`` more, so that as many segments may be empty in both and still one with shingles agrees."""
+    """(segments, spare) for pairs whose smaller set is in class ``level``.
+
+    Two linked sets differ in at most d shingles.  With more than d segments one must agree.  Large sets need fewer: the
+    differences are hashed, so of m segments about m * exp(-d / m) hold none of them, less those without shingles, and
+    the chance that none is left is below exp of minus that number (empty bins are negatively associated).  Where fewer segments
+    leave 22 on average (a chance under 1e-9), they are taken: they hold more shingles, so fewer
+    sets agree in one by a shared passage.  ``spare`` segments may be empty in both sets and still one with shingles agrees.
+    """
     least, most = math.exp(-math.log(t) * level), math.exp(-math.log(t) * (level + 1))
     d = math.floor((1 - t) / t * most + 1e-6)
-    m = d + 1
-    empty = m * math.exp(-least / m)
-    spare = math.ceil(empty + 4 * math.sqrt(empty)) if d else 0
-    return m + spare, spare
+    if not d:
+        return 1, 0
+
+    def spare(m: int) -> int:
+        empty = m * math.exp(-least / m)
+        return math.ceil(empty + 4 * math.sqrt(empty))
+
+    sure = d + 1 + spare(d + 1)
+    m = 2
+    while m < sure and m * math.exp(-d / m) * (1 - math.exp(-least / m)) < 22:
+        m += 1
+    return m, spare(min(m, d + 1))
 
 
 def segment_keys(s: np.ndarray, t: float) -> np.ndarray:
@@ -283,7 +299,7 @@ def chunk_links(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(node, block, n_chunks, chunk, data) for rows (doc_id, text, node, block, ...): data holds the sorted shingle hashes, null where a
+    """(node, block, chunk, others, data) for rows (doc_id, text, node, block, ...): data holds the sorted shingle hashes, null where a
     row of this id has another text than the one that stands for the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +308,9 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 data = [s.tobytes() if len(s) and node_id(s) == v else None for s, v in zip(doc_sets(part, n, hashes), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(2, 6)] + [pa.array(data, pa.binary())], names=["node", "block", "n_chunks", "chunk", "data"])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(2, 6)] + [pa.array(data, pa.binary())], names=["node", "block", "chunk", "others", "data"])
 
-    return docs.select("doc_id", "text", "node", "block", "n_chunks", "chunk").mapInArrow(run, "node long, block long, n_chunks long, chunk long, data binary")
+    return docs.select("doc_id", "text", "node", "block", "chunk", "others").mapInArrow(run, "node long, block long, chunk long, others array<long>, data binary")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -313,20 +329,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = materialise(document_nodes(docs, n), "nodes")
     if nodes.where("node is not null").isEmpty():
         return nodes.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    edges = block_edges(key_rows(docs, n, t))
-    blocks = components(edges)
+    blocks = components(block_edges(key_rows(docs, n, t)))
     # One document stands for each node of a block; blocks of over ``chunk`` sets are cut in order of size.
     reps = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
     member = materialise(blocks.select("node", F.col("label").alias("block")).join(reps, "node"), "members")
     counts = member.groupBy("block").agg(F.count("*").alias("in_block"))
     member = member.join(counts, "block")
-    small = member.where(F.col("in_block") <= chunk).select("doc_id", "node", "block", F.lit(1).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("chunk"))
-    large = chunked(member.where(F.col("in_block") > chunk), chunk)
+    small = member.where(F.col("in_block") <= chunk).select("doc_id", "node", "block", F.lit(0).cast("long").alias("chunk"), F.array(F.lit(0).cast("long")).alias("others"))
+    large = chunked(member.where(F.col("in_block") > chunk), chunk, percent)
     chosen = small.unionByName(large).where("doc_id is not null")
-    first = docs.join(chosen, "doc_id")
-    sets = materialise(set_rows(first, n).where("data is not null"), "sets")
-    groups = chunk_groups(sets)
-    links = components(chunk_links(groups, percent))
+    sets = materialise(set_rows(docs.join(chosen, "doc_id"), n).where("data is not null"), "sets")
+    links = components(chunk_links(chunk_groups(sets), percent))
+    discard(sets)
     per_node = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     labelled = per_node.join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -335,21 +349,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def chunked(member: DataFrame, chunk: int) -> DataFrame:
-    """Members of large blocks with their chunk: place in the block in order of size, by rank over all rows."""
-    from .common import with_rank
-
+def chunked(member: DataFrame, chunk: int, percent: int) -> DataFrame:
+    """Members of large blocks with their chunk, which is their place in the block in order of size, and the chunks whose sizes allow links."""
     if member.isEmpty():
-        return member.select("doc_id", "node", "block", F.col("in_block").alias("n_chunks"), F.col("in_block").alias("chunk"))
+        return member.select("doc_id", "node", "block", F.col("in_block").alias("chunk"), F.array("in_block").alias("others"))
     r = with_rank(member.select("doc_id", "node", "block", "in_block", "size"), "block", "size", "node")
     starts = r.groupBy("block").agg(F.min("rank").alias("start"))
-    r = r.join(starts, "block")
-    return r.select("doc_id", "node", "block", F.ceil(F.col("in_block") / chunk).cast("long").alias("n_chunks"), F.floor((F.col("rank") - F.col("start")) / chunk).cast("long").alias("chunk"))
+    r = r.join(starts, "block").withColumn("chunk", F.floor((F.col("rank") - F.col("start")) / chunk).cast("long"))
+    sizes = r.groupBy("block", "chunk").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    # One entry for each chunk of a block.
+    all_chunks = sizes.groupBy("block").agg(F.collect_list(F.struct("chunk", "lo", "hi")).alias("_all"))
+    r = r.join(all_chunks, "block")
+    own = F.filter("_all", lambda x: x["chunk"] == F.col("chunk"))[0]
+    near = F.filter("_all", lambda x: (100 * x["hi"] >= percent * own["lo"]) & (100 * own["hi"] >= percent * x["lo"]))
+    return r.select("doc_id", "node", "block", "chunk", F.transform(near, lambda x: x["chunk"]).alias("others"))
 
 
 def chunk_groups(sets: DataFrame) -> DataFrame:
-    """(task, node, side, data): a block's chunk i meets itself and every other chunk once."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("other")
+    """(task, node, side, data): a block's chunk meets itself and every chunk of near sizes once."""
+    other = F.explode("others").alias("other")
     s = sets.select("node", "block", "chunk", "data", other)
     lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
     return s.select(F.xxhash64("block", lo, hi).alias("task"), "node", F.when(F.col("chunk") == lo, 0).otherwise(1).alias("side"), "data")
