@@ -45,7 +45,7 @@ class WordBpe:
     of a path down to all words below it.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], {c: b for b, c in enumerate(byte_letters())}
@@ -75,7 +75,7 @@ class WordBpe:
         # The trie: node and letter to the node below, and each node's state.
         self.child: dict[int, int] = {}
         self.state = [-1]
-        self.nodes = 2 * bound
+        self.nodes = bound
         self.width = {i: len(raw) for i, (raw, _) in self.parts.items()}
         self.bound = bound
 
