@@ -61,6 +61,22 @@ def test_search_alone_reaches_the_recall(spark):
     assert recall >= 0.9
 
 
+def test_the_audit_adds_no_links(spark, monkeypatch):
+    vecs = planted(np.random.default_rng(3), 200)
+    df = spark.createDataFrame([(i, v, 1, i) for i, v in enumerate(vecs)], SCHEMA)
+    a, b = (r.node for r in nndescent.vectors(df.where("vec_id in (5, 6)"), "vec_id", "embedding").collect())
+    audit = nndescent.audit_links
+    monkeypatch.setattr(nndescent, "audit_links", lambda *x: audit(*x).union(spark.createDataFrame([(a, b)], "a long, b long")))
+    assert sorted(map(tuple, nndescent.near_duplicates(df).collect())) == brute(list(range(len(vecs))), vecs)
+
+
+def test_search_alone_finds_all_links(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "AUDIT", 50)
+    vecs = planted(np.random.default_rng(4), 1000)
+    df = spark.createDataFrame([(i, v, 1, i) for i, v in enumerate(vecs)], SCHEMA)
+    assert sorted(map(tuple, nndescent.near_duplicates(df).collect())) == brute(list(range(len(vecs))), vecs)
+
+
 def test_exact_count_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "CHUNK", 16)
     vecs = planted(np.random.default_rng(2), 100)
