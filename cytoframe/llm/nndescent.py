@@ -1,10 +1,11 @@
 """Embedding near-duplicates by NN-descent with an audited recall.
 
 Equal vectors are one node.  The neighbour graph starts from blocks of nodes that stand together in orders by
-random hyperplanes, and is refined by joining the neighbours of each node with one another.  Lists full of links are
-enlarged.  Brute force over a bounded sample of nodes measures the recall of links; while it is too low the
-search goes on from new orders.  Links give components, and within each the links of every vector are
-counted exactly, block against block.
+random hyperplanes, and is refined by joining the neighbours of each node with one another.  Lists full of links are enlarged, and each node also keeps its best
+neighbours outside its component, so a family of any size does not fill them up.  Rounds go on until one joins no
+components and leaves the lists as they were, and new orders until a whole search from fresh ones joins none.  Brute force over a bounded sample of nodes,
+half of them with links, measures the recall; where it stays too low the operator fails.  Within each component the
+links of every vector are counted exactly, block against block.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from .common import components, discard, materialise, with_rank
 K, GROWTH = 6, 4
 #: Orders by random hyperplanes at each start, and nodes that meet in one block.
 ORDERS, BLOCK = 8, 128
-ROUNDS, TRIES = 2, 3
-#: The audit: so many nodes at most, compared with all; the search goes on below this recall.
-AUDIT, RECALL = 1000, 0.99
+#: A search is settled when a round joins no components and this share at most of the neighbours beyond
+#: their own component is new (what the lists hold within it can join nothing).
+SETTLED = 0.001
+#: The audit: so many nodes at most, compared with all; the search goes on below this recall, and fails
+#: after so many searches in a row that found nothing new.
+AUDIT, RECALL, QUIET = 1000, 0.99, 8
 #: Nodes of a component in one chunk of the exact count.
 CHUNK = 512
 
@@ -80,7 +84,7 @@ def _by_length(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def start_blocks(nodes: DataFrame, seed: int) -> DataFrame:
-    """(block, node, vec): each node in ORDERS blocks of nodes that are neighbours in an order by signs against random hyperplanes."""
+    """(block, node, vec, label): each node in ORDERS blocks of nodes that are neighbours in an order by signs against random hyperplanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -103,25 +107,29 @@ def start_blocks(nodes: DataFrame, seed: int) -> DataFrame:
     ranked = with_rank(keys, "t", "k", "node")
     half = F.floor(F.col("rank") / (BLOCK // 2))
     blocks = ranked.select("node", F.explode(F.array(half, half + 1)).alias("block"))
-    return blocks.join(nodes.select("node", "vec"), "node").select("block", "node", "vec")
+    return blocks.join(nodes.select("node", "vec", "label"), "node").select("block", "node", "vec", "label")
 
 
 def local_join(groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim, link): within each group every node's best, and with link a forest over all pairs that reach the threshold."""
+    """(a, b, sim, away, link): within each group every node's best, and (away) its best with another label; with link,
+    a forest over the pairs that reach the threshold and differ in label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            a, b, s, l = (np.concatenate([h[i] for h in held]) for i in range(4))  # noqa: E741
+            columns = [pa.array(np.concatenate([h[i] for h in held])) for i in range(5)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(l)], names=["a", "b", "sim", "link"])
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sim", "away", "link"])
 
         count = 0
         for _, rows in _groups(batches):
+            label_of = {r[0]: r[2] for r in rows}
             for n, m in _by_length(rows):
                 if len(n) < 2:
                     continue
+                labels = np.fromiter(map(label_of.__getitem__, n.tolist()), np.int64, len(n))
+                differ = labels[:, None] != labels
                 s = m @ m.T
                 np.fill_diagonal(s, -2.0)
                 k = min(K * GROWTH, len(n) - 1)
@@ -132,10 +140,19 @@ def local_join(groups: DataFrame, threshold: float) -> DataFrame:
                 # The first K, and more only where those are all links.
                 use = (np.arange(k) < K) | (sims >= threshold)
                 i, j = np.nonzero(use)
-                held.append((n[i], n[best[i, j]], sims[i, j], np.zeros(len(i), bool)))
-                x, y = forest(s >= threshold)
-                held.append((n[x], n[y], s[x, y], np.ones(len(x), bool)))
-                count += len(i) + len(x)
+                held.append((n[i], n[best[i, j]], sims[i, j], differ[i, best[i, j]], np.zeros(len(i), bool)))
+                # Nodes whose lists lie in their own component look beyond it.
+                full = np.flatnonzero((~np.take_along_axis(differ, best, 1) | ~use).all(1) & differ.any(1))
+                if len(full):
+                    away = np.where(differ[full], s[full], -2.0)
+                    k = min(K, len(n) - 1)
+                    far = np.argpartition(-away, k - 1, axis=1)[:, :k]
+                    i, j = np.nonzero(np.take_along_axis(differ[full], far, 1))
+                    held.append((n[full[i]], n[far[i, j]], away[i, far[i, j]], np.ones(len(i), bool), np.zeros(len(i), bool)))
+                    count += len(i)
+                x, y = forest((s >= threshold) & differ)
+                held.append((n[x], n[y], s[x, y], np.ones(len(x), bool), np.ones(len(x), bool)))
+                count += len(use) + len(x)
                 if count > 200_000:
                     yield out()
                     count = 0
@@ -144,7 +161,7 @@ def local_join(groups: DataFrame, threshold: float) -> DataFrame:
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = groups.columns[0]
-    return groups.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, "a long, b long, sim double, link boolean")
+    return groups.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, "a long, b long, sim double, away boolean, link boolean")
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,27 +183,28 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_lists(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim): each node's best K, and up to GROWTH times as many where all of them are links."""
+    """(a, b, sim, away): each node's best K, up to GROWTH times as many where all of them are links, and its best K away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            a, o, s = b
+            a, o, s, w = b
             order = np.lexsort((o, -s, a))
-            a, o, s = a[order], o[order], s[order]
+            a, o, s, w = a[order], o[order], s[order], w[order].astype(bool)
             again = np.concatenate(([False], (a[1:] == a[:-1]) & (o[1:] == o[:-1])))
-            a, o, s = a[~again], o[~again], s[~again]
-            start = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.empty(0, bool)
-            place = np.arange(len(a)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(a) else a
-            use = (place < K) | ((s >= threshold) & (place < K * GROWTH))
-            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(o[use]), pa.array(s[use])], names=["a", "b", "sim"])
+            a, o, s, w = a[~again], o[~again], s[~again], w[~again]
+            first = np.searchsorted(a, a)
+            place = np.arange(len(a)) - first
+            before = np.concatenate(([0], np.cumsum(w)))
+            use = (place < K) | ((s >= threshold) & (place < K * GROWTH)) | (w & (before[:-1] - before[first] < K))
+            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(o[use]), pa.array(s[use]), pa.array(w[use])], names=["a", "b", "sim", "away"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("a", "b", "sim").repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double")
+    return rows.select("a", "b", "sim", "away").repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double, away boolean")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Arrays of whole runs of the first column, a batch or so at a time."""
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)]
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, bool)]
     for b in batches:
         held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True)]
         cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
@@ -198,17 +216,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def neighbourhoods(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(pivot, node, vec): each node with its neighbours and with the best of those whose neighbour it is."""
-    back = best_lists(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), threshold)
+    """(pivot, node, vec, label): each node with its neighbours and with the best of those whose neighbour it is."""
+    back = best_lists(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "away"), threshold)
     own = lists.select(F.col("a").alias("pivot"), F.col("a").alias("node"))
     members = lists.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(back.select("a", "b")).union(own).distinct()
-    return members.join(nodes.select("node", "vec"), "node").select("pivot", "node", "vec")
+    return members.join(nodes.select("node", "vec", "label"), "node").select("pivot", "node", "vec", "label")
 
 
 def audit_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all links of a sample of nodes, by brute force; the sample is bounded by AUDIT, so it can be sent to all workers."""
-    queries = nodes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).collect()
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vec"])) for r in queries])
+    """(a, b): all links of a sample of nodes, by brute force; the sample is bounded by AUDIT, so it can be sent to all workers.
+
+    Half of it are nodes that share their label with others, so that rare links are measured too; the rest are any.
+    """
+    linked = nodes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    queries = {}
+    for rows in (nodes.join(linked, "label", "left_semi"), nodes):
+        for r in rows.select("node", "vec").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).collect():
+            if len(queries) < (AUDIT if rows is nodes else AUDIT // 2):
+                queries[r["node"]] = bytes(r["vec"])
+    shared = nodes.sparkSession.sparkContext.broadcast(list(queries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = {m.shape[1]: (n, m) for n, m in _by_length(shared.value)}
@@ -260,33 +286,66 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def find_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
-    """(a, b) links that connect all found, and the recall measured on the sample (1.0 where it has no links)."""
-    truth = materialise(audit_links(nodes, threshold), "audit")
-    found: list[DataFrame] = []
-    lists, recall = None, 0.0
-    for attempt in range(TRIES):
-        rows = materialise(local_join(start_blocks(nodes, attempt), threshold), "start")
-        found.append(rows.where("link").select("a", "b"))
-        search = rows.where("not link") if lists is None else rows.where("not link").select("a", "b", "sim").unionByName(lists)
-        lists = materialise(best_lists(search, threshold), "lists")
-        for _ in range(ROUNDS):
-            rows = materialise(local_join(neighbourhoods(lists, nodes, threshold), threshold), "round")
-            found.append(rows.where("link").select("a", "b"))
-            better = materialise(best_lists(rows.where("not link").select("a", "b", "sim").unionByName(lists), threshold), "lists")
-            changed = better.join(lists, ["a", "b"], "left_anti").count()
-            total = lists.count()
+    """(a, b) links that connect all found, and the share of sampled nodes with links whose links all lie in their
+    component (1.0 where neither the search nor the sample has any).
+
+    Raises where that share stays below RECALL though new searches find nothing more.
+    """
+    plain = nodes.select("node", "vec")
+    labelled = plain.withColumn("label", F.col("node"))
+    found = plain.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    parts, labels, lists, truth = [found], None, None, None
+    attempt, quiet = 0, 0
+    while True:
+        merged = False
+
+        def join(groups: DataFrame, name: str) -> tuple[DataFrame, bool]:
+            """Rows of the local join; where some join two components, the labels follow."""
+            nonlocal labelled, labels, merged
+            rows = materialise(local_join(groups, threshold), name)
+            new = rows.where("link").select("a", "b")
+            if new.isEmpty():
+                return rows, False
+            merged = True
+            parts.append(new)
+            stars = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+            labels = materialise(components(_union([*stars, new])), "labels")
+            labelled = plain.join(labels, "node", "left").select("node", "vec", F.coalesce("label", "node").alias("label"))
+            return rows, True
+
+        rows, _ = join(start_blocks(labelled, attempt), "start")
+        search = rows.where("not link").select("a", "b", "sim", "away")
+        # Neighbours listed as away may by now be in the same component; the others are kept.
+        lists = materialise(best_lists(search if lists is None else search.unionByName(lists.where("not away")), threshold), "lists")
+        changed = True
+        while changed:
+            rows, changed = join(neighbourhoods(lists, labelled, threshold), "round")
+            # A node meets all of its list in its own neighbourhood, so its new list is no worse.
+            better = materialise(best_lists(rows.where("not link"), threshold), "lists")
+            away = better.where("away")
+            n_new, n_all = away.join(lists, ["a", "b"], "left_anti").count(), away.count()
             discard(lists)
-            lists = better
-            if changed <= 0.02 * total:
-                break
-        # The audit only measures: its links are no part of the result.
-        labels = components(_union(found))
-        seen = truth.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        r = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("la") == F.col("lb"), 1)), F.lit(0)).alias("k")).first()
+            lists, changed = better, changed or n_new > SETTLED * n_all
+        attempt += 1
+        if merged and attempt > 1:
+            quiet = 0
+        elif attempt > 1:
+            quiet += 1
+        if not quiet:
+            continue
+        if truth is None:
+            truth = materialise(audit_links(labelled, threshold), "audit")
+        if labels is None:
+            seen = truth.select("a", F.lit(False).alias("same"))
+        else:
+            of = labelled.select("node", "label")
+            seen = truth.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("a", (F.col("la") == F.col("lb")).alias("same"))
+        r = seen.groupBy("a").agg(F.min("same").alias("whole")).agg(F.count("*").alias("n"), F.count_if("whole").alias("k")).first()
         recall = r["k"] / r["n"] if r["n"] else 1.0
         if recall >= RECALL:
-            break
-    return _union(found), recall
+            return _union(parts), recall
+        if quiet >= QUIET:
+            raise RuntimeError(f"the search found all links of {r['k']} of {r['n']} sampled nodes, below {RECALL}, and {quiet} more searches found none")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import SF, components
 
 from cytoframe.llm import nndescent, queries
@@ -77,6 +78,27 @@ def test_search_alone_finds_all_links(spark, monkeypatch):
     assert sorted(map(tuple, nndescent.near_duplicates(df).collect())) == brute(list(range(len(vecs))), vecs)
 
 
+def test_a_bridge_between_dense_families(spark, monkeypatch):
+    # Every list could be filled with members of the own family; one pair alone links the two.
+    for name, value in (("K", 3), ("GROWTH", 2), ("ORDERS", 1), ("BLOCK", 8)):
+        monkeypatch.setattr(nndescent, name, value)
+    r, d = np.random.default_rng(5), 16
+    at = lambda degrees: np.cos(np.radians(degrees)) * np.eye(d)[0] + np.sin(np.radians(degrees)) * np.eye(d)[1]
+    family = lambda degrees: [at(degrees) + 0.01 * r.standard_normal(d) for _ in range(60)]
+    vecs = [x.astype(np.float32).tolist() for x in [*family(0), at(6), *family(29), at(23)]]
+    df = spark.createDataFrame([(i, v, 1, i) for i, v in enumerate(vecs)], SCHEMA)
+    got = sorted(map(tuple, nndescent.near_duplicates(df).collect()))
+    assert got == brute(list(range(len(vecs))), vecs) and {g[2] for g in got} == {0}
+
+
+def test_a_search_that_finds_too_little_fails(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "QUIET", 1)
+    monkeypatch.setattr(nndescent, "forest", lambda linked: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    df = spark.createDataFrame([(i, [1.0, i * 0.01], 1, i) for i in range(10)], SCHEMA)
+    with pytest.raises(RuntimeError, match="0 of 10"):
+        nndescent.near_duplicates(df)
+
+
 def test_exact_count_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "CHUNK", 16)
     vecs = planted(np.random.default_rng(2), 100)
