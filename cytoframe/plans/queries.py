@@ -375,12 +375,12 @@ def q_acquisition_order(spark, sf_dir):
 
 
 def q_induction_bootstrap(spark, sf_dir):
-    effects, _ = resampling.induction_table(corrected(spark, sf_dir), n_boot=50)
+    effects, _ = resampling.induction_table(corrected(spark, sf_dir))
     return effects
 
 
 def q_peak_bootstrap(spark, sf_dir):
-    return resampling.bootstrap_peaks(corrected(spark, sf_dir).where("strain = 'tr'"), n_boot=50)
+    return resampling.bootstrap_peaks(corrected(spark, sf_dir).where("strain = 'tr'"))
 
 
 def q_assignment(spark, sf_dir):

@@ -47,3 +47,20 @@ def test_queries_without_sql_run(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, operator", [("q_induction_bootstrap", "induction_table"), ("q_peak_bootstrap", "bootstrap_peaks")])
+def test_bootstraps_draw_500_replicates(spark, monkeypatch, name, operator):
+    import inspect
+
+    signature, used = inspect.signature(getattr(queries.resampling, operator)), []
+
+    def record(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        used.append(bound.arguments["n_boot"])
+        return None, None
+
+    monkeypatch.setattr(queries.resampling, operator, record)
+    queries.queries()[name](spark, SF)
+    assert used == [500]
