@@ -1,6 +1,8 @@
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import SF, empty_table, odd_table
@@ -111,3 +113,23 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(empty_table(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", "a")], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(blank).collect()] == [0, 0]
+
+
+def test_gibberish_that_passes_the_base_rules_is_rejected():
+    import base64
+
+    r = np.random.default_rng(0)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(r.choice(letters, n))
+    few = [word(6) for _ in range(8)]
+    prose = "The committee met on Tuesday to discuss the new budget for the coming year, and after several hours of debate its members agreed that spending on schools should rise while other costs were to be kept."
+    texts = [
+        " ".join(word(8) for _ in range(300)),  # entropy too high for its short pieces
+        " ".join(r.choice(few, 300)),  # entropy too low for its length
+        " ".join(base64.b64encode(r.bytes(30)).decode() for _ in range(300)),  # characters per token
+        " ".join("".join(r.choice(list("#*$%&|<>!?@^~+=-/"), 6)) for _ in range(300)),  # no letters
+        prose,
+    ]
+    rows = list(quality.measured(pa.array(texts), None))
+    assert [x[5] for x in rows] == [False] * 5
+    assert [x[6] for x in rows] == [False] * 4 + [True]
