@@ -5,6 +5,7 @@ P(text) is the product over its tokens (words, then one end) of P(class | class
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
 
-#: Classes that are learnt, words that are assigned to them one by one, and words whose counts every worker holds.
+#: Least number of classes (it grows with the square root of the clustered words), and of words whose counts every worker
+#: holds; all words of count FREQUENT are among them however many, and are assigned to classes one by one.
 #: Words beyond are not dropped: those in the lexicon share classes by count band, and the rest one class; their counts are joined.
-CLASSES, CLUSTERED, LEXICON = 64, 16_384, 1 << 19
-ROUNDS = 6
+CLASSES, LEXICON = 64, 1 << 19
 #: Least count of a word that is assigned a class of its own choice.
 FREQUENT = 16
 BANDS = 64
@@ -128,11 +129,11 @@ def _step_of(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * 8)
 
 
-def lexicon(counts: DataFrame, size: int, clustered: int) -> tuple[Lexicon, int]:
+def lexicon(counts: DataFrame, size: int | None, clustered: int | None) -> tuple[Lexicon, int]:
     """The most frequent words: all whose count reaches the least eighth of a doubling for which they are at most ``size``.
 
     Words that occur once stay outside: their class stands for words never seen, and learns where such words come.
-    What comes to the driver is bounded by ``size``, not by the data.
+    Without limits all words of count FREQUENT are in, and are clustered; what comes to the driver grows with their number.
     """
     steps = sorted(((r["s"], r["k"]) for r in counts.where(F.col("h") != END_HASH).groupBy(_step_of(F.col("n")).alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
 
@@ -145,7 +146,9 @@ def lexicon(counts: DataFrame, size: int, clustered: int) -> tuple[Lexicon, int]
             least = s
         return least
 
-    low, high = max(reach(size), 8), max(reach(clustered), int(8 * np.log2(FREQUENT)))
+    frequent = int(8 * np.log2(FREQUENT))
+    low = min(max(reach(LEXICON), 8), frequent) if size is None else max(reach(size), 8)
+    high = frequent if clustered is None else max(reach(clustered), frequent)
     t = counts.where((F.col("h") != END_HASH) & (_step_of(F.col("n")) >= low)).select("h", "n", (_step_of(F.col("n")) >= high).alias("own")).toArrow()
     h, n, own = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
     h, n, own = h.astype(np.int64), n.astype(np.int64), own.astype(bool)
@@ -254,17 +257,18 @@ def best_class(own: int, right: np.ndarray, left: np.ndarray, twice: float, matr
     return own if gain[own] >= gain[best] - 1e-9 else best
 
 
-def exchange(table: DataFrame, lex: Lexicon, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def exchange(table: DataFrame, lex: Lexicon, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all symbols and the class matrix.
 
     Each round lets one half of the words, by turns, move to their best class given all others; the assignment of
-    highest likelihood is kept.  Words start dealt over the classes in order of count.
+    highest likelihood is kept.  Without a number of rounds they go on until both halves bring no gain.  Words start dealt over the classes in order of count.
     """
     total = classes + BANDS + 2
     class_of = np.concatenate((np.arange(lex.m) % classes, classes + np.arange(BANDS + 2))).astype(np.int64)
     matrix = class_matrix(table, class_of, total)
     best = likelihood(matrix), class_of, matrix
-    for turn in range(rounds if lex.m > 1 and classes > 1 else 0):
+    turn = idle = 0
+    while lex.m > 1 and classes > 1 and (idle < 2 if rounds is None else turn < rounds):
         cls, mat, m = class_of, matrix, lex.m
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,15 +290,18 @@ def exchange(table: DataFrame, lex: Lexicon, classes: int, rounds: int) -> tuple
         class_of = class_of.copy()
         class_of[moves.column(0).to_numpy()] = moves.column(1).to_numpy()
         matrix = class_matrix(table, class_of, total)
-        best = max(best, (likelihood(matrix), class_of, matrix), key=lambda x: x[0])
+        now = likelihood(matrix)
+        turn, idle = turn + 1, 0 if now > best[0] else idle + 1
+        best = max(best, (now, class_of, matrix), key=lambda x: x[0])
     return best[1], best[2]
 
 
-def fit(spark: SparkSession, docs: DataFrame, *, classes: int = CLASSES, clustered: int = CLUSTERED, lexicon_size: int = LEXICON, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def fit(spark: SparkSession, docs: DataFrame, *, classes: int | None = None, clustered: int | None = None, lexicon_size: int | None = None, rounds: int | None = None) -> tuple[Model, DataFrame]:
     """Model and the table (h, n) of training words outside the lexicon, from rows (text)."""
     counts = materialise(count_words(docs), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("h") == END_HASH, F.col("n"))), F.lit(0)).alias("e"), F.count_if((F.col("n") == 1) & (F.col("h") != END_HASH)).alias("once")).first()
     lex, low = lexicon(counts, lexicon_size, clustered)
+    classes = classes or max(CLASSES, math.isqrt(lex.m))
     shared = spark.sparkContext.broadcast(lex)
     table = materialise(bigram_rows(docs, shared), "contexts")
     class_of, matrix = exchange(table, lex, classes, rounds)

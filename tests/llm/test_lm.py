@@ -70,3 +70,11 @@ def test_odd_rows(spark):
     assert lm.fit_and_score(empty_table(spark)).collect() == []
     only_held = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     same(lm.fit_and_score(only_held).collect(), [(None, "a b"), (None, None)])
+
+
+def test_all_frequent_words_are_clustered(spark):
+    n = 17_000
+    rows = [(i, " ".join(f"w{(i * 500 + k) % n}" for k in range(500))) for i in range(n * 20 // 500)]
+    counts = lm.count_words(spark.createDataFrame(rows, "doc_id long, text string").where("text is not null"))
+    lex, _ = lm.lexicon(counts, None, None)
+    assert lex.m == n
