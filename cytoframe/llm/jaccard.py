@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with signature trees.
 
 1. Every distinct shingle set gets a content id; equal sets are one node from the first pass on.
-2. Blocking that loses nothing: two sets whose Jaccard is at least t differ in at most
+2. Blocking that loses a linked pair of large sets with a chance under 1e-9, and smaller ones never: two sets whose Jaccard is at least t differ in at most
    d = (1-t)/(1+t) * (|x|+|y|) shingles.  Cut the hash range into enough segments (``segments``) and one of them
    holds the same shingles in both.  Equal segments put two nodes in one block; a frequent passage alone does
    not, because a segment must agree as a whole.
@@ -317,7 +317,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: (doc_id, n_shingles, component_id); documents link when 100 * |x & y| >= percent * |x | y|.
 
     A set holds the distinct n-word shingles of the text in lower case (A-Z); with fewer words, the whole sequence as
-    one shingle.  component_id is the smallest doc_id reachable over links.  All links count; none is lost
+    one shingle.  component_id is the smallest doc_id reachable over links.  All links count; none of small sets is lost, and one of large sets with a chance under 1e-9 (``segments``)
     to sampling or to a cap, and equal sets are handled as one.
 
     Null, empty and blank texts have no shingles, link with nothing, and are their own component.  A row whose
