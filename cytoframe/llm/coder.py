@@ -1,14 +1,14 @@
 """Token ids in files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-The ids of whole documents in order of id make a segment; a segment's ids are cut into blocks.  Every block is
-coded on its own from a fresh state, so any block can be read without the others, and a damaged one is found by its
-checksum and harms no other.  All blocks of a segment are coded side by side, one id of each at a step.
-
-At each step three orders predict the next id of a block: the id that last followed the last two ids, the id
-that last followed the last one, and the ids seen so far in the block by a small hash (order 0).  Which of them is right,
-or none, is one symbol of four.  Each order gives it adaptive probabilities from its own context (how often its
-prediction held before); the three are mixed with weights that follow how well each has done in this block, and the mix
-drives a range coder.  What the symbol leaves open (the place of a seen id, or a new id) follows as plain bytes.
+The ids of whole documents in order of id make a segment; a segment's ids are cut into blocks of equal length.  Every
+block is coded on its own from a fresh state, so any block can be read without the others, and a damaged one is found
+by its checksum and harms no other.  All blocks of a segment are coded side by side, one id of each at a step.
+
+Three orders predict the next id of a block.  Order 0 gives every id of the segment a probability, from counts that stand in the
+segment's head.  Order 1 predicts the id that last followed the last id, order 2 the id that last followed the last two; each gives
+its prediction an adaptive confidence (how often such predictions held before) and leaves the rest to order 0.  The three
+distributions are mixed with weights that follow how well each has done in this block, and the mixed probability of the
+id itself drives the range coder: nothing of an id is stored beside it.
 """
 
 from __future__ import annotations
@@ -26,227 +26,242 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import work_root, write
 
-MAGIC = b"CYTOIDS1"
-BLOCK = 2048
-LANES = 4096
-_TABLE = 1024
-_SEEN = 256
+MAGIC = b"CYTOIDS2"
+#: Ids in a block at most, and blocks in a segment.
+BLOCK, LANES = 2048, 4096
+#: Bits of the hashes under which a block remembers what followed one id and two.
+_BITS1, _BITS2 = 10, 11
+#: A prediction's level counts how often it held of late; zero: nothing seen in this context yet.
 _LEVELS = 8
-_HEAD = struct.Struct("<8sIIIQ")
+#: Weights of the orders are whole numbers out of 4096.
+_SHARES = 12
+_HEAD = struct.Struct("<8sIIQI")
+
+
+class Zero:
+    """Order 0: the segment's distinct ids in ascending order and their frequencies, which add up to a power of two."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq = ids, freq.astype(np.int64)
+        self.cum = np.concatenate(([0], np.cumsum(self.freq)))
+        self.bits = int(self.cum[-1]).bit_length() - 1
+        self.p = (self.freq / float(1 << self.bits)).astype(np.float32)
+        # From a value to the place of its id; beyond 2^20 values it is searched for instead.
+        self.at = np.repeat(np.arange(len(ids)), self.freq) if self.bits <= 20 else None
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Zero, np.ndarray]:
+        """The order of a segment's ids, and the place of each id."""
+        top = int(ids.max())
+        if top < 1 << 22:
+            count = np.bincount(ids, minlength=top + 1)
+            own = np.flatnonzero(count)
+            place = np.zeros(top + 1, np.int32)
+            place[own] = np.arange(len(own))
+            place, count = place[ids], count[own]
+        else:
+            own, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+        total = 1 << max(16, len(own).bit_length() + 3)
+        freq = 1 + count * (total - len(own)) // len(ids)
+        freq[np.argmax(count)] += total - freq.sum()
+        return cls(own.astype(np.int64), freq), place.reshape(-1)
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        return self.at.take(values) if self.at is not None else np.searchsorted(self.cum, values, "right") - 1
+
+    def dump(self) -> bytes:
+        steps = np.diff(self.ids, prepend=0).astype("<u4")
+        return zlib.compress(b"".join(x.view("u1").reshape(-1, 4).T.tobytes() for x in (steps, self.freq.astype("<u4"))), 9)
+
+    @classmethod
+    def load(cls, raw: bytes) -> Zero:
+        x = np.frombuffer(zlib.decompress(raw), "u1")
+        steps, freq = (np.ascontiguousarray(part.reshape(4, -1).T).view("<u4").ravel() for part in np.split(x, 2))
+        return cls(np.cumsum(steps.astype(np.int64)), freq)
+
+
+_M1, _M2 = np.int64(2654435761), np.int64(2246822519)
+_LOW32 = np.int64(0xFFFFFFFF)
 
 
 class Model:
     """State of all blocks side by side.  Only element-wise IEEE arithmetic, so coder and decoder agree everywhere."""
 
-    def __init__(self, lanes: int):
-        self.n = lanes
+    def __init__(self, zero: Zero, lanes: int):
+        self.zero, self.n = zero, lanes
         self.at = np.arange(lanes)
-        self.base, self.base0, self.base4 = self.at * _TABLE, self.at * _SEEN, self.at * 5
-        # Predicted id plus one (zero: nothing seen) and, in the last three bits, how often it held of late.
-        self.t2 = np.zeros(lanes * _TABLE, np.uint32)
-        self.t1 = np.zeros(lanes * _TABLE, np.uint32)
-        self.t0 = np.zeros(lanes * _SEEN, np.uint32)
-        self.prev = np.zeros(lanes, np.uint32)
-        self.mixed = np.zeros(lanes, np.uint32)
-        # Probabilities of the four outcomes, by order: a row for each block and level of the order's context.
-        self.p = [np.full((k * lanes, 4), 0.25, np.float32) for k in (_LEVELS, _LEVELS, 4)]
-        self.w = [np.full((lanes, 1), 1 / 3, np.float32) for _ in range(3)]
-        self.hits = np.zeros(lanes, np.int64)
-        self.c = np.zeros((lanes, 5), np.int64)
-        self.c[:, 4] = 4096
-        self.flat = self.c.ravel()
+        self.base1, self.base2 = self.at << _BITS1, self.at << _BITS2
+        # What last followed a context, as eight times (place plus one) plus the level.
+        self.t1, self.t2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
+        self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # How often predictions of each level held, by block.
+        self.c1, self.c2 = (np.repeat(np.linspace(0.05, 0.75, _LEVELS, dtype=np.float32), lanes) for _ in range(2))
+        self.w0, self.w1, self.w2 = (np.full(lanes, x, np.float32) for x in (0.4, 0.3, 0.3))
 
     def predict(self) -> None:
-        """Predictions, and the cumulative frequencies of the four outcomes out of 4096."""
-        with np.errstate(over="ignore"):
-            h = self.prev * np.uint32(2654435761)
-            self.i1 = self.base + (h >> np.uint32(22))
-            self.i2 = self.base + (((h ^ self.mixed) * np.uint32(2246822519)) >> np.uint32(22))
-            self.mixed = h >> np.uint32(3)
-        self.v1, self.v2 = self.t1[self.i1], self.t2[self.i2]
-        self.a1, self.a2 = self.v1 >> np.uint32(3), self.v2 >> np.uint32(3)
-        n = self.n
-        self.rows = [(self.v2 & np.uint32(7)) * np.int64(n) + self.at, (self.v1 & np.uint32(7)) * np.int64(n) + self.at, (self.hits & 3) * n + self.at]
-        self.q = [p.take(r, 0) for p, r in zip(self.p, self.rows, strict=True)]
-        mix = self.w[0] * self.q[0] + self.w[1] * self.q[1] + self.w[2] * self.q[2]
-        f = (mix * np.float32(4070.0)).astype(np.int64) + 4
-        c = self.c
-        c[:, 1] = f[:, 0]
-        np.add(c[:, 1], f[:, 1], out=c[:, 2])
-        np.add(c[:, 2], f[:, 2], out=c[:, 3])
-
-    def span(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each block's outcome."""
-        i = self.base4 + symbol
-        start = self.flat[i]
-        return start, self.flat[i + 1] - start
-
-    def update(self, symbol: np.ndarray, ids1: np.ndarray) -> None:
-        """Learn the outcome, and the id plus one, of each block."""
-        one = _ONE[symbol]
-        total = np.zeros((self.n, 1), np.float32)
-        for k in range(3):
-            q = self.q[k]
-            got = q[self.at, symbol][:, None]
-            self.p[k][self.rows[k]] = q + (one - q) * np.float32(0.04)
-            self.w[k] = self.w[k] * (got + np.float32(0.002))
-            total += self.w[k]
-        for k in range(3):
-            self.w[k] = self.w[k] / total * np.float32(0.97) + np.float32(0.01)
-        x = ids1 << np.uint32(3)
-        self.t2[self.i2] = x | np.where(self.a2 == ids1, _UP[self.v2 & np.uint32(7)], _NEW[np.minimum(self.a2, 1)])
-        self.t1[self.i1] = x | np.where(self.a1 == ids1, _UP[self.v1 & np.uint32(7)], _NEW[np.minimum(self.a1, 1)])
-        self.t0[self.base0 + self.slot(ids1)] = ids1
-        self.hits = (self.hits << 1) | (symbol < 3)
-        self.prev = ids1
-
-    @staticmethod
-    def slot(ids1: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((ids1 * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64)
-
-
-_ONE = np.eye(4, dtype=np.float32)
-#: Level after a prediction held, and the first level of a context that was empty or was wrong.
-_UP, _NEW = np.array([1, 2, 3, 4, 5, 6, 7, 7], np.uint32), np.array([1, 0], np.uint32)
-_TOP, _BOTTOM, _MASK = np.int64(1 << 24), np.int64(1 << 16), np.int64(0xFFFFFFFF)
-
-
-def _narrow(low: np.ndarray, width: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-    """Range step with carries kept out: both arrays in place, 32-bit values in 64-bit integers."""
-    r = width >> 12
-    low += r * start
-    low &= _MASK
-    np.multiply(r, freq, out=width)
-
-
-def _full(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Blocks whose first byte is settled, or whose width has become too small and is cut to the next boundary."""
-    settled = (low ^ (low + width)) < _TOP
-    small = width < _BOTTOM
+        """Predicted places plus one (a1, a2), and the shares f2, f1 and f0 of the orders out of 4096."""
+        h = (self.prev * _M1) & _LOW32
+        self.i1 = self.base1 + (h >> np.int64(32 - _BITS1))
+        self.i2 = self.base2 + ((((h ^ self.before) * _M2) & _LOW32) >> np.int64(32 - _BITS2))
+        self.before = h >> np.int64(3)
+        v1, v2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.a1, self.a2 = v1 >> 3, v2 >> 3
+        self.l1, self.l2 = v1 & 7, v2 & 7
+        self.r1, self.r2 = self.l1 * np.int64(self.n) + self.at, self.l2 * np.int64(self.n) + self.at
+        self.q1, self.q2 = self.c1.take(self.r1), self.c2.take(self.r2)
+        self.f2 = (self.w2 * self.q2 * np.float32(4000.0)).astype(np.int64) + 1
+        self.f21 = (self.w1 * self.q1 * np.float32(4000.0)).astype(np.int64) + 1 + self.f2
+        self.f0 = (1 << _SHARES) - self.f21
+
+    def span(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the places ``x`` out of 2^(12 + bits of order 0)."""
+        bits, z = np.int64(self.zero.bits), self.zero
+        hit = hit2 | hit1
+        # Where both orders predict the same id, their shares lie side by side.
+        first = np.where(hit2, 0, np.where(hit1, self.f2, self.f21)) << bits
+        last = np.where(hit1, self.f21, self.f2)
+        start = np.where(hit, first, first + z.cum.take(x) * self.f0)
+        return start, np.where(hit, (last << bits) - first, z.freq.take(x) * self.f0)
+
+    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Learn the place that each block had."""
+        p0, q1, q2 = self.zero.p.take(x), self.q1, self.q2
+        w0, w1, w2 = self.w0 * p0, self.w1 * (q1 * hit1 + (1 - q1) * p0), self.w2 * (q2 * hit2 + (1 - q2) * p0)
+        scale = np.float32(0.97) / (w0 + w1 + w2)
+        self.w0, self.w1, self.w2 = (w * scale + np.float32(0.01) for w in (w0, w1, w2))
+        self.c1[self.r1] = q1 + (hit1 - q1) * np.float32(0.03)
+        self.c2[self.r2] = q2 + (hit2 - q2) * np.float32(0.03)
+        v = (x.astype(np.int32) + np.int32(1)) << np.int32(3)
+        self.t1[self.i1] = v + np.where(hit1, np.minimum(self.l1 + 1, 7), 1).astype(np.int32)
+        self.t2[self.i2] = v + np.where(hit2, np.minimum(self.l2 + 1, 7), 1).astype(np.int32)
+        self.prev = x + 1
+
+
+_SETTLED, _SMALL, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
+
+
+def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Blocks whose first 16 bits are settled, or whose width has become too small and is cut to the next boundary."""
+    settled = (low ^ (low + width)) < _SETTLED
+    small = width < _SMALL
     small &= ~settled
     if small.any():
-        width[small] = -low[small] & (_BOTTOM - 1)
+        width[small] = (~low[small] + np.uint64(1)) & (_SMALL - np.uint64(1))
         settled |= small
     return np.flatnonzero(settled)
 
 
-def code_blocks(ids: np.ndarray, wide: int) -> list[bytes]:
-    """Coded bytes of each block of BLOCK ids (the last may be shorter), fresh states each."""
-    lanes = -(-len(ids) // BLOCK)
-    length = np.full(lanes, BLOCK)
-    length[-1] = len(ids) - BLOCK * (lanes - 1)
-    grid = np.zeros(lanes * BLOCK, np.uint32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T) + np.uint32(1)
-    m = Model(lanes)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK)
-    out, n_out = np.zeros((lanes, BLOCK * 2 + 8), np.uint8), np.zeros(lanes, np.int64)
-    raw, n_raw = np.zeros((lanes, BLOCK * wide), np.uint8), np.zeros(lanes, np.int64)
-    at = np.arange(lanes)
-    for step in range(int(length.max())):
-        live = step < length
-        x = grid[step]
+def _grid(n: int) -> tuple[int, int]:
+    """(blocks, ids in each) for n ids; the last block is filled up."""
+    lanes = -(-n // BLOCK)
+    return lanes, -(-n // lanes) if lanes else 0
+
+
+def code_blocks(zero: Zero, places: np.ndarray) -> list[bytes]:
+    """Coded bytes of each block of ids, given as places in ``zero``; fresh states each."""
+    lanes, length = _grid(len(places))
+    grid = np.zeros(lanes * length, np.int32)
+    grid[: len(places)] = places
+    grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
+    m, bits = Model(zero, lanes), np.uint64(zero.bits + _SHARES)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    room = 3 * length + 8
+    out, at = np.zeros(lanes * room, "<u2"), np.arange(lanes) * room
+    first = at.copy()
+    for row in grid:
+        x = row.astype(np.int64)
         m.predict()
-        slot = m.slot(x)
-        s = np.where(x == m.a2, 0, np.where(x == m.a1, 1, np.where(m.t0[m.base0 + slot] == x, 2, 3)))
-        c, f = m.span(s)
-        if live.all():
-            _narrow(low, width, c, f)
-        else:
-            lo, wi = low[live], width[live]
-            _narrow(lo, wi, c[live], f[live])
-            low[live], width[live] = lo, wi
-        while len(i := _full(low, width)):
-            out[i, n_out[i]] = low[i] >> 24
-            n_out[i] += 1
-            low[i] = (low[i] << 8) & _MASK
-            width[i] = (width[i] << 8) & _MASK
-        i = np.flatnonzero((s == 2) & live)
-        raw[i, n_raw[i]] = slot[i]
-        n_raw[i] += 1
-        i = np.flatnonzero((s == 3) & live)
-        plain = x[i] - np.uint32(1)
-        for b in range(wide):
-            raw[i, n_raw[i] + b] = (plain >> np.uint32(8 * b)) & np.uint32(255)
-        n_raw[i] += wide
-        m.update(s, x)
+        hit2, hit1 = m.a2 == x + 1, m.a1 == x + 1
+        start, freq = m.span(x, hit2, hit1)
+        r = width >> bits
+        low += r * start.view(np.uint64)
+        np.multiply(r, freq.view(np.uint64), out=width)
+        i = _settle(low, width)
+        while len(i):
+            v = low[i]
+            out[at[i]] = v >> np.uint64(48)
+            at[i] += 1
+            v, w = v << _WORD, width[i] << _WORD
+            more = _settle(v, w)
+            low[i], width[i] = v, w
+            i = i[more]
+        m.update(x, hit2, hit1)
     for _ in range(4):
-        out[at, n_out] = low >> 24
-        n_out += 1
-        low = (low << 8) & _MASK
-    return [struct.pack("<HI", int(o), int(r)) + out[i, :o].tobytes() + raw[i, :r].tobytes() for i, (o, r) in enumerate(zip(n_out, n_raw, strict=True))]
-
-
-def decode_blocks(blocks: list[bytes], length: np.ndarray, wide: int) -> np.ndarray:
-    """Ids of blocks coded by ``code_blocks``; length: ids in each."""
-    lanes = len(blocks)
-    heads = [struct.unpack_from("<HI", b) for b in blocks]
-    code, raw = np.zeros((lanes, max(h[0] for h in heads) + 8), np.uint8), np.zeros((lanes, max(h[1] for h in heads) + 8), np.uint8)
-    for i, (b, (o, r)) in enumerate(zip(blocks, heads, strict=True)):
-        code[i, :o] = np.frombuffer(b, np.uint8, o, 6)
-        raw[i, :r] = np.frombuffer(b, np.uint8, r, 6 + o)
-    m = Model(lanes)
-    at = np.arange(lanes)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, _MASK)
-    value = (code[:, 0].astype(np.int64) << 24) | (code[:, 1].astype(np.int64) << 16) | (code[:, 2].astype(np.int64) << 8) | code[:, 3]
-    n_in, n_raw = np.full(lanes, 4, np.int64), np.zeros(lanes, np.int64)
-    steps = int(length.max())
-    grid = np.zeros((steps, lanes), np.uint32)
-    for step in range(steps):
-        live = step < length
+        out[at] = low >> np.uint64(48)
+        at += 1
+        low = low << _WORD
+    return [out[a:b].tobytes() for a, b in zip(first.tolist(), at.tolist(), strict=True)]
+
+
+def decode_blocks(zero: Zero, blocks: list[bytes], n: int) -> np.ndarray:
+    """Places of ``n`` ids from blocks coded by ``code_blocks``."""
+    lanes, length = len(blocks), _grid(n)[1]
+    room = max(map(len, blocks)) // 2 + 8
+    code = np.zeros((lanes, room), "<u2")
+    for i, b in enumerate(blocks):
+        code[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+    code, last = code.ravel().astype(np.uint64), np.arange(lanes) * room + room - 1
+    at = np.arange(lanes) * room
+    m, bits, low0 = Model(zero, lanes), np.uint64(zero.bits + _SHARES), np.int64(zero.bits)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    value = np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        value = (value << _WORD) | code.take(at)
+        at += 1
+    grid, top = np.zeros((length, lanes), np.int32), (1 << zero.bits) - 1
+    for step in range(length):
         m.predict()
-        v = ((value - low) & _MASK) // (width >> 12)
-        s = (v >= m.c[:, 1]).astype(np.int64) + (v >= m.c[:, 2]) + (v >= m.c[:, 3])
-        c, f = m.span(s)
-        if live.all():
-            _narrow(low, width, c, f)
-        else:
-            lo, wi = low[live], width[live]
-            _narrow(lo, wi, c[live], f[live])
-            low[live], width[live] = lo, wi
-        while len(i := _full(low, width)):
-            value[i] = ((value[i] << 8) & _MASK) | code[i, np.minimum(n_in[i], code.shape[1] - 1)]
-            n_in[i] += 1
-            low[i] = (low[i] << 8) & _MASK
-            width[i] = (width[i] << 8) & _MASK
-        x = np.where(s == 0, m.a2, m.a1)
-        i = np.flatnonzero((s == 2) & live)
-        x[i] = m.t0[m.base0[i] + raw[i, n_raw[i]]]
-        n_raw[i] += 1
-        i = np.flatnonzero((s == 3) & live)
-        plain = np.zeros(len(i), np.uint32)
-        for b in range(wide):
-            plain |= raw[i, n_raw[i] + b].astype(np.uint32) << np.uint32(8 * b)
-        x[i] = plain + np.uint32(1)
-        n_raw[i] += wide
+        r = width >> bits
+        v = ((value - low) // r).view(np.int64)
+        share = v >> low0
+        by2, by1 = share < m.f2, share < m.f21
+        x = np.where(by2, m.a2, m.a1) - 1
+        other = np.flatnonzero(~by1)
+        rest = (v[other] - (m.f21[other] << low0)) // m.f0[other]
+        x[other] = zero.places(np.clip(rest, 0, top))
+        np.maximum(x, 0, out=x)  # only damage that the checksum missed could ask for an empty context
         grid[step] = x
-        m.update(s, x)
-    out = (grid.T - np.uint32(1)).reshape(-1) if steps == BLOCK else np.concatenate([grid[:k, i] - np.uint32(1) for i, k in enumerate(length)])
-    return out[: int(length.sum())] if steps == BLOCK else out
+        hit2, hit1 = m.a2 == x + 1, m.a1 == x + 1
+        start, freq = m.span(x, hit2, hit1)
+        low += r * start.view(np.uint64)
+        np.multiply(r, freq.view(np.uint64), out=width)
+        i = _settle(low, width)
+        while len(i):
+            value[i] = (value[i] << _WORD) | code.take(np.minimum(at[i], last[i]))
+            at[i] += 1
+            a, w = low[i] << _WORD, width[i] << _WORD
+            more = _settle(a, w)
+            low[i], width[i] = a, w
+            i = i[more]
+        m.update(x, hit2, hit1)
+    return grid.T.reshape(-1)[:n]
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A segment: head, index of documents, table of blocks (bytes and checksum of each), blocks."""
-    wide = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    blocks = code_blocks(ids, wide) if len(ids) else []
+    """A segment: head, index of documents, order 0, table of blocks (bytes and checksum of each), blocks."""
+    blocks, order = [], b""
+    if len(ids):
+        zero, places = Zero.of(ids)
+        blocks, order = code_blocks(zero, places), zero.dump()
     index = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
     tables = np.array([len(b) for b in blocks], "<u4").tobytes() + np.array([zlib.crc32(b) for b in blocks], "<u4").tobytes()
-    head = _HEAD.pack(MAGIC, wide, len(doc_ids), len(blocks), len(ids))
-    return head + struct.pack("<I", zlib.crc32(head + index + tables)) + index + tables + b"".join(blocks)
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(blocks), len(ids), len(order))
+    return head + struct.pack("<I", zlib.crc32(head + index + order + tables)) + index + order + tables + b"".join(blocks)
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, lengths, ids) of a segment; damage is a ValueError that names the block."""
-    magic, wide, n_docs, n_blocks, n_ids = _HEAD.unpack_from(payload)
+    magic, n_docs, n_blocks, n_ids, n_order = _HEAD.unpack_from(payload)
     at = _HEAD.size + 4
     index, tables = n_docs * 13, n_blocks * 8
-    if magic != MAGIC or zlib.crc32(payload[: _HEAD.size] + payload[at : at + index + tables]) != struct.unpack_from("<I", payload, _HEAD.size)[0]:
+    if magic != MAGIC or zlib.crc32(payload[: _HEAD.size] + payload[at : at + index + n_order + tables]) != struct.unpack_from("<I", payload, _HEAD.size)[0]:
         raise ValueError("damaged segment head")
     doc_ids = np.frombuffer(payload, "<i8", n_docs, at)
     null = np.frombuffer(payload, "u1", n_docs, at + 8 * n_docs)
     lengths = np.frombuffer(payload, "<u4", n_docs, at + 9 * n_docs)
     at += index
+    order = payload[at : at + n_order]
+    at += n_order
     size, crc = np.frombuffer(payload, "<u4", n_blocks, at), np.frombuffer(payload, "<u4", n_blocks, at + 4 * n_blocks)
     at += tables
     blocks = []
@@ -255,11 +270,11 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += n
         if zlib.crc32(blocks[-1]) != c:
             raise ValueError(f"damaged block {i}")
-    length = np.full(n_blocks, BLOCK)
-    if n_blocks:
-        length[-1] = n_ids - BLOCK * (n_blocks - 1)
-    parts = [decode_blocks(blocks[i : i + LANES], length[i : i + LANES], wide) for i in range(0, n_blocks, LANES)]
-    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    ids = np.empty(0, np.uint32)
+    if n_ids:
+        zero = Zero.load(order)
+        ids = zero.ids.astype(np.uint32)[decode_blocks(zero, blocks, n_ids)]
+    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, ids
 
 
 def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 0, vocabulary: str | None = None) -> None:
@@ -268,7 +283,8 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     Rows are range-partitioned by id (nulls first; rows that repeat an id in order of their text), so each file
     holds a range of ids and files follow one another.  A file has rows (shard, segment, n_tokens, payload);
     payload is a segment as ``pack`` makes it.  Null and empty texts have the end id alone.  A text is
-    never split over segments, however long.  An empty table writes no segment.
+    never split over segments, however long.  An empty table writes no segment.  Columns other than the two named are not
+    read, whatever their names.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

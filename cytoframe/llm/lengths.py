@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import materialise
 
 #: Lengths in one bucket of the two-level suffix sums.
 BUCKET = 1024
 
 
 def token_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) per input row; null and empty texts have 0, repeated rows count each, very long texts are encoded whole."""
+    """(doc_id, n_tokens) per input row; null and empty texts have 0, repeated rows count each, very long texts are encoded whole,
+    null ids stay null, an empty table gives no rows; columns other than the two named are not read, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = tokens.encoder(vocabulary or tokens.default_vocabulary())
@@ -32,12 +34,14 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row per length that occurs: (n_tokens, n_docs, docs_at_least, tokens_at_least, docs_total, tokens_total, truncated_total).
 
     docs_at_least and tokens_at_least are suffix sums over documents of this length or longer; truncated_total is
-    the tokens that are left of all documents when each is cut at this length.  An empty table gives no rows.
+    the tokens that are left of all documents when each is cut at this length.  An empty table gives no rows; a null length
+    counts as no document; other columns of ``lengths`` are not read.
 
     Documents are counted by length before the shuffle.  Suffix sums run in two levels, over the lengths of a bucket and
     over the buckets, so no task gets all lengths.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET))
+    # One row per length, read twice below, so it is written: nothing encodes the texts again.
+    hist = materialise(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)), "histogram")
     per = hist.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

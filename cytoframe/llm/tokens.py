@@ -13,8 +13,8 @@ import regex
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the published pattern by which byte-level vocabularies of this kind cut text before merging.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Marks a text that is one piece as it stands.
-WHOLE = "\0whole:"
+#: Marks a piece that is encoded as it stands, without a space before it.
+AS_IS = "\0"
 #: Control characters on which engines differ about white space.
 _DISPUTED = re.compile(r"[\x1c-\x1f\x85]")
 
@@ -29,10 +29,11 @@ def default_vocabulary() -> str:
 class WordEncoder(dict):
     """Ids of texts, as the library gives them for the whole text without adding special tokens.
 
-    The library cuts a text by a published pattern and merges within the pieces alone.  So texts are cut by the same
-    pattern here, and each distinct piece is given to the library once per worker, up to a bound.  The dictionary numbers the
-    pieces, and arrays hold the ids of each number.  Texts that hold a special token's string, or characters on
-    which engines disagree, go to the library whole.
+    The library cuts a text by a published pattern and merges within the pieces alone.  A single space between two
+    characters that are not white space always begins a piece, and so does a line break; so a text is cut there, and each
+    distinct stretch is given to the library once per worker, up to a bound.  The dictionary numbers the stretches, and
+    arrays hold the ids of each number.  Texts with any other white space at a cut are cut by the pattern itself, and
+    those that hold a special token's string, or characters on which engines disagree, go to the library whole.
     """
 
     def __init__(self, path: str, bound: int = 800_000, longest: int = 64):
@@ -44,31 +45,66 @@ class WordEncoder(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bound, self.longest = bound, longest
         self.new: dict[str, int] = {}
+        self.uneven = False
         self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def __missing__(self, piece: str) -> int:
         n = self.new.get(piece)
         if n is None:
+            if piece[:1] != AS_IS and piece != "\n":
+                inner = piece[1:] if piece[:1] == "\n" else piece
+                if not inner or inner[0].isspace() or inner[-1].isspace():
+                    self.uneven = True
+                    return 0
             n = self.new[piece] = len(self.start) - 1 + len(self.new)
         return n
 
-    def by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids)."""
+    def by_library(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each stretch, all ids)."""
+        texts = [x[1:] if x[0] == AS_IS else x if x[0] == "\n" else " " + x for x in stretches]
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
 
+    def stretches(self, text: str) -> list[str]:
+        """The text cut at single spaces and line breaks; a stretch stands for itself with a space before it, unless it begins with AS_IS or a line break."""
+        if AS_IS in text or any(s in text for s in self.special) or ("\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"))):
+            return self.by_pattern(text)
+        out = text.replace("\n", " \n").split(" ")
+        if out[0]:
+            out[0] = AS_IS + out[0]
+        elif len(out) > 1 and out[1][:1] == "\n":
+            del out[0]
+        else:
+            return self.by_pattern(text)
+        return out
+
+    def by_pattern(self, text: str) -> list[str]:
+        """The text cut by the published pattern, or whole."""
+        if _DISPUTED.search(text) or any(s in text for s in self.special):
+            return [AS_IS + text]
+        return [AS_IS + x for x in PATTERN.findall(text)]
+
     def numbered(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
         """(pieces of each text, numbers of all pieces, where each number's ids begin, ids)."""
-        pieces: list[list[str]] = []
-        for text in texts:
-            whole = text and (_DISPUTED.search(text) or any(s in text for s in self.special))
-            pieces.append([] if not text else [WHOLE + text] if whole else PATTERN.findall(text))
+        pieces = [self.stretches(x) if x else [] for x in texts]
         counts = list(map(len, pieces))
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+        if self.uneven:
+            # Some text has white space that a cut would split: the texts are looked at one by one.
+            found = []
+            for i, text in enumerate(texts):
+                self.uneven = False
+                own = list(map(self.__getitem__, pieces[i]))
+                if self.uneven:
+                    own = list(map(self.__getitem__, self.by_pattern(text)))
+                found.append(own)
+            self.uneven = False
+            counts = list(map(len, found))
+            numbers = np.fromiter(chain.from_iterable(found), np.int64, sum(counts))
         start, ids = self.start, self.ids
         if self.new:
-            lengths, more = self.by_library([p.removeprefix(WHOLE) for p in self.new])
+            lengths, more = self.by_library(list(self.new))
             start, ids = np.concatenate((start, start[-1] + np.cumsum(lengths))), np.concatenate((ids, more))
             # A full memory keeps what it holds: frequent pieces come early, and what comes late mostly comes once.
             if len(self) < self.bound and len(ids) < 16 * self.bound:
