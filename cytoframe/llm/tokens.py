@@ -10,6 +10,8 @@ from itertools import chain, pairwise
 import numpy as np
 import regex
 
+from .bpe import byte_letters
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the published pattern by which byte-level vocabularies of this kind cut text before merging.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -17,6 +19,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 AS_IS = "\0"
 #: Control characters on which engines differ about white space.
 _DISPUTED = re.compile(r"[\x1c-\x1f\x85]")
+#: From a byte to the letter that stands for it in the vocabulary.
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 def default_vocabulary() -> str:
@@ -43,6 +47,7 @@ class WordEncoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model, self.pieces = self.library.model, {}
         self.bound, self.longest = bound, longest
         self.new: dict[str, int] = {}
         self.uneven = False
@@ -60,9 +65,26 @@ class WordEncoder(dict):
         return n
 
     def by_library(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each stretch, all ids)."""
-        texts = [x[1:] if x[0] == AS_IS else x if x[0] == "\n" else " " + x for x in stretches]
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """(number of ids of each stretch, all ids).  The library's model gets the stretch piece by piece; what the pattern may cut otherwise goes through the whole library."""
+        found: list[list[int]] = []
+        model, pieces = self.model, self.pieces
+        for x in stretches:
+            text = x[1:] if x[0] == AS_IS else x if x[0] == "\n" else " " + x
+            if x.isascii() and x.isalpha():
+                found.append([t.id for t in model.tokenize("Ġ" + x)])
+                continue
+            if _DISPUTED.search(text) or any(s in text for s in self.special):
+                found.append(self.library.encode(text, add_special_tokens=False).ids)
+                continue
+            ids: list[int] = []
+            for p in PATTERN.findall(text):
+                known = pieces.get(p)
+                if known is None:
+                    known = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]
+                    if len(pieces) < self.bound // 4 and len(p) <= self.longest:
+                        pieces[p] = known
+                ids += known
+            found.append(ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
 
