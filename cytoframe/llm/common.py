@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and \t \n \v \f \r.  ``bytes.split()`` splits on
@@ -21,9 +21,11 @@ _OWN: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cytoframe-")
@@ -62,9 +64,25 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_work_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            discard_path(t.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first variation of it that no column of ``df`` has (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row; nulls count, so that equal values in other columns differ."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"`{c}`").isNull() for c in df.columns))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -12,8 +12,6 @@ SEED = "cytoframe-mix"
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most so often.
 MAX_REPEATS = 3
-#: Evenly spaced starts tried around a source's random one; the one whose words come nearest to the target is the offset.
-STARTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -52,22 +50,23 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """One row per input row: (doc_id, source, size, source_size, target, copies, taken).
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, row_col: str | None = None, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """One row per input row: (doc_id, source, size, source_size, target, copies, taken), and ``row`` where ``row_col`` names a key to carry along.
 
     Systematic sampling: within a source every document expects rate = target / source_size copies.  The
-    documents stand in order of size and id; the prefix sum of expected copies up to document k is
+    documents stand in order of size, id and row key; the prefix sum of expected copies up to document k is
     rate * k, and a document is emitted once for each integer that rate * k plus the source's one random offset
-    passes.  So each gets the rate rounded down or up, and neighbours in size share the rounding.  The offset is
-    drawn per source from the seed; of ``STARTS`` evenly spaced ones from there on, the first whose words come
-    nearest to the target is taken, which matters for sources of few documents.
+    passes.  So each gets the rate rounded down or up, neighbours in size share the rounding, and the words taken
+    differ from the target by no more than the source's longest document.  The offset is drawn per source from the seed.
 
     Null texts and texts without words have size 0 and follow the same rule; a null source is a source of its
     own, last; null ids come first among equals; repeated rows count each on its own.  A source
-    without any words takes nothing.  An empty table gives no rows.  Other columns are not read.
+    without any words takes nothing.  Very long texts are counted whole.  An empty table gives no rows.  Other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    ranked = with_rank(docs, "source", "size", "doc_id")
+    row = [] if row_col is None else [F.col(row_col).alias("row")]
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *row)
+    names = ["row"] if row else []
+    ranked = with_rank(docs, "source", "size", "doc_id", *names)
     per_source = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("rank").alias("first"))
     # One row per source; Spark broadcasts it only while it is below its threshold.
     targets = source_targets(per_source.select("source", "source_size"), weights, max_repeats)
@@ -75,20 +74,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     t = t.select(F.col("source").alias("s2"), "source_size", "target", "first")
     j = ranked.join(t, F.col("source").eqNullSafe(F.col("s2")), "inner").drop("s2")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    j = j.withColumn("rate", rate).withColumn("k", F.col("rank") - F.col("first"))
-
-    def copies(u: Column) -> Column:
-        return F.least(F.floor(F.col("rate") * (F.col("k") + 1) + u) - F.floor(F.col("rate") * F.col("k") + u), F.ceil("rate")).cast("long")
-
-    def start(i: int) -> Column:
-        u = offset(F.col("source"), seed) + F.lit(i / STARTS)
-        return u - F.floor(u)
-
-    # One row per source, summed before the shuffle.
-    words = j.groupBy("source").agg(F.first("target").alias("target"), *(F.sum(copies(start(i)) * F.col("size")).alias(f"w{i}") for i in range(STARTS)))
-    gaps = F.array(*(F.struct(F.abs(F.col(f"w{i}") - F.col("target")).alias("gap"), F.lit(i).alias("i")) for i in range(STARTS)))
-    best = words.select(F.col("source").alias("s2"), F.array_min(gaps)["i"].alias("i"))
-    j = j.join(best, F.col("source").eqNullSafe(F.col("s2")), "inner").drop("s2")
-    u = offset(F.col("source"), seed) + F.col("i") / F.lit(float(STARTS))
-    j = j.withColumn("copies", copies(u - F.floor(u)))
-    return j.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    j = j.withColumn("rate", rate).withColumn("k", F.col("rank") - F.col("first")).withColumn("u", offset(F.col("source"), seed))
+    copies = F.least(F.floor(F.col("rate") * (F.col("k") + 1) + F.col("u")) - F.floor(F.col("rate") * F.col("k") + F.col("u")), F.ceil("rate")).cast("long")
+    j = j.withColumn("copies", copies)
+    return j.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *names)

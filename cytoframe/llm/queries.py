@@ -102,13 +102,10 @@ WITH d AS (
     row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS k,
     CAST(CAST('0x' || substr(md5('cytoframe-mix|' || coalesce('s' || d.source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), o AS (
-  SELECT k.*, i, u + i / 32.0::DOUBLE - floor(u + i / 32.0::DOUBLE) AS v FROM k CROSS JOIN (SELECT unnest(range(32)) AS i) x
 ), c AS (
-  SELECT *, CAST(least(floor(rate * k + v) - floor(rate * (k - 1) + v), ceil(rate)) AS BIGINT) AS copies FROM o
-), g AS (SELECT source, i, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, i
-), b AS (SELECT source, i FROM (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY gap, i) AS n FROM g) y WHERE n = 1)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c JOIN b ON c.i = b.i AND c.source IS NOT DISTINCT FROM b.source
+  SELECT *, CAST(least(floor(rate * k + u) - floor(rate * (k - 1) + u), ceil(rate)) AS BIGINT) AS copies FROM k
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
 

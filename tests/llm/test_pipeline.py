@@ -1,4 +1,5 @@
 from helpers import empty_table, odd_table
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,10 +30,24 @@ def test_stages_one_by_one(spark):
 
 def test_odd_and_empty_tables(spark):
     for df in (odd_table(spark, ["the quick brown fox jumps over the lazy dog and runs far away into the dark green wood near our old house today"] * 3), empty_table(spark)):
-        for _, stage in corpus_pipeline.STAGES[:3]:
-            out = stage(spark, df, SF)
-            assert out.columns == df.columns
-            out.count()
+        for df in (df, df.withColumnsRenamed({"node": "copies", "key": "row_key"}).withColumns({"_id": F.lit(1), "_first": F.lit(2), "place": F.lit(3), "component_id": F.lit(4)})):
+            for _, stage in corpus_pipeline.STAGES[:3]:
+                out = stage(spark, df, SF)
+                assert out.columns == df.columns
+                rows = {repr(r) for r in df.collect()}
+                assert all(repr(r) in rows for r in out.collect())
+            assert corpus_pipeline.bpe_encode(spark, df, SF).count() == df.count()
+
+
+def test_null_and_repeated_ids_multiply_nothing(spark):
+    text = "some plain words of one document "
+    for ids in ([None] * 10 + [1], [7] * 10 + [1]):
+        rows = [(d, text * (1 + i), "a") for i, d in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        want = sum(r.copies for r in mixing.mix(df).collect())
+        assert corpus_pipeline.mix_sources(spark, df, SF).count() == want and abs(want - 11) <= 1
+        same = spark.createDataFrame([(d, text, "a") for d in ids], df.schema)
+        assert corpus_pipeline.mix_sources(spark, same, SF).count() == 11
 
 
 def test_one_row_of_repeated_documents_stays(spark):
@@ -40,4 +55,7 @@ def test_one_row_of_repeated_documents_stays(spark):
     rows = [(1, t), (1, t), (2, t), (3, t + " tail"), (4, "other words entirely"), (None, t), (5, None), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.near_duplicates(spark, df, SF).collect()
-    assert sorted((r.doc_id for r in out), key=repr) == sorted([1, 4, 5, None], key=repr)
+    # The row without an id is a copy of document 1 and goes with the others.
+    assert sorted(r.doc_id for r in out) == [1, 4, 5]
+    alone = spark.createDataFrame([(None, t), (None, t + " tail"), (None, "other words entirely")], df.schema)
+    assert corpus_pipeline.near_duplicates(spark, alone, SF).count() == 2
