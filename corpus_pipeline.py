@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytoframe.llm import bpe, jaccard, mixing, quality
-from cytoframe.llm.common import work_root
+from cytoframe.llm.common import discard_path, free_name, row_key, work_root
 
 #: Words per shingle and percent of Jaccard similarity from which documents are near copies.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -25,26 +25,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id; of rows that repeat its id, one.
+    """One document of each group of near copies: that with the smallest id (rows without an id come last, then a hash of the row decides).
 
-    Documents without an id are in no group and stay; documents without words are groups of their own.
+    Rows are told apart by all of their columns, so rows with a null id or a repeated one take part like any other; of rows
+    that agree in every column one stays.  Documents without words link with nothing and stay.  An empty table gives
+    no rows; columns of any name travel unchanged.
     """
-    found = jaccard.jaccard_components(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    one = Window.partitionBy("_first").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_first")).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    key, place = free_name(docs, "row_key"), free_name(docs, "place")
+    keyed = docs.withColumn(key, row_key(docs))
+    found = jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    first = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id").agg(F.min(order)["row"].alias(key))
+    one = Window.partitionBy(key).orderBy(key)
+    return keyed.join(first.select(key), key).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Each document as often as the mix takes it.
+
+    Rows are told apart by all of their columns, so null and repeated ids multiply nothing; rows that agree in every column
+    come out as often as the mix takes all of them together.  An empty table gives no rows; columns of any
+    name travel unchanged.
+    """
+    key, place, copies = (free_name(docs, x) for x in ("row_key", "place", "copies"))
+    keyed = docs.withColumn(key, row_key(docs))
+    mixed = mixing.mix(keyed.select("doc_id", "text", "source", F.col(key).alias("row")), row_col="row")
+    taken = mixed.groupBy(F.col("row").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    one = Window.partitionBy(key).orderBy(key)
+    joined = keyed.join(taken, key).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
+    return joined.withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and decoded text."""
+    """Token ids of every document, and the digests of ids and decoded text; null and empty texts have no ids, null ids stay null, repeated rows come out each."""
     e = bpe.encoded_and_decoded(docs)
     return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -61,13 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{work_root(spark)}/cytoframe/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{i}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+        if i:
+            discard_path(spark, f"{folder}/{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
