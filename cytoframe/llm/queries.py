@@ -38,7 +38,7 @@ def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
+    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_marked")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,47 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+def test_marks_on_what_wraps_the_page_or_holds_its_text_do_not_count():
+    article = "<article><h1 class='post-header'>T</h1><p class='social'>one</p><blockquote id='search'>two</blockquote></article>"
+    wrap = ('<div class="page no-sidebar">%s</div>', '<form id="aspnetForm">%s</form>', '<div class="tag-search">%s</div>', "%s")
+    for w in wrap:
+        page = "<body>" + w % (article + '<ol class="comment-list"><article class="comment-body"><p>' + "first! " * 90 + "</p></article></ol>") + "<nav>menu</nav></body>"
+        assert [t for t, s in html.page_lines(page) if s == html.KEPT] == ["T", "one", "two"], w
+        assert [s for t, s in html.page_lines(page) if t not in ("T", "one", "two")] == [html.GONE] * 2
+    assert [s for _, s in html.page_lines("<body><form><p>all of it</p></form></body>")] == [html.FREE]
+
+
+def test_long_pages_are_compared_in_halves(monkeypatch):
+    r = random.Random(2)
+    for size, table in ((40, 16), (300, 1000)):
+        a, b = ([r.randrange(30) for _ in range(size)] for _ in range(2))
+        whole = len(html.shared_lines(a, b))
+        monkeypatch.setattr(html, "TABLE", table)
+        got = html.shared_lines(a, b)
+        monkeypatch.undo()
+        rest = iter(b)
+        assert len(got) == whole and all(a[i] in rest for i in got) and got == sorted(set(got))
+
+
+def test_mirrors_take_nothing_and_differencing_counts_what_it_deletes(spark):
+    body = "<div>Welcome to the site</div>" + "".join(f"<p>story line {i}</p>" for i in range(6))
+    rows = [(1, "http://m.org/a/1", body), (2, "http://m.org/a/1?print", body), (3, "http://m.org/a/2", "<div>Welcome to the site</div><p>other</p><p>text</p><p>here</p><nav>Welcome to the site</nav>")]
+    by = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "\n".join(f"story line {i}" for i in range(6))
+    assert by[3].text == "other\ntext\nhere" and (by[3].n_lines, by[3].n_shared, by[3].n_marked) == (5, 1, 1)
+    assert {by[1].text.removeprefix("Welcome to the site\n"), by[2].text.removeprefix("Welcome to the site\n")} == {story}
+
+
+def test_clashing_columns_and_long_pages(spark):
+    from pyspark.sql import functions as F
+
+    page = "<article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://a.org/1", page), (1, "http://a.org/1", page), (2, "http://a.org/2", None)], "page_id long, url string, html string")
+    df = df.withColumns({c: F.lit("x") for c in ("key", "host", "path", "lines", "rank", "shared", "text", "n_lines")})
+    out = html.main_text(df).collect()
+    assert [len(r.text.split("\n")) for r in out if r.page_id == 1] == [20_000] * 2 and [r.text for r in out if r.page_id == 2] == [""]
+
+
 def test_op5_is_the_article_of_every_page(spark):
     import re
     from html import unescape
