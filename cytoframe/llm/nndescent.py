@@ -1,32 +1,37 @@
 """Embedding near-duplicates by NN-descent with an audited recall.
 
-Equal vectors are one node.  The neighbour graph starts from blocks of nodes that stand together in orders by
-random hyperplanes, and is refined by joining the neighbours of each node with one another.  Lists full of links are enlarged, and each node also keeps its best
+Equal vectors are one node.  The neighbour graph starts from a few blocks of nodes that stand together in orders by
+random hyperplanes; that is a weak start, and the rounds carry the search: the neighbours of each node, and those whose
+neighbour it is, are joined with one another, and what is nearer than a node's list goes into it.  A round joins only
+neighbourhoods in which something is new.  Lists full of links are enlarged, and each node also keeps its best
 neighbours outside its component, so a family of any size does not fill them up.  Rounds go on until one joins no
-components and leaves the lists as they were, and new orders until a whole search from fresh ones joins none.  Brute force over a bounded sample of nodes,
-half of them with links, measures the recall; where it stays too low the operator fails.  Within each component the
-links of every vector are counted exactly, block against block.
+components and brings hardly any new neighbours, and new starts until a whole search from a fresh one joins none.  Brute force over a bounded sample of nodes,
+half of them with links, measures the recall; where it stays too low the operator fails.  Links of every vector
+are then counted exactly: parts of a component at such angles from one of its vectors that all or none of their pairs link are counted
+as a whole, and only what is left is compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, materialise, with_rank
 
 #: Neighbours in a list, and times it may grow while all of it are links.
-K, GROWTH = 6, 4
+K, GROWTH = 8, 3
 #: Orders by random hyperplanes at each start, and nodes that meet in one block.
-ORDERS, BLOCK = 8, 128
-#: A search is settled when a round joins no components and this share at most of the neighbours beyond
-#: their own component is new (what the lists hold within it can join nothing).
-SETTLED = 0.001
+ORDERS, BLOCK = 4, 128
+#: A list holds neighbours within so many times the threshold's angle; what is farther leads to no links.
+REACH = 3
+#: A search is settled when a round joins no components and this share at most of all neighbours is new.
+SETTLED = 0.01
 #: The audit: so many nodes at most, compared with all; the search goes on below this recall, and fails
 #: after so many searches in a row that found nothing new.
 AUDIT, RECALL, QUIET = 1000, 0.99, 8
@@ -84,7 +89,7 @@ def _by_length(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def start_blocks(nodes: DataFrame, seed: int) -> DataFrame:
-    """(block, node, vec, label): each node in ORDERS blocks of nodes that are neighbours in an order by signs against random hyperplanes."""
+    """(block, node, vec, label, floor, far): each node in ORDERS blocks of nodes that are neighbours in an order by signs against random hyperplanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -107,12 +112,17 @@ def start_blocks(nodes: DataFrame, seed: int) -> DataFrame:
     ranked = with_rank(keys, "t", "k", "node")
     half = F.floor(F.col("rank") / (BLOCK // 2))
     blocks = ranked.select("node", F.explode(F.array(half, half + 1)).alias("block"))
-    return blocks.join(nodes.select("node", "vec", "label"), "node").select("block", "node", "vec", "label")
+    return blocks.join(nodes, "node").select("block", *COLUMNS)
+
+
+#: What a node brings to a neighbourhood: its label, and the similarities that a neighbour, or one with another label, must exceed.
+COLUMNS = ("node", "vec", "label", "floor", "far")
 
 
 def local_join(groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim, away, link): within each group every node's best, and (away) its best with another label; with link,
-    a forest over the pairs that reach the threshold and differ in label."""
+    """(a, b, sim, away, link): within each group what is nearer to a node than its list, links, and (away) what is nearer than
+    its list among those with another label; with link, a forest over the pairs that reach the threshold and differ in label."""
+    near = math.cos(min(math.pi, REACH * math.acos(min(1.0, threshold))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -124,35 +134,26 @@ def local_join(groups: DataFrame, threshold: float) -> DataFrame:
 
         count = 0
         for _, rows in _groups(batches):
-            label_of = {r[0]: r[2] for r in rows}
+            of = {r[0]: r[2:] for r in rows}
             for n, m in _by_length(rows):
                 if len(n) < 2:
                     continue
-                labels = np.fromiter(map(label_of.__getitem__, n.tolist()), np.int64, len(n))
+                own = [of[x] for x in n.tolist()]
+                labels = np.array([x[0] for x in own], np.int64)
+                floor, far = (np.array([x[i] for x in own]) for i in (1, 2))
                 differ = labels[:, None] != labels
                 s = m @ m.T
                 np.fill_diagonal(s, -2.0)
-                k = min(K * GROWTH, len(n) - 1)
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                sims = np.take_along_axis(s, best, 1)
-                order = np.argsort(-sims, axis=1, kind="stable")
-                best, sims = np.take_along_axis(best, order, 1), np.take_along_axis(sims, order, 1)
-                # The first K, and more only where those are all links.
-                use = (np.arange(k) < K) | (sims >= threshold)
-                i, j = np.nonzero(use)
-                held.append((n[i], n[best[i, j]], sims[i, j], differ[i, best[i, j]], np.zeros(len(i), bool)))
-                # Nodes whose lists lie in their own component look beyond it.
-                full = np.flatnonzero((~np.take_along_axis(differ, best, 1) | ~use).all(1) & differ.any(1))
-                if len(full):
-                    away = np.where(differ[full], s[full], -2.0)
-                    k = min(K, len(n) - 1)
-                    far = np.argpartition(-away, k - 1, axis=1)[:, :k]
-                    i, j = np.nonzero(np.take_along_axis(differ[full], far, 1))
-                    held.append((n[full[i]], n[far[i, j]], away[i, far[i, j]], np.ones(len(i), bool), np.zeros(len(i), bool)))
+                # A node's best K here, more where they are links, and its best K with another label.
+                wanted = ((s > floor[:, None]) | (differ & (s > far[:, None]))) & (s >= near)
+                if wanted.any():
+                    use = wanted & ((s >= _kth(s, K)) | ((s >= threshold) & (s >= _kth(s, K * GROWTH))) | (differ & (s >= _kth(np.where(differ, s, -2.0), K))))
+                    i, j = np.nonzero(use)
+                    held.append((n[i], n[j], s[i, j], differ[i, j], np.zeros(len(i), bool)))
                     count += len(i)
                 x, y = forest((s >= threshold) & differ)
                 held.append((n[x], n[y], s[x, y], np.ones(len(x), bool), np.ones(len(x), bool)))
-                count += len(use) + len(x)
+                count += len(x)
                 if count > 200_000:
                     yield out()
                     count = 0
@@ -164,6 +165,12 @@ def local_join(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, "a long, b long, sim double, away boolean, link boolean")
 
 
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row (the least of all where there are fewer), as a column."""
+    k = min(k, s.shape[1])
+    return -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+
+
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the symmetric matrix connects."""
     seen, x, y = np.zeros(len(linked), bool), [], []
@@ -183,23 +190,43 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_lists(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim, away): each node's best K, up to GROWTH times as many where all of them are links, and its best K away."""
+    """(a, b, sim, away): each node's best K, up to GROWTH times as many where all of them are links, and its best K away.
+
+    The choice is made within each task first, so of a node that is near to very many only a few rows a task move.
+    """
+
+    def chosen(a: np.ndarray, o: np.ndarray, s: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((o, -s, a))
+        a, o, s, w = a[order], o[order], s[order], w[order].astype(bool)
+        again = np.concatenate(([False], (a[1:] == a[:-1]) & (o[1:] == o[:-1])))
+        a, o, s, w = a[~again], o[~again], s[~again], w[~again]
+        first = np.searchsorted(a, a)
+        place = np.arange(len(a)) - first
+        before = np.concatenate(([0], np.cumsum(w)))
+        use = (place < K) | ((s >= threshold) & (place < K * GROWTH)) | (w & (before[:-1] - before[first] < K))
+        return pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(o[use]), pa.array(s[use]), pa.array(w[use])], names=["a", "b", "sim", "away"])
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count > 500_000:
+                yield chosen(*_arrays(held))
+                held, count = [], 0
+        if count:
+            yield chosen(*_arrays(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            a, o, s, w = b
-            order = np.lexsort((o, -s, a))
-            a, o, s, w = a[order], o[order], s[order], w[order].astype(bool)
-            again = np.concatenate(([False], (a[1:] == a[:-1]) & (o[1:] == o[:-1])))
-            a, o, s, w = a[~again], o[~again], s[~again], w[~again]
-            first = np.searchsorted(a, a)
-            place = np.arange(len(a)) - first
-            before = np.concatenate(([0], np.cumsum(w)))
-            use = (place < K) | ((s >= threshold) & (place < K * GROWTH)) | (w & (before[:-1] - before[first] < K))
-            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(o[use]), pa.array(s[use]), pa.array(w[use])], names=["a", "b", "sim", "away"])
+            yield chosen(*b)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("a", "b", "sim", "away").repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double, away boolean")
+    n, kind = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a long, b long, sim double, away boolean"
+    return rows.select("a", "b", "sim", "away").mapInArrow(early, kind).repartition(n, "a").sortWithinPartitions("a").mapInArrow(run, kind)
+
+
+def _arrays(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(4)]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -215,12 +242,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         yield tuple(held)
 
 
-def neighbourhoods(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(pivot, node, vec, label): each node with its neighbours and with the best of those whose neighbour it is."""
-    back = best_lists(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "away"), threshold)
-    own = lists.select(F.col("a").alias("pivot"), F.col("a").alias("node"))
-    members = lists.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(back.select("a", "b")).union(own).distinct()
-    return members.join(nodes.select("node", "vec", "label"), "node").select("pivot", "node", "vec", "label")
+def with_floors(nodes: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """(node, vec, label, floor, far): the K-th similarities of a node's list, or -2 where it has room."""
+    if lists is None:
+        return nodes.select("node", "vec", "label", F.lit(-2.0).alias("floor"), F.lit(-2.0).alias("far"))
+    # A list has a bounded number of entries.
+    kth = lambda c: F.coalesce(F.get(F.sort_array(F.collect_list(c), asc=False), F.lit(K - 1)), F.lit(-2.0))
+    floors = lists.groupBy(F.col("a").alias("node")).agg(kth("sim").alias("floor"), kth(F.when(F.col("away"), F.col("sim"))).alias("far"), F.min("sim").alias("least"), F.count("*").alias("n"))
+    # Where all of a list are links it may grow, so further links are wanted.
+    return nodes.join(floors, "node", "left").select("node", "vec", "label", F.coalesce(F.when(F.col("n") >= K, F.col("floor")), F.lit(-2.0)).alias("floor"), F.coalesce("far", F.lit(-2.0)).alias("far"))
+
+
+def neighbourhoods(lists: DataFrame, nodes: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """(pivot, node, vec, label, floor, far): each pivot with its neighbours and with the best of those whose neighbour it is."""
+    back = best_lists(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "away").join(pivots, F.col("a") == F.col("pivot"), "left_semi"), threshold)
+    mine = lists.join(pivots, F.col("a") == F.col("pivot"), "left_semi").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+    members = mine.union(back.select("a", "b")).union(pivots.select("pivot", F.col("pivot").alias("node"))).distinct()
+    return members.join(with_floors(nodes, lists), "node").select("pivot", *COLUMNS)
 
 
 def audit_links(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -249,21 +287,44 @@ def audit_links(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select("node", "vec").mapInArrow(run, "a long, b long")
 
 
-def count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): vectors of other nodes linked with each node, by exact comparison of all chunks of its component.
+def count_links(member: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): vectors of other nodes linked with each node, exactly, for rows (comp, node, weight, vec).
 
-    Rows (comp, node, n_chunks, chunk, weight, vec).  Only sums leave a task, never pairs.
+    The nodes of a component stand in order of their angle from one of its vectors and are cut in chunks.  By the
+    triangle inequality two chunks link in all pairs where their largest angles add up to less than the threshold's, and in none
+    where they lie farther apart than that; these are settled by the chunks' sums.  Other chunks are compared; only sums leave a task.
     """
+    whole, slack = math.acos(min(1.0, threshold)), 1e-6
+    centre = member.groupBy(F.col("comp").alias("c")).agg(F.min_by("vec", "node").alias("centre"))
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, c = ([np.frombuffer(x, np.float64) for x in b.column(i).to_pylist()] for i in (3, 4))
+            angle = [math.acos(max(-1.0, min(1.0, float(x @ y)))) if len(x) == len(y) else 4.0 for x, y in zip(v, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(angle, pa.float64())], names=["comp", "node", "weight", "angle"])
+
+    at = member.join(centre, F.col("comp") == F.col("c")).select("comp", "node", "weight", "vec", "centre").mapInArrow(angles, "comp long, node long, weight long, angle double")
+    ranked = with_rank(at, "comp", "angle", "node", "weight")
+    starts = ranked.groupBy(F.col("comp").alias("c")).agg(F.min("rank").alias("start"))
+    placed = materialise(ranked.join(starts, F.col("comp") == F.col("c")).select("comp", "node", "weight", "angle", F.floor((F.col("rank") - F.col("start")) / CHUNK).cast("long").alias("chunk")), "placed")
+    chunks = placed.groupBy("comp", "chunk").agg(F.sum("weight").alias("sum"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    chunks = materialise(chunks, "chunks")  # one row for each chunk
+    two = chunks.alias("p").join(chunks.alias("q"), (F.col("p.comp") == F.col("q.comp")) & (F.col("q.lo") - F.col("p.hi") <= whole + slack) & (F.col("p.lo") - F.col("q.hi") <= whole + slack))
+    sure = F.col("p.hi") + F.col("q.hi") < whole - slack
+    two = two.select(F.col("p.comp").alias("comp"), F.col("p.chunk").alias("chunk"), F.col("q.chunk").alias("other"), F.when(sure, F.col("q.sum")).alias("sum"))
+    settled = two.groupBy("comp", "chunk").agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("all"), F.max(F.when(F.col("chunk") == F.col("other"), F.col("sum").isNotNull())).alias("self"))
+    links = placed.join(settled, ["comp", "chunk"]).select("node", (F.col("all") - F.when(F.col("self"), F.col("weight")).otherwise(0)).alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             nodes, sums = [], []
+            sides = 2 if any(r[1] for r in rows) else 1
             for length in {len(r[3]) for r in rows}:
                 part = [[r for r in rows if len(r[3]) == length and r[1] == side] for side in (0, 1)]
                 n = [np.array([r[0] for r in p], np.int64) for p in part]
                 w = [np.array([r[2] for r in p], np.int64) for p in part]
                 m = [np.frombuffer(b"".join(r[3] for r in p), np.float64).reshape(len(p), -1) if p else None for p in part]
-                x, y = (0, 1) if rows_have_other(rows) else (0, 0)
+                x, y = 0, sides - 1
                 if not len(n[x]) or not len(n[y]):
                     continue
                 linked = m[x] @ m[y].T >= threshold
@@ -275,21 +336,21 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sums).astype(np.int64))], names=["node", "links"])
 
-    def rows_have_other(rows: list[tuple]) -> bool:
-        return any(r[1] for r in rows)
-
+    open_ = two.where("sum is null")
     lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
-    s = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
-    tasks = s.select(F.xxhash64("comp", lo, hi).alias("task"), "node", F.when(F.col("chunk") == lo, 0).otherwise(1).alias("side"), "weight", "vec")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    tasks = member.join(placed.select("node", "chunk"), "node").join(open_.select("comp", "chunk", "other"), ["comp", "chunk"])
+    tasks = tasks.select(F.xxhash64("comp", lo, hi).alias("task"), "node", F.when(F.col("chunk") == lo, 0).otherwise(1).alias("side"), "weight", "vec")
+    n = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    compared = tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "node long, links long")
+    return links.unionByName(compared).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def find_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+def find_links(nodes: DataFrame, threshold: float, *, max_rounds: int | None = None, max_searches: int | None = None) -> tuple[DataFrame, float]:
     """(a, b) links that connect all found, and the share of sampled nodes with links whose links all lie in their
     component (1.0 where neither the search nor the sample has any).
 
-    Raises where that share stays below RECALL though new searches find nothing more.
+    Raises where that share stays below RECALL though new searches find nothing more.  With a number of rounds or searches
+    the search ends there, whatever its recall.
     """
     plain = nodes.select("node", "vec")
     labelled = plain.withColumn("label", F.col("node"))
@@ -299,39 +360,56 @@ def find_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
     while True:
         merged = False
 
-        def join(groups: DataFrame, name: str) -> tuple[DataFrame, bool]:
-            """Rows of the local join; where some join two components, the labels follow."""
+        def join(groups: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+            """Rows of the local join; where some join two components, the labels follow, and the nodes that have another label now."""
             nonlocal labelled, labels, merged
             rows = materialise(local_join(groups, threshold), name)
             new = rows.where("link").select("a", "b")
             if new.isEmpty():
-                return rows, False
+                return rows, None
             merged = True
-            parts.append(new)
+            parts.append(materialise(new, "links"))
             stars = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
-            labels = materialise(components(_union([*stars, new])), "labels")
+            before, labels = labels, materialise(components(_union([*stars, parts[-1]])), "labels")
             labelled = plain.join(labels, "node", "left").select("node", "vec", F.coalesce("label", "node").alias("label"))
-            return rows, True
-
-        rows, _ = join(start_blocks(labelled, attempt), "start")
-        search = rows.where("not link").select("a", "b", "sim", "away")
-        # Neighbours listed as away may by now be in the same component; the others are kept.
-        lists = materialise(best_lists(search if lists is None else search.unionByName(lists.where("not away")), threshold), "lists")
-        changed = True
-        while changed:
-            rows, changed = join(neighbourhoods(lists, labelled, threshold), "round")
-            # A node meets all of its list in its own neighbourhood, so its new list is no worse.
-            better = materialise(best_lists(rows.where("not link"), threshold), "lists")
-            away = better.where("away")
-            n_new, n_all = away.join(lists, ["a", "b"], "left_anti").count(), away.count()
-            discard(lists)
-            lists, changed = better, changed or n_new > SETTLED * n_all
+            moved = labels.select(F.col("node").alias("pivot"), F.col("label").alias("_l"))
+            if before is not None:
+                moved = moved.join(before.select(F.col("node").alias("pivot"), F.col("label").alias("_l")), ["pivot", "_l"], "left_anti")
+            return rows, moved.select("pivot")
+
+        def merge(rows: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame, int, int]:
+            """Lists with what the local join found, neighbourhoods that have something new, and numbers of new neighbours and of all."""
+            seen = rows.where("not link").select("a", "b", "sim", "away")
+            if lists is not None:
+                seen = seen.unionByName(lists)
+            if moved is not None:
+                # Who is away is settled anew under the labels of now.
+                of = labels.select("node", "label")
+                seen = seen.join(of.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b", "left")
+                seen = seen.select("a", "b", "sim", (F.coalesce("_la", "a") != F.coalesce("_lb", "b")).alias("away"))
+            better = materialise(best_lists(seen, threshold), "lists")
+            fresh = better if lists is None else better.join(lists, ["a", "b"], "left_anti")
+            fresh = materialise(fresh.select("a", "b"), "fresh")
+            pivots = fresh.select(F.col("a").alias("pivot")).union(fresh.select("b"))
+            pivots = materialise((pivots if moved is None else pivots.union(moved)).distinct(), "pivots")
+            counts = fresh.count(), better.count()
+            discard(rows, fresh, *([] if lists is None else [lists]))
+            return better, pivots, *counts
+
+        lists, pivots, *_ = merge(*join(start_blocks(with_floors(labelled, lists), attempt), "start"))
+        rounds, changed = 0, not pivots.isEmpty()
+        while changed and (max_rounds is None or rounds < max_rounds):
+            rows, moved = join(neighbourhoods(lists, labelled, pivots, threshold), "round")
+            discard(pivots)
+            lists, pivots, n_new, n_all = merge(rows, moved)
+            rounds, changed = rounds + 1, moved is not None or n_new > SETTLED * n_all
         attempt += 1
         if merged and attempt > 1:
             quiet = 0
         elif attempt > 1:
             quiet += 1
-        if not quiet:
+        last = max_searches is not None and attempt >= max_searches
+        if not quiet and not last:
             continue
         if truth is None:
             truth = materialise(audit_links(labelled, threshold), "audit")
@@ -342,7 +420,8 @@ def find_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
             seen = truth.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("a", (F.col("la") == F.col("lb")).alias("same"))
         r = seen.groupBy("a").agg(F.min("same").alias("whole")).agg(F.count("*").alias("n"), F.count_if("whole").alias("k")).first()
         recall = r["k"] / r["n"] if r["n"] else 1.0
-        if recall >= RECALL:
+        if recall >= RECALL or last:
+            discard(lists, pivots)
             return _union(parts), recall
         if quiet >= QUIET:
             raise RuntimeError(f"the search found all links of {r['k']} of {r['n']} sampled nodes, below {RECALL}, and {quiet} more searches found none")
@@ -355,33 +434,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.95) -> DataFrame:
-    """One row per input row: (vec_id, n_links, component_id, kept).
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.95, recall_col: str | None = None) -> DataFrame:
+    """One row per input row: (vec_id, n_links, component_id, kept), and the audited recall where ``recall_col`` names a column for it.
 
     Two vectors link when their cosine, in double precision, is at least ``threshold``.  n_links counts the other rows
     linked; component_id is the smallest vec_id reachable over links; kept says that it is the row's own.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, are their own
     component and are kept.  Vectors of different lengths do not link.  Rows with a null id count as vectors; a
     component of such rows alone has no id and none of it is kept.  Rows that repeat an id are rows of their own.
-    An empty table gives no rows.  Other columns are not read.
+    An empty table gives no rows.  Other columns are not read, whatever their names.
     """
-    spark: SparkSession = df.sparkSession
     rows = materialise(vectors(df, id_col, vec_col), "vectors")
     valid = rows.where("node is not null")
+    audited = lambda x: [] if recall_col is None else [F.lit(float(x)).alias(recall_col)]
     if valid.isEmpty():
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), *audited(1.0))
     nodes = materialise(valid.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.first("vec").alias("vec")), "nodes")
-    links, _ = find_links(nodes, threshold)
+    links, recall = find_links(nodes, threshold)
     comp = components(links).withColumnRenamed("label", "comp")
     member = comp.join(nodes, "node").select("comp", "node", "weight", "vec")
-    ranked = with_rank(member.select("comp", "node"), "comp", "node")
-    starts = ranked.groupBy("comp").agg(F.min("rank").alias("start"), F.ceil(F.count("*") / CHUNK).cast("long").alias("n_chunks"))
-    place = ranked.join(starts, "comp").select("node", "n_chunks", F.floor((F.col("rank") - F.col("start")) / CHUNK).cast("long").alias("chunk"))
-    counts = materialise(count_links(member.join(place, "node"), threshold), "counts")
+    counts = materialise(count_links(member, threshold), "counts")
     per_node = nodes.select("node", "weight", "first").join(comp, "node", "left").join(counts, "node", "left")
     per_node = per_node.select("node", F.coalesce("comp", "node").alias("comp"), "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least = per_node.groupBy("comp").agg(F.min("first").alias("least"))
     per_node = per_node.join(least, "comp").select("node", "n_links", "least")
     out = rows.select("vec_id", "node").join(per_node, "node", "left")
     c = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("least"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("vec_id") == c), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("vec_id") == c), F.lit(False))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), kept.alias("kept"), *audited(recall))

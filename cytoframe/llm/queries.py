@@ -20,7 +20,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), recall_col="recall")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
