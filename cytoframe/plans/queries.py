@@ -396,8 +396,9 @@ def q_dose_response(spark, sf_dir):
 
 
 def q_decode_culture(spark, sf_dir):
-    c = per_second(spark, sf_dir)
-    trained = classify.train(c.drop("day", "stressor", "strain", "dose_uM"), "h2o2", "absolute")
+    # All positions of a condition are one field here, and 5 usable cells make a field, so that the smallest tables have fields too.
+    c = per_second(spark, sf_dir).withColumn("sample_id", F.lit("all"))
+    trained = classify.train(c.drop("day", "stressor", "strain", "dose_uM"), "h2o2", "absolute", min_cells=5)
     new = c.where("strain = 'tr' and stressor = 'h2o2' and day = '20260101'").drop("day", "stressor", "strain", "dose_uM")
     return classify.decode(new, trained).drop("p", "doses", "time_p")
 
