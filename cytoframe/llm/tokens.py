@@ -15,8 +15,6 @@ from .bpe import byte_letters
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the published pattern by which byte-level vocabularies of this kind cut text before merging.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Marks a piece that is encoded as it stands, without a space before it.
-AS_IS = "\0"
 #: Control characters on which engines differ about white space.
 _DISPUTED = re.compile(r"[\x1c-\x1f\x85]")
 #: From a byte to the letter that stands for it in the vocabulary.
@@ -30,126 +28,193 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class WordEncoder(dict):
+class Stretches:
+    """Numbers of stretches of text, found by arrays alone: an open table of hashes, with the stretch's first eight letters and length beside each.
+
+    A stretch counts as known where its 64-bit hash, its first eight bytes and its length all agree.
+    """
+
+    def __init__(self, bound: int):
+        bits = max(8, (2 * bound).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.hash, self.head, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.number = np.full(1 << bits, -1, np.int32)
+
+    def find(self, h: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers, or -1 for what is not known."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h >> self.shift).view(np.int64)
+        while len(left):
+            n = self.number.take(slot)
+            same = (self.hash.take(slot) == h[left]) & (self.head.take(slot) == head[left]) & (self.size.take(slot) == size[left]) & (n >= 0)
+            out[left[same]] = n[same]
+            on = (n >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, head: np.ndarray, size: np.ndarray, number: np.ndarray) -> None:
+        """Enter stretches that are not there yet; the table must have room."""
+        left, slot = np.arange(len(h)), (h >> self.shift).view(np.int64)
+        while len(left):
+            free = self.number.take(slot) < 0
+            # Of several for one slot the last written stays, and the others go on.
+            self.number[slot[free]] = number[left[free]]
+            won = free & (self.number.take(slot) == number[left])
+            at = slot[won]
+            self.hash[at], self.head[at], self.size[at] = h[left[won]], head[left[won]], size[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
+
+
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Longer stretches are never taken for one another.
+HUGE = 256
+#: The last bytes of a word of eight that do not belong to a stretch of so many bytes are masked.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of stretches of bytes, and their first eight bytes; ``data`` has eight bytes to spare at its end."""
+    words = np.lib.stride_tricks.as_strided(data[: (len(data) // 8) * 8].view(np.uint64), (len(data) - 8,), (1,))
+    with np.errstate(over="ignore"):
+        head = words[start] & _MASKS.take(np.minimum(size, 8))
+        h = (head ^ size.astype(np.uint64)) * _M1
+        h ^= h >> np.uint64(32)
+        left = np.flatnonzero(size > 8)
+        done = 8
+        while len(left) and done < HUGE:
+            w = words[start[left] + done] & _MASKS.take(np.minimum(size[left] - done, 8))
+            x = (h[left] ^ w) * _M2
+            h[left] = x ^ (x >> np.uint64(29))
+            done += 8
+            left = left[size[left] > done]
+        h = (h ^ (h >> np.uint64(31))) * _M2
+    return h, head
+
+
+class WordEncoder:
     """Ids of texts, as the library gives them for the whole text without adding special tokens.
 
-    The library cuts a text by a published pattern and merges within the pieces alone.  A single space between two
-    characters that are not white space always begins a piece, and so does a line break; so a text is cut there, and each
-    distinct stretch is given to the library once per worker, up to a bound.  The dictionary numbers the stretches, and
-    arrays hold the ids of each number.  Texts with any other white space at a cut are cut by the pattern itself, and
+    The library cuts a text by a published pattern and merges within the pieces alone.  A space or a line break begins
+    a piece, unless it stands in a longer run of white space; so a text is cut before each of them, and each
+    distinct stretch is given to the library once per worker, up to a bound; arrays hold the ids of each number.
+    Texts with longer runs, or other white space at a cut, are cut by the pattern itself, and
     those that hold a special token's string, or characters on which engines disagree, go to the library whole.
     """
 
-    def __init__(self, path: str, bound: int = 800_000, longest: int = 64):
-        super().__init__()
+    def __init__(self, path: str, bound: int = 1_000_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(c.isspace() for s in self.special for c in s):
+            raise ValueError("special tokens with white space are not supported")
         self.model, self.pieces = self.library.model, {}
         self.bound, self.longest = bound, longest
-        self.new: dict[str, int] = {}
-        self.uneven = False
-        self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
-
-    def __missing__(self, piece: str) -> int:
-        n = self.new.get(piece)
-        if n is None:
-            if piece[:1] != AS_IS and piece != "\n":
-                inner = piece[1:] if piece[:1] == "\n" else piece
-                if not inner or inner[0].isspace() or inner[-1].isspace():
-                    self.uneven = True
-                    return 0
-            n = self.new[piece] = len(self.start) - 1 + len(self.new)
-        return n
-
-    def by_library(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each stretch, all ids).  The library's model gets the stretch piece by piece; what the pattern may cut otherwise goes through the whole library."""
-        found: list[list[int]] = []
-        model, pieces = self.model, self.pieces
-        for x in stretches:
-            text = x[1:] if x[0] == AS_IS else x if x[0] == "\n" else " " + x
-            if x.isascii() and x.isalpha():
-                found.append([t.id for t in model.tokenize("Ġ" + x)])
-                continue
-            if _DISPUTED.search(text) or any(s in text for s in self.special):
-                found.append(self.library.encode(text, add_special_tokens=False).ids)
-                continue
-            ids: list[int] = []
-            for p in PATTERN.findall(text):
-                known = pieces.get(p)
-                if known is None:
-                    known = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]
-                    if len(pieces) < self.bound // 4 and len(p) <= self.longest:
-                        pieces[p] = known
-                ids += known
-            found.append(ids)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-
-    def stretches(self, text: str) -> list[str]:
-        """The text cut at single spaces and line breaks; a stretch stands for itself with a space before it, unless it begins with AS_IS or a line break."""
-        if AS_IS in text or any(s in text for s in self.special) or ("\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"))):
-            return self.by_pattern(text)
-        out = text.replace("\n", " \n").split(" ")
-        if out[0]:
-            out[0] = AS_IS + out[0]
-        elif len(out) > 1 and out[1][:1] == "\n":
-            del out[0]
-        else:
-            return self.by_pattern(text)
-        return out
+        self.known, self.kept = Stretches(bound), 0
+        # Ids of number n: ids[start[n] : start[n + 1]]; where plain is false, its text cannot be cut at spaces.  Arrays with room to grow.
+        self.n, self.start, self.plain, self.ids = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), np.zeros(1 << 14, np.uint32)
 
-    def by_pattern(self, text: str) -> list[str]:
-        """The text cut by the published pattern, or whole."""
+    def encode_text(self, text: str) -> list[int]:
+        """Ids of a text cut by the published pattern; the library's model gets it piece by piece."""
         if _DISPUTED.search(text) or any(s in text for s in self.special):
-            return [AS_IS + text]
-        return [AS_IS + x for x in PATTERN.findall(text)]
-
-    def numbered(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-        """(pieces of each text, numbers of all pieces, where each number's ids begin, ids)."""
-        pieces = [self.stretches(x) if x else [] for x in texts]
-        counts = list(map(len, pieces))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
-        if self.uneven:
-            # Some text has white space that a cut would split: the texts are looked at one by one.
-            found = []
-            for i, text in enumerate(texts):
-                self.uneven = False
-                own = list(map(self.__getitem__, pieces[i]))
-                if self.uneven:
-                    own = list(map(self.__getitem__, self.by_pattern(text)))
-                found.append(own)
-            self.uneven = False
-            counts = list(map(len, found))
-            numbers = np.fromiter(chain.from_iterable(found), np.int64, sum(counts))
-        start, ids = self.start, self.ids
-        if self.new:
-            lengths, more = self.by_library(list(self.new))
-            start, ids = np.concatenate((start, start[-1] + np.cumsum(lengths))), np.concatenate((ids, more))
-            # A full memory keeps what it holds: frequent pieces come early, and what comes late mostly comes once.
-            if len(self) < self.bound and len(ids) < 16 * self.bound:
-                self.start, self.ids = start, ids
-                self.update(x for x in self.new.items() if len(x[0]) <= self.longest)
-            self.new = {}
-        return counts, numbers, start, ids
+            return self.library.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for p in PATTERN.findall(text):
+            known = self.pieces.get(p)
+            if known is None:
+                known = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]
+                if len(self.pieces) < 200_000 and len(p) <= self.longest:
+                    self.pieces[p] = known
+            ids += known
+        return ids
+
+    def learn(self, found: list[bytes]) -> np.ndarray:
+        """Numbers of new stretches, whose ids the arrays hold from now on."""
+        tokenize, parts, plain = self.model.tokenize, [], []
+        for raw in found:
+            text = raw.decode()
+            inner = text[1:] if raw[0] in (32, 10) else text
+            if raw[0] == 32 and inner.isascii() and inner.isalpha():
+                parts.append([t.id for t in tokenize("Ġ" + inner)])
+                plain.append(True)
+                continue
+            plain.append(not inner or not (inner[0].isspace() or inner[-1].isspace() or any(s in text for s in self.special)))
+            parts.append(self.encode_text(text) if plain[-1] else [])
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        more = np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))
+        first, end = self.n, self.n + len(found)
+        if end + 1 > len(self.plain):
+            self.start, self.plain = (np.concatenate((x, np.zeros(max(len(x), end + 1), x.dtype))) for x in (self.start, self.plain))
+        at = int(self.start[first])
+        if at + len(more) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(more)), np.uint32)))
+        self.ids[at : at + len(more)] = more
+        self.start[first + 1 : end + 1] = at + np.cumsum(lengths)
+        self.plain[first:end] = plain
+        self.n = end
+        return np.arange(first, end)
+
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all stretches, where each text's stretches begin and the end, texts that cannot be cut at spaces)."""
+        self.n = self.kept  # what was learnt last time and not kept is dropped
+        raws = [x.encode() if x else b"" for x in texts]
+        joined = b"".join([*raws, bytes(16)])
+        data, total = np.frombuffer(joined, np.uint8), len(joined) - 16
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        cut = (data[:total] == 32) | (data[:total] == 10)
+        gap = cut.copy()
+        cut[begins[begins < ends]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(start, append=total)
+        bounds = np.searchsorted(start, np.append(begins, total))
+        h, head = hashes(data, start, size)
+        huge = np.flatnonzero(size > HUGE)
+        h[huge] = huge.astype(np.uint64)
+        numbers = self.known.find(h, head, size)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            order = new[np.lexsort((size[new], head[new], h[new]))]
+            fresh = np.concatenate(([True], (h[order[1:]] != h[order[:-1]]) | (head[order[1:]] != head[order[:-1]]) | (size[order[1:]] != size[order[:-1]])))
+            at = order[fresh]
+            # A full memory keeps what it holds: frequent stretches come early, and what comes late mostly comes once.
+            enter = size[at] <= self.longest
+            enter &= np.cumsum(enter) <= self.bound - self.kept
+            rank = np.argsort(~enter, kind="stable")
+            own = np.empty(len(at), np.int64)
+            own[rank] = self.learn([joined[s : s + k] for s, k in zip(start[at[rank]].tolist(), size[at[rank]].tolist(), strict=True)])
+            numbers[order] = own[np.cumsum(fresh) - 1]
+            at, own = at[enter], own[enter]
+            self.known.add(h[at], head[at], size[at], own)
+            self.kept += len(at)
+        # White space alone may stand before a stretch, but not twice in a row.
+        alone = (size == 1) & gap[start]
+        bad = ~self.plain.take(numbers)
+        twice = np.flatnonzero(alone[1:] & alone[:-1]) + 1
+        bad[twice[~np.isin(twice, bounds)]] = True
+        return numbers, bounds, np.unique(np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        counts, numbers, start, ids = self.numbered(texts)
-        first = start[numbers]
-        length = start[numbers + 1] - first
+        numbers, bounds, odd = self.numbered(texts)
+        first = self.start.take(numbers)
+        length = self.start.take(numbers + 1) - first
         ends = np.concatenate(([0], np.cumsum(length)))
-        out = ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], length)].astype("<u4")
-        cuts = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
-        return [out[a:b].tobytes() for a, b in pairwise(cuts)]
+        out = self.ids.take(np.arange(ends[-1]) + np.repeat(first - ends[:-1], length)).astype("<u4", copy=False)
+        found = [out[a:b].tobytes() for a, b in pairwise(ends[bounds].tolist())]
+        for i in odd.tolist():
+            found[i] = np.array(self.encode_text(texts[i]), "<u4").tobytes()
+        return found
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Number of ids of each text."""
-        counts, numbers, start, _ = self.numbered(texts)
-        ends = np.concatenate(([0], np.cumsum(start[numbers + 1] - start[numbers])))
-        return np.diff(ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]).tolist()
+        numbers, bounds, odd = self.numbered(texts)
+        ends = np.concatenate(([0], np.cumsum(self.start.take(numbers + 1) - self.start.take(numbers))))
+        found = np.diff(ends[bounds]).tolist()
+        for i in odd.tolist():
+            found[i] = len(self.encode_text(texts[i]))
+        return found
 
 
 @lru_cache(1)
