@@ -75,7 +75,8 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, floors=quality.fit_floors(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first, second, third, last = (f for _, f in corpus_pipeline.STAGES)
-    good = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
+    floors = quality.fit_floors(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {r.doc_id for r in quality.quality(docs, floors=floors).where("kept").collect()}
     a = first(spark, docs, SF)
     assert a.columns == docs.columns and {r.doc_id for r in a.collect()} == good
     keep = {r.component_id for r in jaccard.jaccard_components(a, n=5, percent=80).collect()}

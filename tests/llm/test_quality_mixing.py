@@ -61,9 +61,35 @@ def test_bands_reject_what_is_no_text(spark):
     assert out[1].kept and not out[2].kept and out[4].fallback_share > 0.5
 
 
-def test_clean_documents_stay(spark):
-    r = queries.op10_quality(spark, SF).where("not base_failed").selectExpr("avg(cast(kept as int)) as a").first()
-    assert r.a > 0.99
+def labelled(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, docs.join(labels, "doc_id")
+
+
+def test_floors_of_one_table_judge_another(spark):
+    docs, labels, _ = labelled(spark, "sf0.01")
+    floors = quality.fit_floors(docs, labels)
+    assert set(floors) == {"latin"} and quality.fit_floors(docs, labels, limit=FIT) != {} and quality.fit_floors(docs, labels, limit=3) == {}
+    rows = labelled(spark, "sf0.1")[2].where("doc_id >= 1000").select("text", "quality").toArrow()
+    got = [(q, r[5], r[6]) for q, r in zip(rows["quality"].to_pylist(), quality.measured(rows["text"].combine_chunks(), None, floors), strict=True)]
+    good, bad = ([kept for q, failed, kept in got if q == x and not failed] for x in (1, 0))
+    assert len(good) > 1000 and len(bad) > 100
+    # Good documents stay, and most of the bad ones that pass the base rules go.
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.4 * len(bad)
+
+
+FIT = 200
+
+
+def test_floors_of_odd_labels(spark):
+    df = odd_table(spark)
+    labels = spark.createDataFrame([(None, 1, 0), (8, 1, 0), (8, 1, 0), (999, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    assert quality.fit_floors(df, labels) == {} and quality.fit_floors(empty_table(spark), labels) == {} and quality.fit_floors(df, labels.limit(0)) == {}
+    rows = [("latin", 1 << k, 1.0 - 0.05 * k) for k in (7, 8, 9) for _ in range(30)] + [("latin", 1 << 11, 0.1), ("greek", 4, 0.9)]
+    floors = quality.floors_from(rows)
+    assert floors["latin"] == ([7.0, 8.0, 9.0], pytest.approx([0.64, 0.59, 0.54])) and set(floors) == {"latin"}
+    assert quality.least_entropy_of(floors, "latin", 11.0) == pytest.approx(0.44) and quality.least_entropy_of(floors, "latin", 3.0) == pytest.approx(0.64)
+    assert quality.least_entropy_of(floors, "greek", 8.0) == 0.0 and quality.least_entropy_of(None, "latin", 8.0) == 0.0
 
 
 def test_op8_against_sql(spark):
