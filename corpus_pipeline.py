@@ -20,8 +20,9 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality rules, with entropy floors fitted on a bounded sample of the labelled good ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, floors=quality.fit_floors(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
