@@ -37,23 +37,24 @@ def work_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> None:
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
     """Write Parquet, and free the shuffle files of the query at once: nothing reads them after their result is on disk."""
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")
     try:
         # Whether to clean up is settled when a query is planned, so the frame is made anew under the setting.
-        df.select("*").write.parquet(path)
+        out = df.select("*").write
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table (in folders by the values of a column) in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/cytoframe/{name}-{uuid.uuid4().hex}"
-    write(df, path)
+    write(df, path, by)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
@@ -198,3 +199,80 @@ def components(edges: DataFrame) -> DataFrame:
         del moved, both, to, new
     discard(e)
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+
+
+_H1, _H2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Longer stretches are never taken for one another.
+HUGE = 256
+#: The last bytes of a word of eight that do not belong to a stretch of so many bytes are masked.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of stretches of bytes, and their first eight bytes; ``data`` has eight bytes to spare at its end."""
+    words = np.lib.stride_tricks.as_strided(data[: (len(data) // 8) * 8].view(np.uint64), (len(data) - 8,), (1,))
+    with np.errstate(over="ignore"):
+        head = words[start] & _MASKS.take(np.minimum(size, 8))
+        h = (head ^ size.astype(np.uint64)) * _H1
+        h ^= h >> np.uint64(32)
+        left = np.flatnonzero(size > 8)
+        done = 8
+        while len(left) and done < HUGE:
+            w = words[start[left] + done] & _MASKS.take(np.minimum(size[left] - done, 8))
+            x = (h[left] ^ w) * _H2
+            h[left] = x ^ (x >> np.uint64(29))
+            done += 8
+            left = left[size[left] > done]
+        h = (h ^ (h >> np.uint64(31))) * _H2
+    return h, head
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(signed hashes of all words of the texts in order, lower-cased in A-Z; number of words of each text); null is empty."""
+    raws = text_bytes(texts)
+    joined = b" ".join([*raws, bytes(16)]).lower()
+    data, total = np.frombuffer(joined, np.uint8), len(joined) - 16
+    gap = (data[:total] == 32) | ((data[:total] - np.uint8(9)) < 5)
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    h, _ = hashes(data, start, size)
+    for i in np.flatnonzero(size > HUGE).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(joined[start[i] : end[i]])
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in raws), np.int64, len(raws)))
+    return h.view(np.int64), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+class Places:
+    """Places of 64-bit hashes in an array of distinct ones, by an open table."""
+
+    def __init__(self, known: np.ndarray):
+        bits = max(8, (2 * len(known)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.hash, self.place = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(known)), self._slot(known)
+        while len(left):
+            free = self.place.take(slot) < 0
+            # Of several for one slot the last written stays, and the others go on.
+            self.place[slot[free]] = left[free]
+            won = free & (self.place.take(slot) == left)
+            self.hash[slot[won]] = known[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h.view(np.uint64) * _H1) >> self.shift).view(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, or -1."""
+        slot = self._slot(h)
+        out = self.place.take(slot).astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.hash.take(slot) != h))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            p = self.place.take(slot)
+            out[left] = p
+            on = (p >= 0) & (self.hash.take(slot) != h[left])
+            left, slot = left[on], slot[on]
+        return out

@@ -5,34 +5,31 @@ P(text) is the product over its tokens (words, then one end) of P(class | class
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import Places, discard, materialise, word_hashes
 
-#: Least number of classes (it grows with the square root of the clustered words), and of words whose counts every worker
-#: holds; all words of count FREQUENT are among them however many, and are assigned to classes one by one.
+#: Least number of classes (it grows with the fourth root of the clustered words beyond 2^16), and of words whose counts
+#: every worker holds; all words of count FREQUENT are among them however many, and are assigned to classes one by one.
 #: Words beyond are not dropped: those in the lexicon share classes by count band, and the rest one class; their counts are joined.
 CLASSES, LEXICON = 64, 1 << 19
 #: Least count of a word that is assigned a class of its own choice.
 FREQUENT = 16
+#: The words move in so many parts by turns; exchange ends when all parts together raise the likelihood by less than this share of
+#: what was won so far.
+PARTS, TOLERANCE = 4, 0.05
 BANDS = 64
 DELTA = 0.1
 KAPPA = 5.0
 END_HASH = -(1 << 63)
 
 
-def word_hash(word: bytes) -> int:
-    return max(xxhash.xxh3_64_intdigest(word) - (1 << 63), END_HASH + 1)
-
-
 def training(id_col: Column) -> Column:
     """Rows to learn from: crc32 of the id as text leaves a remainder by 10; rows without an id are held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 10 != 0, F.lit(False))
@@ -42,29 +39,6 @@ def band(n: np.ndarray | int) -> np.ndarray:
     return np.minimum(np.log2(n).astype(np.int64), BANDS - 1)
 
 
-class Numbers(dict):
-    """Word -> place in the lexicon, or beyond its end a number for a word outside (whose hash is in ``outside``)."""
-
-    def __init__(self, hashes: np.ndarray, bound: int = 400_000):
-        super().__init__()
-        self.hashes, self.bound, self.outside = hashes, bound, []
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        i = int(np.searchsorted(self.hashes, h))
-        if i == len(self.hashes) or self.hashes[i] != h:
-            i = len(self.hashes) + len(self.outside)
-            self.outside.append(h)
-        self[word] = i
-        return i
-
-    def fresh(self) -> None:
-        """Start anew where too many words are held; between batches only."""
-        if len(self) > self.bound:
-            self.clear()
-            self.outside = []
-
-
 @dataclass
 class Lexicon:
     hashes: np.ndarray  # sorted, signed
@@ -90,35 +64,60 @@ class Model:
     n_end: int
 
 
-def _runs(parts: list[bytes]) -> tuple[list[bytes], list[int]]:
-    words = [x.lower().split() for x in parts]
-    return [w for ws in words for w in ws], [len(ws) for ws in words]
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of words of each text); no word has the end's hash."""
+    h, lengths = word_hashes(texts)
+    return np.where(h == END_HASH, h + 1, h), lengths
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n): counts by word hash; counted within each task first."""
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
-        held: Counter = Counter()
-        ends = 0
+class Counts:
+    """Counts by key, summed again and again as they come; given out where they become too many to hold."""
+
+    def __init__(self, most: int = 1_500_000, at_once: int = 1_000_000):
+        self.most, self.at_once, self.keys, self.sums, self.fresh, self.n_fresh = most, at_once, np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to give them out."""
+        self.fresh.append(keys)
+        self.n_fresh += len(keys)
+        if self.n_fresh < self.at_once:
+            return False
+        self.settle()
+        return len(self.keys) > self.most
+
+    def settle(self) -> None:
+        if self.fresh:
+            u, n = np.unique(np.concatenate(self.fresh), return_counts=True)
+            self.keys, self.sums = summed(np.concatenate((self.keys, u)), np.concatenate((self.sums, n)))
+            self.fresh, self.n_fresh = [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            h = np.fromiter(map(word_hash, held), np.int64, len(held))
-            n = np.fromiter(held.values(), np.int64, len(held))
-            for i in range(0, len(h), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000]), pa.array(n[i : i + 200_000])], names=["h", "n"])
-            held.clear()
+    def out(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.settle()
+        for i in range(0, len(self.keys), 200_000):
+            yield self.keys[i : i + 200_000], self.sums[i : i + 200_000]
+        self.keys, self.sums = self.keys[:0], self.sums[:0]
 
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(h, n): counts by word hash; counted within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, ends = Counts(), 0
+        rows = lambda: (pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"]) for h, n in counts.out())
         for b in batches:
             ends += b.num_rows
-            for at in range(0, b.num_rows, 512):
-                for raw in text_bytes(b.column(0).slice(at, 512)):
-                    held.update(raw.lower().split())
-                if len(held) > 500_000:
-                    yield from out()
-        yield from out()
+            for at in range(0, b.num_rows, 256):
+                if counts.add(words_in(b.column(0).slice(at, 256))[0]):
+                    yield from rows()
+        yield from rows()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([ends])], names=["h", "n"])
 
@@ -161,44 +160,37 @@ def lexicon(counts: DataFrame, size: int | None, clustered: int | None) -> tuple
     return Lexicon(h, n, symbol, m), low
 
 
-def bigram_rows(docs: DataFrame, shared) -> DataFrame:
-    """(w, contexts): for every symbol its neighbours as (side, symbol, count); side 0: after it, 1: before it.
+def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The texts' symbols with an end before the first text and after each: a text starts in the state that an end leaves."""
+    return np.insert(np.concatenate(([end], symbols)), np.cumsum(lengths) + 1, end)
 
-    A row has at most two entries per symbol, so its length is bounded whatever the data.
+
+def bigram_rows(docs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """Counts of pairs of symbols (a, b, n), and (w, x, part): for every clustered word its neighbours as (side, symbol, count); side 0: after it, 1: before it.
+
+    A row has at most two entries per symbol, so its length is bounded whatever the data.  Parts are those in which words move.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        numbers, k, end, rare = Numbers(lex.hashes), lex.size, lex.m + BANDS + 1, lex.m + BANDS
-        symbols = np.append(lex.symbol, rare)
-        keys, held = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            u, n = np.unique(np.concatenate(keys), return_counts=True)
-            for i in range(0, len(u), 200_000):
-                c = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array((u[c] // k).astype(np.int32)), pa.array((u[c] % k).astype(np.int32)), pa.array(n[c])], names=["a", "b", "n"])
-
+        places, k, end, rare = Places(lex.hashes), lex.size, lex.m + BANDS + 1, lex.m + BANDS
+        symbols, counts = np.append(lex.symbol, rare), Counts()
+        rows = lambda: (pa.RecordBatch.from_arrays([pa.array((u // k).astype(np.int32)), pa.array((u % k).astype(np.int32)), pa.array(n)], names=["a", "b", "n"]) for u, n in counts.out())
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                numbers.fresh()
-                words, lengths = _runs(text_bytes(b.column(0).slice(at, 256)))
-                s = symbols[np.minimum(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), len(lex.hashes))]
-                # An end before the first text and after each: a text starts in the state that an end leaves.
-                line = np.insert(np.concatenate(([end], s)), np.cumsum(lengths) + 1, end)
-                keys.append(line[:-1] * k + line[1:])
-                held += len(line)
-                if held > 4_000_000:
-                    yield from out()
-                    keys, held = [], 0
-        if keys:
-            yield from out()
+                h, lengths = words_in(b.column(0).slice(at, 256))
+                line = with_ends(symbols[places.find(h)], lengths, end)
+                if counts.add(line[:-1] * k + line[1:]):
+                    yield from rows()
+        yield from rows()
 
     pairs = materialise(docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
     m = shared.value.m
-    after = pairs.select(F.col("a").alias("w"), F.struct(F.lit(0).alias("side"), F.col("b").alias("o"), "n").alias("x"))
+    after = pairs.where(F.col("a") < m).select(F.col("a").alias("w"), F.struct(F.lit(0).alias("side"), F.col("b").alias("o"), "n").alias("x"))
     before = pairs.where(F.col("b") < m).select(F.col("b").alias("w"), F.struct(F.lit(1).alias("side"), F.col("a").alias("o"), "n").alias("x"))
-    return after.union(before).groupBy("w").agg(F.collect_list("x").alias("x"))
+    part = F.pmod(F.shiftright(F.col("w").cast("long") * 2654435761, 7), F.lit(PARTS)).cast("int").alias("part")
+    words = after.union(before).groupBy("w").agg(F.collect_list("x").alias("x")).select("w", "x", part)
+    return pairs, materialise(words, "contexts", by="part")
 
 
 def _contexts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -211,19 +203,18 @@ def _contexts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield w, side[c], other[c], n[c]
 
 
-def class_matrix(table: DataFrame, class_of: np.ndarray, total: int) -> np.ndarray:
+def class_matrix(pairs: DataFrame, class_of: np.ndarray, total: int) -> np.ndarray:
     """Counts of class pairs; summed per task, then by Spark: as many rows as there are pairs of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((total, total))
+        out = np.zeros(total * total)
         for b in batches:
-            for w, side, other, n in _contexts(b):
-                r = side == 0
-                out[class_of[w]] += np.bincount(class_of[other[r]], n[r], total)
-        i, j = np.nonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array((i * total + j)), pa.array(out[i, j].astype(np.int64))], names=["k", "n"])
+            x, y, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out += np.bincount(class_of[x] * total + class_of[y], n, total * total)
+        i = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(out[i].astype(np.int64))], names=["k", "n"])
 
-    t = table.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    t = pairs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(total * total)
     out[t.column(0).to_numpy()] = t.column(1).to_numpy()
     return out.reshape(total, total)
@@ -238,61 +229,78 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(1)).sum() - _f(matrix.sum(0)).sum())
 
 
-def best_class(own: int, right: np.ndarray, left: np.ndarray, twice: float, matrix: np.ndarray, classes: int) -> int:
-    """The class to which moving a word raises the likelihood most; ties stay, then the lowest."""
-    m = matrix.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m[own, own] -= twice
-    np.maximum(m, 0, out=m)
-    rows, cols = m[:classes], m[:, :classes].T
-    at = np.arange(classes)
-    gain = (_f(rows + right) - _f(rows)).sum(1) + (_f(cols + left) - _f(cols)).sum(1)
-    corner = m[at, at]
-    gain -= _f(corner + right[at]) + _f(corner + left[at]) - 2 * _f(corner)
-    gain += _f(corner + right[at] + left[at] + twice) - _f(corner)
-    row, col = m.sum(1)[:classes], m.sum(0)[:classes]
-    gain -= _f(row + right.sum() + twice) - _f(row) + _f(col + left.sum() + twice) - _f(col)
+def best_class(own: int, right: np.ndarray, left: np.ndarray, twice: float, known: tuple[np.ndarray, ...], classes: int) -> int:
+    """The class to which moving a word raises the likelihood most; ties stay, then the lowest.
+
+    ``known``: the class matrix, its diagonal and its row and column sums.  Only classes beside which the word stands are looked at.
+    """
+    matrix, diagonal, rows, cols = known
+    gain = np.zeros(classes)
+    for m, side, back in ((matrix, right, left), (matrix.T, left, right)):
+        near = np.flatnonzero(side)
+        part = m[:classes, near]
+        # The counts without the word in its class.
+        part[own] -= side[near]
+        at = np.searchsorted(near, own)
+        if at < len(near) and near[at] == own:
+            part[:, at] -= back[:classes]
+            part[own, at] -= twice
+        np.maximum(part, 0, out=part)
+        gain += (_f(part + side[near]) - _f(part)).sum(1)
+    corner = diagonal.copy()
+    corner[own] -= right[own] + left[own] + twice
+    np.maximum(corner, 0, out=corner)
+    r, x = right[:classes], left[:classes]
+    gain -= _f(corner + r) + _f(corner + x) - 2 * _f(corner)
+    gain += _f(corner + r + x + twice) - _f(corner)
+    all_r, all_x = right.sum(), left.sum()
+    # What stands before the word counts in the rows of its classes wherever the word is.
+    row, col = rows.copy(), cols.copy()
+    row[own] -= all_r + twice
+    col[own] -= all_x + twice
+    gain -= _f(row + all_r + twice) - _f(row) + _f(col + all_x + twice) - _f(col)
     best = int(np.argmax(gain))
     return own if gain[own] >= gain[best] - 1e-9 else best
 
 
-def exchange(table: DataFrame, lex: Lexicon, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: DataFrame, table: DataFrame, lex: Lexicon, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all symbols and the class matrix.
 
-    Each round lets one half of the words, by turns, move to their best class given all others; the assignment of
-    highest likelihood is kept.  Without a number of rounds they go on until both halves bring no gain.  Words start dealt over the classes in order of count.
+    Each round lets one part of the words, by turns, move to their best class given all others; the assignment of
+    highest likelihood is kept.  Without a number of rounds they go on until all parts bring less than TOLERANCE of the gain so far.  Words start dealt over the classes in order of count.
     """
     total = classes + BANDS + 2
     class_of = np.concatenate((np.arange(lex.m) % classes, classes + np.arange(BANDS + 2))).astype(np.int64)
-    matrix = class_matrix(table, class_of, total)
+    matrix = class_matrix(pairs, class_of, total)
     best = likelihood(matrix), class_of, matrix
-    turn = idle = 0
-    while lex.m > 1 and classes > 1 and (idle < 2 if rounds is None else turn < rounds):
-        cls, mat, m = class_of, matrix, lex.m
+    turn, won = 0, [best[0]]
+    while lex.m > 1 and classes > 1 and (rounds is None or turn < rounds):
+        if rounds is None and turn and turn % PARTS == 0 and won[-1] - won[-1 - PARTS] <= TOLERANCE * (won[-1] - won[0]):
+            break
+        cls = class_of
+        known = matrix, matrix.diagonal()[:classes].copy(), matrix.sum(1)[:classes], matrix.sum(0)[:classes]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, to = [], []
             for b in batches:
                 for w, side, other, n in _contexts(b):
-                    if w >= m or (w * 2654435761 >> 7) % 2 != turn % 2:  # noqa: B023
-                        continue
                     self_pairs = float(n[(side == 0) & (other == w)].sum())
                     keep = other != w
                     r, x = keep & (side == 0), keep & (side == 1)
-                    c = best_class(int(cls[w]), np.bincount(cls[other[r]], n[r], total), np.bincount(cls[other[x]], n[x], total), self_pairs, mat, classes)  # noqa: B023
+                    c = best_class(int(cls[w]), np.bincount(cls[other[r]], n[r], total), np.bincount(cls[other[x]], n[x], total), self_pairs, known, classes)  # noqa: B023
                     if c != cls[w]:  # noqa: B023
                         words.append(w)
                         to.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(to, pa.int64())], names=["w", "c"])
 
-        moves = table.mapInArrow(run, "w long, c long").toArrow()  # at most one row per clustered word
+        moves = table.where(F.col("part") == turn % PARTS).select("w", "x").mapInArrow(run, "w long, c long").toArrow()  # at most one row per clustered word
         class_of = class_of.copy()
         class_of[moves.column(0).to_numpy()] = moves.column(1).to_numpy()
-        matrix = class_matrix(table, class_of, total)
+        matrix = class_matrix(pairs, class_of, total)
         now = likelihood(matrix)
-        turn, idle = turn + 1, 0 if now > best[0] else idle + 1
+        turn += 1
         best = max(best, (now, class_of, matrix), key=lambda x: x[0])
+        won.append(best[0])
     return best[1], best[2]
 
 
@@ -301,10 +309,11 @@ def fit(spark: SparkSession, docs: DataFrame, *, classes: int | None = None, clu
     counts = materialise(count_words(docs), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("h") == END_HASH, F.col("n"))), F.lit(0)).alias("e"), F.count_if((F.col("n") == 1) & (F.col("h") != END_HASH)).alias("once")).first()
     lex, low = lexicon(counts, lexicon_size, clustered)
-    classes = classes or max(CLASSES, math.isqrt(lex.m))
+    classes = classes or int(CLASSES * max(1.0, lex.m / 2**16) ** 0.25)
     shared = spark.sparkContext.broadcast(lex)
-    table = materialise(bigram_rows(docs, shared), "contexts")
-    class_of, matrix = exchange(table, lex, classes, rounds)
+    pairs, table = bigram_rows(docs, shared)
+    class_of, matrix = exchange(pairs, table, lex, classes, rounds)
+    discard(pairs, table)
     outside_n = totals["n"] - totals["e"] - int(lex.counts.sum())
     # Good and Turing: what was seen once tells how much is still unseen.
     unseen = max(float(totals["once"]), DELTA)
@@ -331,8 +340,7 @@ def score(spark: SparkSession, df: DataFrame, model: Model, outside: DataFrame)
 
         m = shared.value
         lex = m.lexicon
-        size, row = len(lex.hashes), TaskContext.get().partitionId() << 33
-        numbers = Numbers(lex.hashes)
+        row, places = TaskContext.get().partitionId() << 33, Places(lex.hashes)
         classes = np.append(m.class_of[lex.symbol], m.class_of[lex.m + BANDS])
         end = int(m.class_of[lex.m + BANDS + 1])
         base = np.append(np.log10(lex.counts + DELTA), 0.0)
@@ -342,26 +350,24 @@ def score(spark: SparkSession, df: DataFrame, model: Model, outside: DataFrame)
         rare_bottom = np.log10(m.outside_total)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                numbers.fresh()
                 part = b.slice(at, 256)
-                words, lengths = _runs(text_bytes(part.column(1)))
-                all_i = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                out: list[list] = [[] for _ in names]
-                first = 0
-                outside_hash = np.array(numbers.outside, np.int64)
-                for d, k in zip(part.column(0).to_pylist(), lengths, strict=True):
-                    i = all_i[first : first + k]
-                    first += k
-                    inside = np.minimum(i, size)
-                    far = i[i >= size] - size
-                    c = np.concatenate(([end], classes[inside], [end]))
-                    steps = float(m.log_step[c[:-1], c[1:]].sum())
-                    u, n = np.unique(outside_hash[far], return_counts=True) if len(far) else (far, far)
-                    values = (row, d, k + 1, k - len(far) + (m.n_end > 0), float(base[inside].sum()) + of_end - (k + 1) * bottom, steps + float(emit[inside].sum()) - len(far) * rare_bottom, u, n)
-                    for x, v in zip(out, values, strict=True):
-                        x.append(v)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=names)
+                k = part.num_rows
+                h, lengths = words_in(part.column(1))
+                doc, i = np.repeat(np.arange(k), lengths), places.find(h)
+                c = with_ends(classes[i], lengths, end)
+                ends = np.cumsum(lengths + 1)
+                steps = np.add.reduceat(m.log_step[c[:-1], c[1:]], ends - lengths - 1)
+                far = np.flatnonzero(i < 0)
+                n_far = np.bincount(doc[far], minlength=k)
+                of_base, of_emit = (np.bincount(doc, x[i], k) for x in (base, emit))
+                # Words outside the lexicon: by text, each distinct one with its number.
+                order = far[np.lexsort((h[far], doc[far]))]
+                first = np.flatnonzero(np.concatenate(([True], (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])))) if len(order) else order
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[order[first]], minlength=k)))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[order[first]], np.diff(first, append=len(order)))]
+                values = (np.arange(row, row + k), part.column(0), lengths + 1, lengths - n_far + (m.n_end > 0), of_base + of_end - (lengths + 1) * bottom, steps + of_emit - n_far * rare_bottom)
+                row += k
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values] + lists, names=names)
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, outside_h array<long>, outside_m array<long>"
     rows = materialise(df.select("doc_id", "text").mapInArrow(run, schema), "scored")

@@ -11,6 +11,7 @@ import numpy as np
 import regex
 
 from .bpe import byte_letters
+from .common import HUGE, hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the published pattern by which byte-level vocabularies of this kind cut text before merging.
@@ -65,32 +66,6 @@ class Stretches:
             left, slot = left[~won], (slot[~won] + 1) & self.mask
 
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Longer stretches are never taken for one another.
-HUGE = 256
-#: The last bytes of a word of eight that do not belong to a stretch of so many bytes are masked.
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of stretches of bytes, and their first eight bytes; ``data`` has eight bytes to spare at its end."""
-    words = np.lib.stride_tricks.as_strided(data[: (len(data) // 8) * 8].view(np.uint64), (len(data) - 8,), (1,))
-    with np.errstate(over="ignore"):
-        head = words[start] & _MASKS.take(np.minimum(size, 8))
-        h = (head ^ size.astype(np.uint64)) * _M1
-        h ^= h >> np.uint64(32)
-        left = np.flatnonzero(size > 8)
-        done = 8
-        while len(left) and done < HUGE:
-            w = words[start[left] + done] & _MASKS.take(np.minimum(size[left] - done, 8))
-            x = (h[left] ^ w) * _M2
-            h[left] = x ^ (x >> np.uint64(29))
-            done += 8
-            left = left[size[left] > done]
-        h = (h ^ (h >> np.uint64(31))) * _M2
-    return h, head
-
-
 class WordEncoder:
     """Ids of texts, as the library gives them for the whole text without adding special tokens.
 

@@ -3,8 +3,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from helpers import SF, empty_table, odd_table
+from helpers import SF, empty_table, odd_table, odd_texts
 
 from cytoframe.llm import lm, queries
 
@@ -60,10 +61,46 @@ def test_exchange_finds_planted_classes(spark):
     rows = [(i, " ".join(x for _ in range(40) for x in (left[r.integers(12)], right[r.integers(12)]))) for i in range(80)]
     m, _ = lm.fit(spark, spark.createDataFrame(rows, "doc_id long, text string"), classes=2, clustered=24, lexicon_size=30, rounds=8)
     of = {h: m.class_of[s] for h, s in zip(m.lexicon.hashes.tolist(), m.lexicon.symbol.tolist(), strict=True)}
-    a, b = ({of[lm.word_hash(w.encode())] for w in ws} for ws in (left, right))
+    a, b = ({of[h] for h in lm.words_in(pa.array(ws))[0].tolist()} for ws in (left, right))
     assert len(a) == len(b) == 1 and a != b
 
 
+def test_words_are_told_apart():
+    long = "y" * 300
+    texts = [*odd_texts(), long + "a", long + "b", " " + long + "a ", "\x0b".join("pqr"), "x" * 8 + " " + "x" * 9, "\x1c a\x85b"]
+    h, lengths = lm.words_in(pa.array(texts))
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert lengths.tolist() == [len((t or "").encode().split()) for t in texts] and len(h) == len(words)
+    of = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(of.values())) == len(of)
+    places = lm.Places(np.unique(h)[::2])
+    assert (places.find(np.unique(h)) == [i // 2 if i % 2 == 0 else -1 for i in range(len(of))]).all()
+
+
+def test_the_best_class_raises_the_likelihood_most():
+    r = np.random.default_rng(1)
+    words, classes, total = 12, 4, 6
+    line = r.integers(0, words + 2, 400)
+    of = np.concatenate((r.integers(0, classes, words), [4, 5]))
+
+    def matrix(of):
+        out = np.zeros((total, total))
+        np.add.at(out, (of[line[:-1]], of[line[1:]]), 1)
+        return out
+
+    for w in range(words):
+        m, after, before = matrix(of), line[1:][line[:-1] == w], line[:-1][line[1:] == w]
+        right, left = (np.bincount(of[x[x != w]], minlength=total) for x in (after, before))
+        known = m, m.diagonal()[:classes].copy(), m.sum(1)[:classes], m.sum(0)[:classes]
+        got = lm.best_class(int(of[w]), right, left, float((after == w).sum()), known, classes)
+        scores = []
+        for c in range(classes):
+            moved = of.copy()
+            moved[w] = c
+            scores.append(lm.likelihood(matrix(moved)))
+        assert scores[got] == pytest.approx(max(scores))
+
+
 def test_odd_rows(spark):
     df = odd_table(spark)
     same(lm.fit_and_score(df).collect(), [(r.doc_id, r.text) for r in df.collect()])
