@@ -45,6 +45,7 @@ class Lexicon:
     counts: np.ndarray
     symbol: np.ndarray  # clustered words have 0 .. m-1, others m + band
     m: int  # clustered words; m + BANDS is any word outside the lexicon, m + BANDS + 1 the end
+    rank: np.ndarray  # of clustered words, by count
 
     @property
     def size(self) -> int:
@@ -105,6 +106,13 @@ class Counts:
             yield self.keys[i : i + 200_000], self.sums[i : i + 200_000]
         self.keys, self.sums = self.keys[:0], self.sums[:0]
 
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All of them at once; afterwards there are none."""
+        self.settle()
+        out = self.keys, self.sums
+        self.keys, self.sums = self.keys[:0], self.sums[:0]
+        return out
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, n): counts by word hash; counted within each task first."""
@@ -155,9 +163,11 @@ def lexicon(counts: DataFrame, size: int | None, clustered: int | None) -> tuple
     h, n, own = h[order], n[order], own[order]
     m = int(own.sum())
     symbol = m + band(n) if len(n) else np.empty(0, np.int64)
-    by_count = np.flatnonzero(own)[np.lexsort((h[own], -n[own]))]
-    symbol[by_count] = np.arange(m)
-    return Lexicon(h, n, symbol, m), low
+    # In order of their hashes, so that any range of symbols is a fair sample of the words.
+    symbol[own] = np.arange(m)
+    rank = np.empty(m, np.int64)
+    rank[np.lexsort((h[own], -n[own]))] = np.arange(m)
+    return Lexicon(h, n, symbol, m, rank), low
 
 
 def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -165,59 +175,148 @@ def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return np.insert(np.concatenate(([end], symbols)), np.cumsum(lengths) + 1, end)
 
 
-def bigram_rows(docs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
-    """Counts of pairs of symbols (a, b, n), and (w, x, part): for every clustered word its neighbours as (side, symbol, count); side 0: after it, 1: before it.
+#: Pairs of symbols that one bucket of them holds at most, about, before equal ones of different tasks are put together.
+BUCKET = 2_000_000
+_BLOB_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_BLOBS = "bucket int, side int, w binary, o binary, n binary"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _by_bucket(df: DataFrame) -> DataFrame:
+    """Rows of one bucket in one task, one bucket after the other; ``_whole`` puts them together."""
+    return df.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], types: tuple[type, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, its arrays) from rows (bucket, arrays as bytes) in order of bucket."""
+    now, held = None, []
+    join = lambda: [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), types, strict=True)]
+    for b in batches:
+        for i in range(b.num_rows):
+            bucket = b.column(0)[i].as_py()
+            if held and bucket != now:
+                yield now, join()
+                held = []
+            now = bucket
+            held.append([b.column(j)[i].as_py() for j in range(1, len(types) + 1)])
+    if held:
+        yield now, join()
+
+
+def bigrams(docs: DataFrame, shared, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of neighbouring symbols as a table of pairs, and of the contexts of every clustered word.
+
+    Both hold arrays as bytes, a few rows per bucket.  Pairs: (bucket, side, w, o, n), side 0: o stands after w, side 1: before it (for
+    clustered w alone), so side 0 holds every pair once.  Contexts: (part, w, side, o, n), all entries of a word in one row, in order of w; parts are
+    those in which words move.
 
-    A row has at most two entries per symbol, so its length is bounded whatever the data.  Parts are those in which words move.
+    Pairs are counted within each task, then in buckets by a hash of the pair, so that no word's pairs meet in one task before equal
+    ones are one; buckets grow in number with the tokens.  A word has at most two entries per symbol.
     """
+    lex, buckets = shared.value, max(1, -(-tokens // BUCKET))
+    k, m = lex.size, lex.m
+    bounds = np.arange(buckets + 1) * m // buckets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        places, end, symbols, counts = Places(own.hashes), m + BANDS + 1, np.append(own.symbol, m + BANDS), Counts()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = counts.take()
+            at = (((keys.view(np.uint64) * _SPREAD) >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            order = np.argsort(at, kind="stable")
+            keys, n, at = keys[order], n[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else order
+            for x, y in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[x])], pa.int32()), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([n[x:y].tobytes()], pa.binary())], names=["bucket", "k", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        places, k, end, rare = Places(lex.hashes), lex.size, lex.m + BANDS + 1, lex.m + BANDS
-        symbols, counts = np.append(lex.symbol, rare), Counts()
-        rows = lambda: (pa.RecordBatch.from_arrays([pa.array((u // k).astype(np.int32)), pa.array((u % k).astype(np.int32)), pa.array(n)], names=["a", "b", "n"]) for u, n in counts.out())
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                h, lengths = words_in(b.column(0).slice(at, 256))
+            for i in range(0, b.num_rows, 256):
+                h, lengths = words_in(b.column(0).slice(i, 256))
                 line = with_ends(symbols[places.find(h)], lengths, end)
                 if counts.add(line[:-1] * k + line[1:]):
-                    yield from rows()
-        yield from rows()
-
-    pairs = materialise(docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
-    m = shared.value.m
-    after = pairs.where(F.col("a") < m).select(F.col("a").alias("w"), F.struct(F.lit(0).alias("side"), F.col("b").alias("o"), "n").alias("x"))
-    before = pairs.where(F.col("b") < m).select(F.col("b").alias("w"), F.struct(F.lit(1).alias("side"), F.col("a").alias("o"), "n").alias("x"))
-    part = F.pmod(F.shiftright(F.col("w").cast("long") * 2654435761, 7), F.lit(PARTS)).cast("int").alias("part")
-    words = after.union(before).groupBy("w").agg(F.collect_list("x").alias("x")).select("w", "x", part)
+                    yield from out()
+        yield from out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (keys, n) in _whole(batches, (np.int64, np.int64)):
+            keys, n = summed(keys, n)
+            a, b = (x.astype(np.int32) for x in np.divmod(keys, k))
+            for side, w, o in ((0, a, b), (1, b, a)):
+                order = np.argsort(w, kind="stable")
+                w, o, c = w[order], o[order], n[order]
+                cuts = np.append(np.searchsorted(w, bounds), len(w) if side == 0 else np.searchsorted(w, m)).tolist()
+                rows = [(i, side, w[x:y].tobytes(), o[x:y].tobytes(), c[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BLOB_TYPES, strict=True)] if rows else [pa.array([], t) for t in _BLOB_TYPES], names=["bucket", "side", "w", "o", "n"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (w, side, o, n) in _whole(_with_sides(batches), (np.int32, np.uint8, np.int32, np.int64)):
+            for part in range(PARTS):
+                own = np.flatnonzero(w % PARTS == part)
+                if len(own):
+                    own = own[np.argsort(w[own], kind="stable")]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (w, side, o, n))], names=["part", "w", "side", "o", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "bucket int, k binary, n binary")
+    pairs = materialise(_by_bucket(counted).mapInArrow(merge, _BLOBS), "bigrams")
+    words = _by_bucket(pairs.where(F.col("bucket") < buckets)).mapInArrow(gather, "part int, w binary, side binary, o binary, n binary")
     return pairs, materialise(words, "contexts", by="part")
 
 
-def _contexts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    lists = b.column(1)
-    flat = lists.flatten()
-    side, other, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    for i, w in enumerate(b.column(0).to_pylist()):
-        c = slice(offsets[i], offsets[i + 1])
-        yield w, side[c], other[c], n[c]
+def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The side of a row as an array beside its others."""
+    for b in batches:
+        sides = [bytes([s]) * (len(w) // 4) for s, w in zip(b.column(1).to_pylist(), (x.as_buffer() for x in b.column(2)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sides, pa.binary()), b.column(3), b.column(4)], names=["bucket", "w", "side", "o", "n"])
+
+
+def _arrays(b: pa.RecordBatch, i: int, types: tuple[type, ...], first: int = 0) -> list[np.ndarray]:
+    return [np.frombuffer(b.column(first + j)[i].as_buffer(), t) for j, t in enumerate(types)]
+
+
+def _added(rows: DataFrame, total: int) -> np.ndarray:
+    """The matrix of summed (k, n): as many rows as there are pairs of classes."""
+    t = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(total * total)
+    out[t.column(0).to_numpy()] = t.column(1).to_numpy()
+    return out.reshape(total, total)
+
+
+def _entries(out: np.ndarray) -> pa.RecordBatch:
+    i = np.flatnonzero(out)
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(out[i].astype(np.int64))], names=["k", "n"])
 
 
 def class_matrix(pairs: DataFrame, class_of: np.ndarray, total: int) -> np.ndarray:
-    """Counts of class pairs; summed per task, then by Spark: as many rows as there are pairs of classes."""
+    """Counts of class pairs; summed per task, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(total * total)
         for b in batches:
-            x, y, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out += np.bincount(class_of[x] * total + class_of[y], n, total * total)
-        i = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(out[i].astype(np.int64))], names=["k", "n"])
+            for i in range(b.num_rows):
+                a, o, n = _arrays(b, i, (np.int32, np.int32, np.int64))
+                out += np.bincount(class_of[a] * total + class_of[o], n, total * total)
+        yield _entries(out)
+
+    return _added(pairs.where("side = 0").select("w", "o", "n").mapInArrow(run, "k long, n long"), total)
 
-    t = pairs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(total * total)
-    out[t.column(0).to_numpy()] = t.column(1).to_numpy()
-    return out.reshape(total, total)
+
+def matrix_change(table: DataFrame, before: np.ndarray, after: np.ndarray, total: int) -> np.ndarray:
+    """What changes in the class matrix as words of ``table`` (contexts of all words that move) go from one class to another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, moved = np.zeros(total * total), before != after
+        for b in batches:
+            for i in range(b.num_rows):
+                w, side, o, n = _arrays(b, i, (np.int32, np.uint8, np.int32, np.int64))
+                # A pair both of whose words move is counted once, with its first word.
+                own = np.flatnonzero(moved[w] & ((side == 0) | ~moved[o]))
+                w, o, n, late = w[own], o[own], n[own], side[own] == 1
+                a, c = np.where(late, o, w), np.where(late, w, o)
+                out += np.bincount(after[a] * total + after[c], n, total * total) - np.bincount(before[a] * total + before[c], n, total * total)
+        yield _entries(out)
+
+    return _added(table.select("w", "side", "o", "n").mapInArrow(run, "k long, n long"), total)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -229,38 +328,77 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(1)).sum() - _f(matrix.sum(0)).sum())
 
 
-def best_class(own: int, right: np.ndarray, left: np.ndarray, twice: float, known: tuple[np.ndarray, ...], classes: int) -> int:
-    """The class to which moving a word raises the likelihood most; ties stay, then the lowest.
+class Known:
+    """The class matrix as moves read it: columns and rows of the classes, x log x of each, diagonal, row and column sums."""
 
-    ``known``: the class matrix, its diagonal and its row and column sums.  Only classes beside which the word stands are looked at.
+    def __init__(self, matrix: np.ndarray, classes: int):
+        self.classes, self.total = classes, len(matrix)
+        self.sides = [(m, _f(m)) for m in (np.ascontiguousarray(matrix[:classes].T), np.ascontiguousarray(matrix[:, :classes]))]
+        self.diagonal, self.rows, self.cols = matrix.diagonal()[:classes].copy(), matrix.sum(1)[:classes], matrix.sum(0)[:classes]
+
+
+def best_classes(own: np.ndarray, right: np.ndarray, left: np.ndarray, twice: np.ndarray, known: Known) -> np.ndarray:
+    """For each word the class to which moving it alone raises the likelihood most; ties stay, then the lowest.
+
+    One row per word: ``right`` and ``left`` are the counts of classes after and before it, ``twice`` how often it follows itself.
+    Only classes beside which a word stands are looked at.
     """
-    matrix, diagonal, rows, cols = known
-    gain = np.zeros(classes)
-    for m, side, back in ((matrix, right, left), (matrix.T, left, right)):
-        near = np.flatnonzero(side)
-        part = m[:classes, near]
+    classes, words = known.classes, np.arange(len(own))
+    gain = np.zeros((len(own), classes))
+    for (m, fm), side, back in zip(known.sides, (right, left), (left, right), strict=True):
+        w, near = np.nonzero(side)
+        if not len(w):
+            continue
+        n, c, i = side[w, near], own[w], np.arange(len(w))
+        part, f = m[near], fm[near]
         # The counts without the word in its class.
-        part[own] -= side[near]
-        at = np.searchsorted(near, own)
-        if at < len(near) and near[at] == own:
-            part[:, at] -= back[:classes]
-            part[own, at] -= twice
+        part[i, c] -= n
+        same = np.flatnonzero(near == c)
+        part[same] -= back[w[same], :classes]
+        part[same, c[same]] -= twice[w[same]]
         np.maximum(part, 0, out=part)
-        gain += (_f(part + side[near]) - _f(part)).sum(1)
-    corner = diagonal.copy()
-    corner[own] -= right[own] + left[own] + twice
+        f[i, c] = _f(part[i, c])
+        f[same] = _f(part[same])
+        part += n[:, None]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        gain[w[first]] += np.add.reduceat(_f(part) - f, first)
+    twice = twice[:, None]
+    r, x = right[:, :classes], left[:, :classes]
+    corner, row, col = (np.repeat(z[None], len(own), 0) for z in (known.diagonal, known.rows, known.cols))
+    corner[words, own] -= r[words, own] + x[words, own] + twice[:, 0]
     np.maximum(corner, 0, out=corner)
-    r, x = right[:classes], left[:classes]
-    gain -= _f(corner + r) + _f(corner + x) - 2 * _f(corner)
-    gain += _f(corner + r + x + twice) - _f(corner)
-    all_r, all_x = right.sum(), left.sum()
+    gain -= _f(corner + r) + _f(corner + x) - _f(corner) - _f(corner + r + x + twice)
+    all_r, all_x = (z.sum(1, keepdims=True) + twice for z in (right, left))
     # What stands before the word counts in the rows of its classes wherever the word is.
-    row, col = rows.copy(), cols.copy()
-    row[own] -= all_r + twice
-    col[own] -= all_x + twice
-    gain -= _f(row + all_r + twice) - _f(row) + _f(col + all_x + twice) - _f(col)
-    best = int(np.argmax(gain))
-    return own if gain[own] >= gain[best] - 1e-9 else best
+    row[words, own] -= all_r[:, 0]
+    col[words, own] -= all_x[:, 0]
+    gain -= _f(row + all_r) - _f(row) + _f(col + all_x) - _f(col)
+    best = np.argmax(gain, 1)
+    return np.where(gain[words, own] >= gain[words, best] - 1e-9, own, best)
+
+
+#: Words whose moves are weighed at once.
+AT_ONCE = 128
+
+
+def moves_of(w: np.ndarray, side: np.ndarray, o: np.ndarray, n: np.ndarray, cls: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """(words, new classes) of those words that move, from their contexts in order of word."""
+    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    total, moved, to = known.total, [], []
+    for at in range(0, len(first), AT_ONCE):
+        starts = first[at : at + AT_ONCE]
+        a, b = starts[0], first[at + AT_ONCE] if at + AT_ONCE < len(first) else len(w)
+        words, c = w[starts], slice(a, b)
+        row = np.repeat(np.arange(len(starts)), np.diff(starts, append=b))
+        self_pair = w[c] == o[c]
+        late, key = side[c] == 1, row * total + cls[o[c]]
+        twice = np.bincount(row, np.where(self_pair & ~late, n[c], 0), len(starts))
+        right, left = (np.bincount(key, np.where(x & ~self_pair, n[c], 0), len(starts) * total).reshape(-1, total) for x in (~late, late))
+        new = best_classes(cls[words], right, left, twice, known)
+        go = np.flatnonzero(new != cls[words])
+        moved.append(words[go])
+        to.append(new[go])
+    return np.concatenate(moved), np.concatenate(to)
 
 
 def exchange(pairs: DataFrame, table: DataFrame, lex: Lexicon, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -270,33 +408,26 @@ def exchange(pairs: DataFrame, table: DataFrame, lex: Lexicon, classes: int, rou
     highest likelihood is kept.  Without a number of rounds they go on until all parts bring less than TOLERANCE of the gain so far.  Words start dealt over the classes in order of count.
     """
     total = classes + BANDS + 2
-    class_of = np.concatenate((np.arange(lex.m) % classes, classes + np.arange(BANDS + 2))).astype(np.int64)
+    class_of = np.concatenate((lex.rank % classes, classes + np.arange(BANDS + 2))).astype(np.int64)
     matrix = class_matrix(pairs, class_of, total)
     best = likelihood(matrix), class_of, matrix
     turn, won = 0, [best[0]]
     while lex.m > 1 and classes > 1 and (rounds is None or turn < rounds):
         if rounds is None and turn and turn % PARTS == 0 and won[-1] - won[-1 - PARTS] <= TOLERANCE * (won[-1] - won[0]):
             break
-        cls = class_of
-        known = matrix, matrix.diagonal()[:classes].copy(), matrix.sum(1)[:classes], matrix.sum(0)[:classes]
+        cls, known = class_of, Known(matrix, classes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, to = [], []
             for b in batches:
-                for w, side, other, n in _contexts(b):
-                    self_pairs = float(n[(side == 0) & (other == w)].sum())
-                    keep = other != w
-                    r, x = keep & (side == 0), keep & (side == 1)
-                    c = best_class(int(cls[w]), np.bincount(cls[other[r]], n[r], total), np.bincount(cls[other[x]], n[x], total), self_pairs, known, classes)  # noqa: B023
-                    if c != cls[w]:  # noqa: B023
-                        words.append(w)
-                        to.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(to, pa.int64())], names=["w", "c"])
-
-        moves = table.where(F.col("part") == turn % PARTS).select("w", "x").mapInArrow(run, "w long, c long").toArrow()  # at most one row per clustered word
-        class_of = class_of.copy()
+                for i in range(b.num_rows):
+                    words, to = moves_of(*_arrays(b, i, (np.int32, np.uint8, np.int32, np.int64)), cls, known)  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(to.astype(np.int64))], names=["w", "c"])
+
+        turns = table.where(F.col("part") == turn % PARTS).select("w", "side", "o", "n")
+        moves = turns.mapInArrow(run, "w long, c long").toArrow()  # at most one row per clustered word
+        class_of = cls.copy()
         class_of[moves.column(0).to_numpy()] = moves.column(1).to_numpy()
-        matrix = class_matrix(pairs, class_of, total)
+        matrix = matrix + matrix_change(turns, cls, class_of, total)
         now = likelihood(matrix)
         turn += 1
         best = max(best, (now, class_of, matrix), key=lambda x: x[0])
@@ -311,7 +442,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, classes: int | None = None, clu
     lex, low = lexicon(counts, lexicon_size, clustered)
     classes = classes or int(CLASSES * max(1.0, lex.m / 2**16) ** 0.25)
     shared = spark.sparkContext.broadcast(lex)
-    pairs, table = bigram_rows(docs, shared)
+    pairs, table = bigrams(docs, shared, totals["n"])
     class_of, matrix = exchange(pairs, table, lex, classes, rounds)
     discard(pairs, table)
     outside_n = totals["n"] - totals["e"] - int(lex.counts.sum())

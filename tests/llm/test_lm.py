@@ -88,17 +88,56 @@ def test_the_best_class_raises_the_likelihood_most():
         np.add.at(out, (of[line[:-1]], of[line[1:]]), 1)
         return out
 
+    m, own, right, left, twice, want = matrix(of), of[:words], [], [], [], []
     for w in range(words):
-        m, after, before = matrix(of), line[1:][line[:-1] == w], line[:-1][line[1:] == w]
-        right, left = (np.bincount(of[x[x != w]], minlength=total) for x in (after, before))
-        known = m, m.diagonal()[:classes].copy(), m.sum(1)[:classes], m.sum(0)[:classes]
-        got = lm.best_class(int(of[w]), right, left, float((after == w).sum()), known, classes)
+        after, before = line[1:][line[:-1] == w], line[:-1][line[1:] == w]
+        right.append(np.bincount(of[after[after != w]], minlength=total))
+        left.append(np.bincount(of[before[before != w]], minlength=total))
+        twice.append(float((after == w).sum()))
         scores = []
         for c in range(classes):
             moved = of.copy()
             moved[w] = c
             scores.append(lm.likelihood(matrix(moved)))
-        assert scores[got] == pytest.approx(max(scores))
+        want.append(scores)
+    got = lm.best_classes(own, np.array(right), np.array(left), np.array(twice), lm.Known(m, classes))
+    for w in range(words):
+        assert want[w][got[w]] == pytest.approx(max(want[w]))
+    # The same from contexts, words in their order.
+    pairs = Counter(zip(line[:-1].tolist(), line[1:].tolist(), strict=True))
+    entries = sorted([(a, 0, b, n) for (a, b), n in pairs.items() if a < words] + [(b, 1, a, n) for (a, b), n in pairs.items() if b < words])
+    w, side, o, n = (np.array(x) for x in zip(*entries, strict=True))
+    movers, to = lm.moves_of(w, side, o, n, of, lm.Known(m, classes))
+    assert dict(zip(movers.tolist(), to.tolist(), strict=True)) == {i: c for i, c in enumerate(got.tolist()) if c != own[i]}
+
+
+def test_the_class_matrix_follows_moves(spark):
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, 200) % 40) for _ in range(120)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.count_words(docs)
+    lex, _ = lm.lexicon(counts, None, None)
+    shared, total = spark.sparkContext.broadcast(lex), 4 + lm.BANDS + 2
+    old = lm.BUCKET
+    lm.BUCKET = 500
+    try:
+        pairs, table = lm.bigrams(docs, shared, 120 * 201)
+    finally:
+        lm.BUCKET = old
+    assert lex.m > 20
+    a = np.concatenate((r.integers(0, 4, lex.m), 4 + np.arange(lm.BANDS + 2)))
+    b = a.copy()
+    go = np.arange(lex.m) % lm.PARTS == 1
+    b[:lex.m][go] = r.integers(0, 4, go.sum())
+    at = {h: s for h, s in zip(lex.hashes.tolist(), lex.symbol.tolist(), strict=True)}
+    want = np.zeros((total, total))
+    for t in texts:
+        h = lm.words_in(pa.array([t]))[0].tolist()
+        line = [lex.m + lm.BANDS + 1, *(at.get(x, lex.m + lm.BANDS) for x in h), lex.m + lm.BANDS + 1]
+        np.add.at(want, (a[line[:-1]], a[line[1:]]), 1)
+    first = lm.class_matrix(pairs, a, total)
+    assert (first == want).all()
+    assert (first + lm.matrix_change(table.where("part = 1"), a, b, total) == lm.class_matrix(pairs, b, total)).all()
 
 
 def test_odd_rows(spark):
