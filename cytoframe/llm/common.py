@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,20 @@ def work_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries run inside hand Python so many rows at once at most: for tables whose rows are large."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+
+
 def write(df: DataFrame, path: str, by: str | None = None) -> None:
     """Write Parquet, and free the shuffle files of the query at once: nothing reads them after their result is on disk."""
     conf = df.sparkSession.conf

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Places, discard, materialise, word_hashes
+from .common import Places, discard, few_rows, materialise, word_hashes
 
 #: Least number of classes (it grows with the fourth root of the clustered words beyond 2^16), and of words whose counts
 #: every worker holds; all words of count FREQUENT are among them however many, and are assigned to classes one by one.
@@ -177,6 +177,8 @@ def with_ends(symbols: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
 
 #: Pairs of symbols that one bucket of them holds at most, about, before equal ones of different tasks are put together.
 BUCKET = 2_000_000
+#: Entries in one row of these tables (a word's contexts may be more), and rows that Python gets at once while they are made and while words move.
+ROW, MAKING, MOVING = 16_384, 64, 8
 _BLOB_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 _BLOBS = "bucket int, side int, w binary, o binary, n binary"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,12 +197,20 @@ def _whole(batches: Iterator[pa.RecordBatch], types: tuple[type, ...]) -> Iterat
         for i in range(b.num_rows):
             bucket = b.column(0)[i].as_py()
             if held and bucket != now:
-                yield now, join()
-                held = []
+                out, held = join(), []
+                yield now, out
+                del out
             now = bucket
             held.append([b.column(j)[i].as_py() for j in range(1, len(types) + 1)])
     if held:
-        yield now, join()
+        out, held = join(), []
+        yield now, out
+
+
+def _pieces(starts: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(place in the list, start, end): the ranges between its members in pieces of at most ROW."""
+    for i, (x, y) in enumerate(zip(starts, starts[1:], strict=False)):
+        yield from ((i, z, min(z + ROW, y)) for z in range(x, y, ROW))
 
 
 def bigrams(docs: DataFrame, shared, tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +237,7 @@ def bigrams(docs: DataFrame, shared, tokens: int) -> tuple[DataFrame, DataFrame]
             order = np.argsort(at, kind="stable")
             keys, n, at = keys[order], n[order], at[order]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else order
-            for x, y in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=False):
+            for _, x, y in _pieces([*first.tolist(), len(at)]):
                 yield pa.RecordBatch.from_arrays([pa.array([int(at[x])], pa.int32()), pa.array([keys[x:y].tobytes()], pa.binary()), pa.array([n[x:y].tobytes()], pa.binary())], names=["bucket", "k", "n"])
 
         for b in batches:
@@ -246,21 +256,26 @@ def bigrams(docs: DataFrame, shared, tokens: int) -> tuple[DataFrame, DataFrame]
                 order = np.argsort(w, kind="stable")
                 w, o, c = w[order], o[order], n[order]
                 cuts = np.append(np.searchsorted(w, bounds), len(w) if side == 0 else np.searchsorted(w, m)).tolist()
-                rows = [(i, side, w[x:y].tobytes(), o[x:y].tobytes(), c[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                rows = [(i, side, w[x:y].tobytes(), o[x:y].tobytes(), c[x:y].tobytes()) for i, x, y in _pieces(cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BLOB_TYPES, strict=True)] if rows else [pa.array([], t) for t in _BLOB_TYPES], names=["bucket", "side", "w", "o", "n"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (w, side, o, n) in _whole(_with_sides(batches), (np.int32, np.uint8, np.int32, np.int64)):
             for part in range(PARTS):
                 own = np.flatnonzero(w % PARTS == part)
-                if len(own):
-                    own = own[np.argsort(w[own], kind="stable")]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (w, side, o, n))], names=["part", "w", "side", "o", "n"])
+                own = own[np.argsort(w[own], kind="stable")]
+                # Cut between words, once a row holds ROW entries.
+                words = np.flatnonzero(np.diff(w[own], prepend=-1))
+                cuts = words[np.flatnonzero(np.diff(words // ROW, prepend=-1))].tolist()
+                for x, y in zip(cuts, [*cuts[1:], len(own)], strict=False):
+                    k = own[x:y]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([z[k].tobytes()], pa.binary()) for z in (w, side, o, n))], names=["part", "w", "side", "o", "n"])
 
     counted = docs.select("text").mapInArrow(count, "bucket int, k binary, n binary")
-    pairs = materialise(_by_bucket(counted).mapInArrow(merge, _BLOBS), "bigrams")
-    words = _by_bucket(pairs.where(F.col("bucket") < buckets)).mapInArrow(gather, "part int, w binary, side binary, o binary, n binary")
-    return pairs, materialise(words, "contexts", by="part")
+    with few_rows(docs.sparkSession, MAKING):
+        pairs = materialise(_by_bucket(counted).mapInArrow(merge, _BLOBS), "bigrams")
+        words = _by_bucket(pairs.where(F.col("bucket") < buckets)).mapInArrow(gather, "part int, w binary, side binary, o binary, n binary")
+        return pairs, materialise(words, "contexts", by="part")
 
 
 def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +458,8 @@ def fit(spark: SparkSession, docs: DataFrame, *, classes: int | None = None, clu
     classes = classes or int(CLASSES * max(1.0, lex.m / 2**16) ** 0.25)
     shared = spark.sparkContext.broadcast(lex)
     pairs, table = bigrams(docs, shared, totals["n"])
-    class_of, matrix = exchange(pairs, table, lex, classes, rounds)
+    with few_rows(spark, MOVING):
+        class_of, matrix = exchange(pairs, table, lex, classes, rounds)
     discard(pairs, table)
     outside_n = totals["n"] - totals["e"] - int(lex.counts.sum())
     # Good and Turing: what was seen once tells how much is still unseen.
