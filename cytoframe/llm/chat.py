@@ -59,8 +59,9 @@ def _turn(role: Column | str, text: Column | None) -> Column:
     return F.struct((F.lit(role) if isinstance(role, str) else role.cast("string")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _messages(column: str, role: str, text: str) -> Callable[[], Column]:
-    return lambda: F.transform(F.col(column), lambda m: _turn(canonical_role(m[role]), m[text]))
+def _messages(column: str, role: str, text: str, own_roles: bool = False) -> Callable[[], Column]:
+    """Turns from a list; with ``own_roles`` the roles stay as they are, null is empty."""
+    return lambda: F.transform(F.col(column), lambda m: _turn(F.coalesce(m[role].cast("string"), F.lit("")) if own_roles else canonical_role(m[role]), m[text]))
 
 
 def canonical_role(role: Column) -> Column:
@@ -81,7 +82,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), _messages("messages", "role", "content")),
-    Layout("turns", ("turns[].role", "turns[].text"), _messages("turns", "role", "text")),
+    Layout("turns", ("turns[].role", "turns[].text"), _messages("turns", "role", "text", own_roles=True)),
     Layout("conversations", ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
     Layout("prompt", ("completion", "prompt"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
     Layout("prompt response", ("prompt", "response"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
@@ -106,12 +107,14 @@ def known_layouts(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
 def to_turns(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, layout, turns) from a table in any known layout.
 
-    The fingerprint of the table's fields other than the id selects the mapping.  Fields that no mapping
-    names are allowed for: the mapping with the most paths among those that the table holds in full is taken.
-    Null texts and roles are empty; a null list has no turns; an unknown layout is an error.
+    The fingerprint of the table's fields other than the id selects the mapping; field paths that no mapping names, clashing
+    columns among them, are left out before hashing.  The layout ``turns`` is this library's own, so its roles stay as they are.
+    Null texts and roles are empty; a null list has no turns; an unknown layout is an error; repeated rows come out each;
+    very long texts are kept whole; an empty table gives no rows.
     """
-    paths = [p for f in df.schema.fields if f.name != id_col for p in field_paths(f.dataType, f.name)]
-    layout = known_layouts(layouts).get(fingerprint(paths)) or max((x for x in layouts if set(x.paths) <= set(paths)), key=lambda x: len(x.paths), default=None)
+    named = {p for x in layouts for p in x.paths}
+    paths = [p for f in df.schema.fields if f.name != id_col for p in field_paths(f.dataType, f.name) if p in named]
+    layout = known_layouts(layouts).get(fingerprint(paths))
     if layout is None:
         raise ValueError(f"no mapping for the fields {paths}")
     return df.select(F.col(id_col).cast("long").alias("conv_id"), F.lit(layout.name).alias("layout"), F.coalesce(layout.turns(), F.array().cast(TURNS)).cast(TURNS).alias("turns"))
@@ -149,7 +152,9 @@ def json_to_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "recor
 def rows_to_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns) from one row per turn: in order of turn, then role and text where turns tie; null turns first.
 
-    A conversation is one row of the result, so its rows meet; conversations with a null id are one conversation.
+    A conversation is one row of the result, so its rows meet; conversations with a null id are one conversation.  Null roles and
+    texts are empty; repeated rows are turns each; very long texts are kept whole; an empty table gives no rows; other columns
+    are not read, whatever their names.
     """
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     grouped = df.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
@@ -162,7 +167,8 @@ def rows_to_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
 def format_turns(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, mask) from (conv_id, turns); mask: (start, length) code points of the texts to learn from.
 
-    A turn is ``<|im_start|>role\\n text <|im_end|>\\n`` with texts and roles escaped.  No turns give an empty string.
+    A turn is ``<|im_start|>role\\n text <|im_end|>\\n`` with texts and roles escaped.  No turns give an empty string,
+    an empty table no rows; repeated rows come out each; texts are kept whole however long; other columns are not read.
     """
     piece = F.transform(
         "turns",

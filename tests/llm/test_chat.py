@@ -82,3 +82,17 @@ def test_op7(spark):
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(t), hashlib.sha256(t.encode()).hexdigest())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_roles_of_row_tables_stay(spark):
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "yes"), (1, 2, None, None), (1, 3, "model", "no")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_turns(chat.to_turns(chat.rows_to_turns(df)))).first()
+    assert [(t.role, t.text) for t in r.turns] == [("human", "hi"), ("gpt", "yes"), ("", ""), ("model", "no")]
+
+
+def test_fields_that_no_layout_names_do_not_count(spark):
+    df = spark.createDataFrame([(1, "a", "b", "x", 3)], "conv_id long, prompt string, completion string, formatted string, mask long")
+    assert [(r.layout, [t.text for t in r.turns]) for r in chat.to_turns(df).collect()] == [("prompt", ["a", "b"])]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.to_turns(df.withColumnRenamed("prompt", "question"))
