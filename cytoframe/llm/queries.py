@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, coder, html, jaccard, lengths, lm, mixing, nndescent, quality
+from . import bpe, chat, coder, credentials, html, jaccard, lengths, lm, mixing, negatives, nndescent, quality
 from .common import materialise
 
 
@@ -79,8 +79,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, floors=quality.fit_floors(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the sure spans, and all spans with the weak ones that their complements confirm."""
+    found = credentials.secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.BASE))
+    return found.select("doc_id", *map(count, credentials.BASE), F.sha2(credentials.joined(base).cast("binary"), 256).alias("base_sha256"), credentials.joined(F.col("spans")).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose vec_id is divisible by 7 move on by one first; anchors are the rows whose vec_id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_nn_descent, op3_token_ids, op4_length_histogram, op5_html_main_text, op6_bpe, op7_chat, op8_mixing, op9_brown_lm, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_nn_descent, op3_token_ids, op4_length_histogram, op5_html_main_text, op6_bpe, op7_chat, op8_mixing, op9_brown_lm, op10_quality, op11_secrets, op12_hard_negatives)}
 
 
 OP8_SQL = """
@@ -128,5 +143,23 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op7_chat": OP7_SQL, "op8_mixing": OP8_SQL, "op11_secrets": credentials.oracle_sql(), "op12_hard_negatives": OP12_SQL}
