@@ -255,7 +255,7 @@ def _ask(index: Index):
             for at in range(0, len(whole), PACK):
                 b = whole.iloc[at : at + PACK]
                 v = _matrix(b["vector"], pivots.dims)
-                d = pivots.distances(pivots.augment(v))
+                d = pivots.distances(np.column_stack([v, np.zeros(len(v))]))  # a query's own further component is 0
                 inner, to, since = (b[c].to_numpy(float) for c in ("inner", "to", "from"))
                 a1, b1 = interval(d, inner, to)
                 a0, b0 = interval(d, inner, np.maximum(since, 0))
