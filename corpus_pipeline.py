@@ -35,9 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key, place = free_name(docs, "row_key"), free_name(docs, "place")
     keyed = docs.withColumn(key, row_key(docs))
     found = jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    # One row for each key on either side: k rows that agree in every column must not meet k times k.
+    found = found.select(F.col("doc_id").alias("row"), "component_id").dropDuplicates(["row"])
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id")).dropDuplicates(["row"])
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
-    first = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id").agg(F.min(order)["row"].alias(key))
+    first = found.join(ids, "row").groupBy("component_id").agg(F.min(order)["row"].alias(key))
     one = Window.partitionBy(key).orderBy(key)
     return keyed.join(first.select(key), key).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(docs.columns)
 
