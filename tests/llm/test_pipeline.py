@@ -60,3 +60,15 @@ def test_one_row_of_repeated_documents_stays(spark):
     assert sorted(r.doc_id for r in out) == [1, 4, 5]
     alone = spark.createDataFrame([(None, t), (None, t + " tail"), (None, "other words entirely")], df.schema)
     assert corpus_pipeline.near_duplicates(spark, alone, SF).count() == 2
+
+
+def test_many_identical_rows(spark):
+    """Rows that agree in every column do not multiply each other."""
+    import time
+
+    text = "the quick brown fox jumps over the lazy dog and runs far away into the dark green wood near our old house today"
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("s").alias("source"))
+    docs = docs.unionByName(docs.limit(3).withColumns({"doc_id": F.lit(8).cast("long"), "text": F.lit("another text of its own that shares nothing with it")}))
+    began = time.time()
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [7, 8]
+    assert time.time() - began < 90
