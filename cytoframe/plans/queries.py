@@ -464,4 +464,6 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in QUERIES}
+    from . import imaging
+
+    return {f.__name__: f for f in (*QUERIES, *imaging.QUERIES)}
