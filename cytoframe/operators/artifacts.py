@@ -66,7 +66,7 @@ def check_compatible(table: dict, reference: dict) -> None:
 def session_calibration(session_id: str, reference: str, image: Iterable[float], model: Iterable[float], source_kind: str, source: str) -> dict:
     """Scale of image to model ratios: least squares through the origin over at least three pairs."""
     if source_kind not in ("synthetic", "experimental_reference"):
-        raise ValueError("source_kind must be synthetic or experimental_reference")
+        raise ValueError("source_kind is neither synthetic nor experimental_reference")
     y, x = numbers(image, "image ratios", positive=True), numbers(model, "model ratios", positive=True)
     if len(x) != len(y) or len(x) < 3:
         raise ValueError("at least three pairs are needed")

@@ -313,7 +313,7 @@ def train(reference: DataFrame, stressor: str, decoder: str = "paired", q: float
     fit = staged(class_fits(fields, features), "fit")
     known = {c["item"] for r in fit.select("classes").collect() for c in r["classes"]}
     if absent := [d for d in doses if d not in known]:
-        raise ValueError(f"no training fields at dose(s) {absent}")
+        raise ValueError(f"doses that no training field has: {absent}")
     predictions, _ = leave_one_day_out(fields, decoder)
     validation = score(predictions)
     mean = validation.where("held_out = 'mean over days' and unit = 'field'").first()
@@ -326,7 +326,7 @@ def decode(cells: DataFrame, trained: FieldDecoder) -> DataFrame:
     fields = S.field_features(new, q=trained.q, min_cells=1, limits=trained.limits)
     fields = staged(fields, "new_fields")
     if fields.isEmpty():
-        raise ValueError("no usable cells in the new table")
+        raise ValueError("the new table holds no cell that can be used")
     fields = add_timer_features(I.add_paired(fields))
     features, keys = FEATURES[trained.decoder], ["stressor", "session_id", "condition_id"]
     ident = [*keys, "unit", "sample_id"]

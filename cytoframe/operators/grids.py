@@ -51,7 +51,7 @@ def decode_joint(grid: DataFrame, observations: DataFrame, offsets: DataFrame) -
     times = o.join(g.select("artifact_id", "_t").distinct(), "artifact_id", "left").groupBy("obs_id", "elapsed_h", "relative_h").agg(F.count_if(E.close(F.col("_t"), F.col("at"), 0.0, _SAME)).alias("n"))
     from .expect import expect
 
-    expect(times, {"each elapsed + relative time must match exactly one table time": F.col("n") != 1})
+    expect(times, {"a shifted time is not exactly one of the grid's": F.col("n") != 1})
     every = Window.partitionBy("obs_id", "relative_h")
     outside = (F.col("observed") < F.min("ratio").over(every) - F.col("tolerance")) | (F.col("observed") > F.max("ratio").over(every) + F.col("tolerance"))
     j = j.withColumn("_out", outside).withColumn("_fits", F.abs(F.col("ratio") - F.col("observed")) <= F.col("tolerance"))
@@ -109,7 +109,7 @@ def prior_masses(grid: DataFrame, kind: str, *, dose_bounds: tuple[float, float]
     elif kind == "explicit_mass":
         g = grid.join(masses.withColumnRenamed("mass", "_m"), ["artifact_id", "dose_uM", "time_h"])
     else:
-        raise ValueError("prior kind must be uniform_grid, uniform_density or explicit_mass")
+        raise ValueError("unknown kind of prior; there are uniform_grid, uniform_density and explicit_mass")
     return g.withColumn("prior", F.col("_m") / F.sum("_m").over(Window.partitionBy("artifact_id"))).drop("_m")
 
 

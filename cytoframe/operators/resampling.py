@@ -144,7 +144,7 @@ def data_fold(cells: DataFrame, n_boot: int = 1000, seed: int = 0, q: float = 0.
 
     effects, _ = induction_table(S.reporter_positive(cells, q), n_boot, seed, q)
     e = effects.where(F.col("readout").isin("green", "red"))
-    expect(e, {"0 µM level of reporter-positive cells is not above the baseline": F.col("control_level") <= 0})
+    expect(e, {"reporter-positive cells without stress do not exceed the baseline": F.col("control_level") <= 0})
     level = F.col("control_level")
     return e.select(
         "session_id", "day", "stressor", "dose_uM", "readout", "n_timepoints", "control_level", (1 + F.col("effect") / level).alias("fold"),

@@ -107,10 +107,11 @@ FROM pk p LEFT JOIN cur c ON p.session_id = c.session_id AND p.dose_uM = c.dose_
 LEFT JOIN kn k ON p.session_id = k.session_id AND p.t_max_sampled >= k.t0 AND (p.t_max_sampled < k.t1 OR (k.t1 IS NULL AND p.t_max_sampled = k.t0))
 """
     pop = """, c AS (SELECT *, corrected_mean_red / corrected_mean_green AS ratio, qc_pass AND corrected_mean_green > {floor} AS el FROM cells)"""
-    from . import imaging
+    from . import acquisition, imaging
 
     return {
         **imaging.oracle_sql(),
+        **acquisition.oracle_sql(),
         "q_annotate": _from_cells("SELECT cell_id, day, stressor, strain, dose_uM FROM annotated"),
         "q_usable": f"WITH cells AS (SELECT * FROM ({_cells()})) SELECT cell_id, session_id FROM cells WHERE qc_pass AND NOT edge_flag",
         "q_per_second": _from_cells("SELECT cell_id, round(corrected_mean_green / 0.4, 6) AS corrected_mean_green_per_s, round(corrected_mean_red / 0.4, 6) AS corrected_mean_red_per_s, round(integrated_green / 0.4, 6) AS integrated_green_per_s FROM cells"),

@@ -464,6 +464,6 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    from . import imaging
+    from . import acquisition, imaging
 
-    return {f.__name__: f for f in (*QUERIES, *imaging.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *imaging.QUERIES, *acquisition.QUERIES)}

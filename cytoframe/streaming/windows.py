@@ -44,3 +44,31 @@ def append_new(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def remaining(manifest: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Manifest rows that a resumed run still has to do."""
     return manifest.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def run_windows(
+    spark: SparkSession, path: str, schema: T.StructType, out: str, checkpoint: str, *, time: str, keys: list[str], value: str, length: str = "1 hour", late: str = "10 minutes",
+    files_per_batch: int = 20, once_by: list[str] | None = None,
+) -> dict[str, int]:
+    """Windows of a folder of Parquet files that grows, each written once it is complete: rows read, windows written, and rows that came too late.
+
+    A window is complete once the watermark (the latest time seen, less ``late``) has passed its end.  Windows that are still open, the watermark,
+    and with ``once_by`` the events seen within it, are the query's state; they live in the checkpoint, so the next run goes on from there.  Rows older
+    than the watermark change no window, and are counted.  With ``once_by`` an event that is delivered again within the watermark counts once.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).withWatermark(time, late)
+    if once_by:
+        events = events.dropDuplicatesWithinWatermark(once_by)
+    w = F.window(time, length)
+    g = events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    windows = g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
+    query = append_new(windows, out, checkpoint)
+    query.awaitTermination()
+    told = query.recentProgress
+    states = [s for p in told for s in p.stateOperators]
+    return {
+        "read": sum(p.numInputRows for p in told),
+        "written": sum(s.numRowsRemoved for s in states if s.operatorName == "stateStoreSave"),  # a window leaves the state as it is written
+        "late": sum(s.numRowsDroppedByWatermark for s in states),
+        "repeated": sum(int(s.customMetrics.get("numDroppedDuplicateRows", 0)) for s in states),
+    }
