@@ -133,6 +133,25 @@ def crosstalk_coefficient(px: DataFrame, bins: int = 50, low: float = 0.1, least
     return p.agg(F.percentile((F.col("r2") - F.col("r")) / (F.col("g2") - F.col("g")), 0.5).alias("slope"))
 
 
+def session_crosstalk(controls: DataFrame, sessions: DataFrame, bins: int = 50, low: float = 0.1, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, missing) from single-label control pixels (session_id, green, red) for all ``sessions`` (session_id).
+
+    coefficients: (session_id, bleed, n_bins), the median slope between all pairs of a session's bins of (median green, low quantile of red), as
+    ``crosstalk_coefficient`` has it, and not below 0.  missing: sessions without a control, or with fewer than two bins of ``least`` pixels:
+    a coefficient of another session is never taken for them.  Pixels without a value do not count.  Bins are a stated number, so a
+    session has at most ``bins * (bins - 1) / 2`` pairs, however many pixels.
+    """
+    px = controls.where(F.col("green").isNotNull() & F.col("red").isNotNull() & ~F.isnan("green") & ~F.isnan("red"))
+    span = px.groupBy("session_id").agg(F.min("green").alias("a"), F.max("green").alias("b"))
+    place = F.floor((F.col("green") - F.col("a")) / F.greatest(F.col("b") - F.col("a"), F.lit(1e-12)) * bins)
+    binned = px.join(span, "session_id").withColumn("bin", F.least(place, F.lit(bins - 1)))
+    t = binned.groupBy("session_id", "bin").agg(F.percentile("green", 0.5).alias("g"), F.percentile("red", low).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    per = t.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("bin", "g", "r"))).alias("t"))
+    slopes = F.flatten(F.transform("t", lambda x: F.transform(F.filter("t", lambda y: (y["bin"] > x["bin"]) & (y["g"] != x["g"])), lambda y: (y["r"] - x["r"]) / (y["g"] - x["g"]))))
+    s = per.select("session_id", F.size("t").cast("long").alias("n_bins"), F.explode(slopes).alias("s")).groupBy("session_id", "n_bins").agg(F.greatest(F.percentile("s", 0.5), F.lit(0.0)).alias("bleed"))
+    return s.select("session_id", "bleed", "n_bins"), sessions.select("session_id").distinct().join(s, "session_id", "left_anti")
+
+
 def segmentation_score(points: DataFrame, label_px: DataFrame, areas: DataFrame) -> DataFrame:
     """(crop, n_points, detected, separated, merged, false_objects, recall, precision) of label pixels (crop, r, c, label) against marks (crop, x, y)."""
     p = points.select("crop", F.floor("y").cast("long").alias("r"), F.floor("x").cast("long").alias("c"), F.monotonically_increasing_id().alias("id"))

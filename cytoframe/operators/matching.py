@@ -150,11 +150,26 @@ def match_images(images: DataFrame, rows: DataFrame, *, tolerance: float = 2.5,
 
 
 def nearest_frames(targets: DataFrame, frames: DataFrame, keys: list[str], tolerance: float = 3.0) -> DataFrame:
-    """Targets (keys, target_id, target_time) with the nearest frame (keys, path, frame_time) in minutes, or none within the tolerance; ties by path."""
-    j = targets.join(frames, keys, "left").withColumn("distance_min", F.abs(minutes(F.col("frame_time"), F.col("target_time"))))
-    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("target_id").orderBy(F.col("distance_min").asc_nulls_last(), "path"))).where("_n = 1")
-    near = F.col("distance_min") <= tolerance
-    return j.withColumn("path", F.when(near, F.col("path"))).withColumn("distance_min", F.when(near, F.col("distance_min"))).drop("_n", "frame_time")
+    """Targets (keys, target_id, target_time) with the nearest frame (keys, path, frame_time) in minutes, or none within the tolerance; ties by path.
+
+    Targets and frames of a key are put in one order of time, and each target takes the last frame before and the first one after it: no pairs are
+    made.  Time is cut in stretches as long as the tolerance, and a frame stands in its own and both neighbouring ones, so a key with very
+    many frames is many groups.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = F.lit(int(max(tolerance, 1.0) * 60e6))
+    f = frames.na.drop(subset=[*keys, "frame_time"]).groupBy(*keys, micros("frame_time").alias("_t")).agg(F.min("path").alias("_path"))
+    f = f.withColumn("_cut", F.explode(F.array(*(F.floor(F.col("_t") / width) + i for i in (-1, 0, 1))))).withColumn("_frame", F.struct("_t", "_path"))
+    t = targets.withColumn("_t", micros("target_time")).withColumn("_cut", F.floor(F.col("_t") / width))
+    both = t.withColumn("_is", F.lit(True)).unionByName(f.drop("_path"), allowMissingColumns=True)
+    w, upto = Window.partitionBy(*keys, "_cut"), (Window.unboundedPreceding, 0)
+    last = F.col("_is").asc_nulls_first()
+    both = both.withColumn("_before", F.last("_frame", True).over(w.orderBy("_t", last).rowsBetween(*upto))).withColumn("_after", F.last("_frame", True).over(w.orderBy(F.desc("_t"), last).rowsBetween(*upto)))
+    away = lambda c: F.struct((F.abs(F.col(c)["_t"] - F.col("_t")) / F.lit(60e6)).alias("d"), F.col(c)["_path"].alias("p"))
+    pick = F.least(F.when(F.col("_before").isNotNull(), away("_before")), F.when(F.col("_after").isNotNull(), away("_after")))
+    j = both.where("_is").withColumn("_near", pick)
+    near = F.col("_near.d") <= tolerance
+    return j.select(*targets.columns, F.when(near, F.col("_near.p")).alias("path"), F.when(near, F.col("_near.d")).alias("distance_min"))
 
 
 def tolerance_lookup(points: DataFrame, grid: DataFrame, keys: list[str], x: str, atol: float = 1e-12) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..sources.tables import PER_SECOND
+from ..sources.work import staged
 from . import expect as X
+from .quantiles import group_quantiles, wide
 
 FIELD_KEYS = ["session_id", "day", "stressor", "strain", "dose_uM", "condition_id", "sample_id"]
 CURVE_KEYS = ["session_id", "day", "stressor", "strain", "dose_uM"]
@@ -59,13 +61,15 @@ def add_per_second(cells: DataFrame) -> DataFrame:
 
 
 def baseline(cells: DataFrame) -> DataFrame:
-    """Autofluorescence by stressor from usable non-transfected cells: medians, quartiles, counts and days."""
+    """Autofluorescence by stressor from usable non-transfected cells: medians, quartiles, counts and days.
+
+    Stressors are few and their cells many, so quantiles are picked from sorted ranges; the result, a row for each stressor, is written once.
+    """
     nt = cells.where((F.col("strain") == "nt") & E.usable())
-    aggs = [F.count("*").alias("n_cells"), F.countDistinct("sample_id").alias("n_fields"), F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days")]
-    for ch in CHANNELS:
-        q = F.percentile(per_second_name(ch), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-        aggs += [q[0].alias(f"baseline_{ch}"), q[1].alias(f"baseline_{ch}_q25"), q[2].alias(f"baseline_{ch}_q75")]
-    out = nt.groupBy("stressor").agg(*aggs)
+    told = nt.groupBy("stressor").agg(F.count("*").alias("n_cells"), F.countDistinct("sample_id").alias("n_fields"), F.array_join(F.array_sort(F.collect_set("day")), ",").alias("days"))
+    names = {per_second_name(ch): (f"baseline_{ch}", f"baseline_{ch}_q25", f"baseline_{ch}_q75") for ch in CHANNELS}
+    q = wide(group_quantiles(nt, ["stressor"], list(names), (0.5, 0.25, 0.75)), ["stressor"], names)
+    out = staged(told.join(q.withColumnRenamed("stressor", "_s"), F.col("stressor").eqNullSafe(F.col("_s")), "left").drop("_s"), "baseline")
     if out.isEmpty():
         raise ValueError("no usable non-transfected cells to take the baseline from")
     return out
@@ -109,7 +113,8 @@ def timecourse(fields: DataFrame, ratio_floor: float = 0.0) -> DataFrame:
 def positive_thresholds(cells: DataFrame, q: float = 0.9) -> DataFrame:
     """(stressor, green_limit, red_limit): quantiles of usable non-transfected cells."""
     nt = cells.where((F.col("strain") == "nt") & E.usable())
-    return nt.groupBy("stressor").agg(*(E.quantile(per_second_name(ch), q).alias(f"{ch}_limit") for ch in CHANNELS))
+    names = {per_second_name(ch): (f"{ch}_limit",) for ch in CHANNELS}
+    return staged(wide(group_quantiles(nt, ["stressor"], list(names), (q,)), ["stressor"], names), "limits")
 
 
 def _positive() -> Column:

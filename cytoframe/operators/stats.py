@@ -54,12 +54,31 @@ def highest_mass_region(masses: DataFrame, keys: list[str], mass: str, level: fl
     return m.where((F.col(mass) >= F.col("_cut")) | E.close(F.col(mass), F.col("_cut"), 1e-12, 0.0)).drop("_before", "_cut")
 
 
+def _adjusted(df: DataFrame, p: str, out: str) -> DataFrame:
+    from .acquisition import numbered
+
+    tests = numbered(df.where(F.col(p).isNotNull()), [p], "_rank")
+    n = tests.count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = F.least(F.lit(1.0), F.col(p) * n / (F.col("_rank") + 1))
+    t = tests.withColumn("_raw", raw).withColumn("_part", F.floor(F.col("_rank") / max(1, -(-n // parts))))
+    # A row for each stretch, of which there are as many as shuffle partitions.
+    later = t.groupBy("_part").agg(F.min("_raw").alias("_least")).withColumn("_later", F.min("_least").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    tail = Window.partitionBy("_part").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_own", F.min("_raw").over(tail)).join(F.broadcast(later), "_part")
+    done = t.select(*df.columns, F.least("_own", "_later").alias(out))
+    return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] = (), out: str = "q_bh") -> DataFrame:
     """False-discovery-rate adjusted p-values within each key; null p-values stay null and do not count.
 
-    A table of tests is small next to the data it tests; with many keys each is a group of its own.
+    With keys each is a group of its own.  Without, the tests are numbered in the order of p by ranges, and the minimum from each on is that of its
+    stretch of numbers and of the stretches after, so nothing gathers the table.
     """
     here = list(keys)
+    if not here:
+        return _adjusted(df, p, out)
     by = Window.partitionBy(*here)
     up = by.orderBy(F.col(p).asc_nulls_last())
     d = df.withColumn("_rank", F.row_number().over(up)).withColumn("_n", F.count(p).over(by))

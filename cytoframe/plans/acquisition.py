@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import acquisition as A
-from ..operators import linkage
+from ..operators import images, linkage
 from .queries import GRID, cells, grid, rounded, table
 
 #: Orders as images of 20 sessions, with the noted afternoon time of two in three.
@@ -108,7 +108,13 @@ def q_sample_decode(spark, sf_dir):
     return rounded(d.select("session_id", "sample_id", "condition_id", "n_points", "reason", "status", "dose_estimate_uM"))
 
 
-QUERIES = (q_notes_match, q_session_cutoff, q_filled_cells, q_known_issues, q_batches, q_codes, q_status_counts, q_session_overview, q_scenario_means, q_ranked, q_crosstab, q_sample_decode)
+def q_session_crosstalk(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    px = li.where("l_suppkey % 3 <> 0").select((F.col("l_suppkey") % 20).alias("session_id"), F.col("l_quantity").cast("double").alias("green"), F.floor(F.col("l_quantity") * 3 + F.col("l_linenumber") * 5).cast("double").alias("red"))
+    return rounded(images.session_crosstalk(px, px, bins=10, low=0.25)[0])
+
+
+QUERIES = (q_session_crosstalk, q_notes_match, q_session_cutoff, q_filled_cells, q_known_issues, q_batches, q_codes, q_status_counts, q_session_overview, q_scenario_means, q_ranked, q_crosstab, q_sample_decode)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -122,6 +128,12 @@ def oracle_sql() -> dict[str, str]:
     ]
     case = " ".join(f"WHEN {cond} THEN '{name}'" for name, cond in reasons)
     return {
+        "q_session_crosstalk": """
+WITH px AS (SELECT l_suppkey % 20 AS session_id, CAST(l_quantity AS DOUBLE) AS green, floor(l_quantity * 3 + l_linenumber * 5) AS red FROM lineitem WHERE l_suppkey % 3 <> 0),
+s AS (SELECT session_id, min(green) AS a, max(green) AS b FROM px GROUP BY 1), b AS (SELECT px.*, least(floor((green - a) / greatest(b - a, 1e-12) * 10), 9) AS bin FROM px JOIN s USING (session_id)),
+t AS (SELECT session_id, bin, quantile_cont(green, 0.5) AS g, quantile_cont(red, 0.25) AS r FROM b GROUP BY 1, 2 HAVING count(*) >= 20),
+p AS (SELECT x.session_id, (y.r - x.r) / (y.g - x.g) AS s FROM t x JOIN t y ON x.session_id = y.session_id AND x.bin < y.bin AND x.g <> y.g)
+SELECT session_id, round(greatest(quantile_cont(s, 0.5), 0), 6) AS bleed, (SELECT count(*) FROM t WHERE t.session_id = p.session_id) AS n_bins FROM p GROUP BY session_id""",
         "q_notes_match": f"""
 WITH i AS ({IMAGES}), o AS (SELECT *, CAST(minute - noted AS DOUBLE) AS off FROM i), m AS (SELECT *, quantile_cont(off, 0.5) OVER (PARTITION BY session_id) AS med FROM o)
 SELECT image_id, noted IS NOT NULL AS in_notes, round(off, 6) AS clock_offset_min, round(med, 6) AS median_offset_min, coalesce(abs(off - med) > 30, false) AS notes_time_disagrees FROM m""",
