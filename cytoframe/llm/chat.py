@@ -120,19 +120,27 @@ def to_turns(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...]
     return df.select(F.col(id_col).cast("long").alias("conv_id"), F.lit(layout.name).alias("layout"), F.coalesce(layout.turns(), F.array().cast(TURNS)).cast(TURNS).alias("turns"))
 
 
+def _under(field: str, names: Column) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(f"{field}[]."), n))
+
+
 def json_to_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, layout, turns) from JSON records that each may have another layout.
 
     Each record's own schema is read as a variant, its field paths are hashed in SQL, and the hash selects the
-    mapping.  Records that do not parse, are null or have an unknown layout get a null layout and no turns.
+    mapping.  Fields that no mapping names are left out before hashing.  Records that do not parse, are null or have an unknown layout get a null
+    layout and no turns; ``layout_counts`` tells how many.
     """
     record = F.try_parse_json(F.col(json_col))
     kind = F.schema_of_variant(record)
-    # OBJECT<a: ARRAY<OBJECT<b: STRING, c: STRING>>>: names in order; one level below a list is enough for every mapping.
-    inner = F.regexp_extract(kind, r"^OBJECT<(\w+): ARRAY<OBJECT<(.*)>>>$", 2)
-    nested = F.transform(F.regexp_extract_all(inner, F.lit(r"(\w+): "), 1), lambda p: F.concat(F.regexp_extract(kind, r"^OBJECT<(\w+): ARRAY", 1), F.lit("[]."), p))
-    flat = F.regexp_extract_all(F.regexp_extract(kind, r"^OBJECT<(.*)>$", 1), F.lit(r"(\w+): "), 1)
-    paths = F.array_sort(F.when(inner != "", nested).otherwise(flat))
+    # OBJECT<a: ARRAY<OBJECT<b: STRING, c: STRING>>, d: STRING>: names of fields, and one level below a list, which is enough for every mapping.
+    # Fields that no mapping names do not count, as in tables.
+    top = F.regexp_extract(kind, r"^OBJECT<(.*)>$", 1)
+    named = sorted({p for x in layouts for p in x.paths})
+    lists = sorted({p.split("[]")[0] for p in named if "[]" in p})
+    below = [_under(f, F.regexp_extract_all(F.regexp_extract(top, rf"(?:^|, ){f}: ARRAY<OBJECT<([^<>]*)>>", 1), F.lit(r"(\w+): "), 1)) for f in lists]
+    flat = F.regexp_extract_all(F.regexp_replace(top, r"\w+: ARRAY<OBJECT<[^<>]*>>", ""), F.lit(r"(\w+): "), 1)
+    paths = F.array_sort(F.filter(F.array_distinct(F.concat(flat, *below)), lambda p: p.isin(*named)))
     mark = F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
     base = df.select(F.col(id_col).cast("long").alias("conv_id"), record.alias("_r"), mark.alias("_mark"), F.col(json_col).alias("_json"))
     turns, name = F.array().cast(TURNS), F.lit(None).cast("string")
@@ -149,6 +157,11 @@ def json_to_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "recor
     return base.select("conv_id", name.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
+def layout_counts(turns: DataFrame) -> DataFrame:
+    """(layout, n): records by layout; those that no mapping fits have a null one."""
+    return turns.groupBy("layout").agg(F.count("*").alias("n"))
+
+
 def rows_to_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns) from one row per turn: in order of turn, then role and text where turns tie; null turns first.
 
@@ -164,6 +177,32 @@ def rows_to_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
 # --- template ----------------------------------------------------------------------------------------
 
 
+#: Turns in a block of running sums.
+_BLOCK = 128
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums of all lengths before each: within blocks, on top of the sums of the blocks before, as appending to one array of very many would copy it each time."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def within(block: Column, before: Column) -> Column:
+        first = F.struct(before.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        return F.aggregate(block, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / _BLOCK).cast("int")), lambda i: F.slice(all_, i * _BLOCK + 1, _BLOCK))
+
+    def summed(blocks: Column) -> Column:
+        return _once(F.transform(blocks, total), lambda sums: F.transform(blocks, lambda b, i: within(b, total(F.slice(sums, 1, i)))))
+
+    return F.flatten(_once(lengths, lambda all_: _once(cut(all_), summed)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: as an element of an array, where a plain expression would be computed wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def format_turns(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, mask) from (conv_id, turns); mask: (start, length) code points of the texts to learn from.
 
@@ -181,15 +220,10 @@ def format_turns(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
     tail = CLOSE + "\n"
     p = df.select("conv_id", piece.alias("p"))
     p = p.withColumn("formatted", F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(tail))), ""))
-    ends = F.aggregate(
-        "p",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("m")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["head"]) + F.length(x["body"]) + len(tail)).cast("long").alias("at"),
-            F.when(x["learn"], F.concat(s["m"], F.array(F.struct((s["at"] + F.length(x["head"])).cast("long").alias("start"), F.length(x["body"]).cast("long").alias("length"))))).otherwise(s["m"]).alias("m"),
-        ),
-    )
-    return p.select("conv_id", "formatted", ends["m"].alias("mask"))
+    p = p.withColumn("starts", _starts(F.transform("p", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(tail))))
+    spans = F.zip_with("p", "starts", lambda x, at: F.struct(x["learn"].alias("learn"), (at + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
+    mask = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
+    return p.select("conv_id", "formatted", mask.alias("mask"))
 
 
 def read_back(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import duckdb
 import pytest
 from helpers import SF
+from pyspark.sql import functions as F
 
 from cytoframe.llm import chat, queries
 
@@ -70,6 +71,27 @@ def test_layouts_of_json_records(spark):
     assert [t.text for t in out[0].turns] == ["hi", "yo"] and out[2].turns[0].text == "hi\nthere" and [t.role for t in out[3].turns] == ["user", "assistant"] and out[4].turns == []
 
 
+def test_unnamed_fields_of_json_records(spark):
+    turns = [{"role": "user", "content": "hi", "weight": 1}, {"role": "assistant", "content": "yo", "weight": 0}]
+    records = [{"id": 1, "messages": turns}, {"messages": turns}, {"prompt": "hi", "completion": "yo", "source": "s", "tags": ["a"]}, {"meta": {"prompt": "no"}, "x": 1}, {"prompt": "hi", "completion": "yo", "notes": [{"prompt": "p"}]}]
+    out = {r.conv_id: r for r in chat.json_to_turns(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")).collect()}
+    assert [out[i].layout for i in range(5)] == ["messages", "messages", "prompt", None, "prompt"]
+    assert all([(t.role, t.text) for t in out[i].turns] == [("user", "hi"), ("assistant", "yo")] for i in (0, 1, 2, 4))
+    counts = chat.layout_counts(chat.json_to_turns(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")))
+    assert {r.layout: r.n for r in counts.collect()} == {"messages": 2, "prompt": 2, None: 1}
+
+
+def test_very_many_turns(spark):
+    import time
+
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    r = chat.format_turns(chat.rows_to_turns(df)).first()
+    took = time.time() - began
+    assert [r.formatted[m.start : m.start + m.length] for m in r.mask] == [f"t{i}" for i in range(1, n, 2)] and took < 30
+
+
 def test_op7(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
