@@ -24,6 +24,8 @@ from .common import materialise, with_rank
 
 #: Elements whose text is never shown as text, and elements that hold furniture.
 HIDDEN = {"head", "title", "script", "style", "noscript", "template", "button", "select", "textarea", "iframe", "object", "svg", "canvas", "dialog"}
+#: What a head can hold: anything else ends it, as its end tag may be left out.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 MARKED = {"nav", "header", "footer", "aside", "form", "menu"}
 #: Elements of an article.
 MAIN = {"article", "main"}
@@ -34,9 +36,11 @@ SCOPES = {"article", "main", "section", "div", "body", "td", "li", "blockquote",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words in class, id or role that mark menus, notices, adverts, side bars and reader comments, and words that undo them.
 FURNITURE = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe"}
+#: Words that begin the names of other things too (``search-results``): they mark furniture alone or at the end.
+LAST_ONLY = {"search", "header"}
 UNDONE = {"no", "not", "has", "with", "without", "hide", "hidden", "js"}
 #: Elements that a word in class or id can mark inside an article; what holds a line of text itself is part of it.
-CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "figure", "article", "fieldset", "center"}
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "article", "fieldset", "center"}
 #: On pages without an article a mark on an element that holds so much of the text is none.
 WHOLE_PAGE = 0.9
 #: A neighbour that shares so many of a page's unmarked lines is a mirror.
@@ -49,7 +53,7 @@ def furniture_word(value: str) -> bool:
     """Whether a class, id or role marks furniture: whole tokens, or the first or last word of a hyphenated one (``no-sidebar`` does not)."""
     for token in value.lower().split():
         parts = [x for x in token.replace("_", "-").split("-") if x]
-        if parts and parts[0] not in UNDONE and (parts[0] in FURNITURE or parts[-1] in FURNITURE):
+        if parts and parts[0] not in UNDONE and (parts[0] in FURNITURE - LAST_ONLY or parts[-1] in FURNITURE):
             return True
     return False
 
@@ -57,7 +61,8 @@ def furniture_word(value: str) -> bool:
 class Lines(HTMLParser):
     """Lines of a page, each with the marks of the elements it stands in.
 
-    A mark on an element around the page's first article, or without one around nearly all of its text, is dropped: what wraps the page is no furniture.
+    An article takes no mark from what stands around it.  A mark by name on an element around the page's first article, or without one any mark around
+    nearly all of its text, is dropped: what wraps the page is no furniture.
     """
 
     def __init__(self):
@@ -66,7 +71,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, tuple[int, ...]]] = []
         self.part: list[str] = []
         self.found: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.n_marks, self.void, self.seen_main = 0, set(), False
+        self.n_marks, self.void, self.worded, self.seen_main = 0, set(), set(), False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.part).split())
@@ -78,6 +83,8 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.end_line()
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in VOID:
             return
         if tag == "p":  # a paragraph ends the one before it
@@ -89,13 +96,20 @@ class Lines(HTMLParser):
         elif tag not in ("html", "body") and not hidden:
             named = (not kept or tag in CONTAINERS) and any(v and furniture_word(v) for k, v in attrs if k in ("class", "id", "role"))
             if named or (tag in MARKED and not (tag == "header" and kept)):
+                if tag not in MARKED:
+                    self.worded.add(self.n_marks)
                 marks, self.n_marks = (*marks, self.n_marks), self.n_marks + 1
             if main and not (self.seen_main and marks):
                 if not self.seen_main:
-                    self.void.update(marks)
+                    self.void.update(self.worded.intersection(marks))
+                    marks = ()
                 self.seen_main = kept = True
         self.open.append((tag, hidden, kept, marks))
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.open.pop()
+
     def leave(self, tag: str, limits: set[str]) -> None:
         """Close the innermost element of this name, unless an element in ``limits`` stands before it."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -116,6 +130,8 @@ class Lines(HTMLParser):
             self.leave(tag, set() if tag in ("html", "body") else {"article", "main", "body"} - {tag})
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self.end_head()
         self.part.append(data)
 
     def unknown_decl(self, data: str) -> None:

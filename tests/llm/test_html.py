@@ -97,3 +97,19 @@ def test_op5_is_the_article_of_every_page(spark):
         body = re.search(r"<article>(.*?)(?:</article>|<footer|$)", pages[r.page_id].html, re.S)[1]
         lines = (" ".join(unescape(x).split()) for x in re.split(r"</?(?:p|h1|br)>", body.replace("<b>", "").replace("</b>", "")))
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_heads_end_where_something_else_begins():
+    text = lambda page: [t for t, state in html.page_lines(page) if state != html.GONE]
+    assert text("<html><head><title>x</title><meta charset=utf-8><body><article><p>one") == ["one"]
+    assert text("<head><title>x</title><link rel=y><noscript>n</noscript><article><p>one</article>") == ["one"]
+    assert text("<head><style>p{}</style> \n plain text<p>more") == ["plain text", "more"]
+    assert text("<head><title>x</title></head><body><p>one") == ["one"]
+
+
+def test_names_inside_an_article_and_open_furniture_before_it():
+    kept = lambda page: [t for t, state in html.page_lines(page) if state == html.KEPT]
+    page = '<article><p>a</p><div class="search-results">b</div><figure class="header-image"><img><figcaption>c</figcaption></figure><div class="site-search">d</div><div class="notice">e</div></article>'
+    assert kept(page) == ["a", "b", "c"]
+    assert [t for t, state in html.page_lines("<aside><p>ad<article><p>one</article>") if state != html.GONE] == ["one"]
+    assert kept('<div class="header-wrap banner"><article><p>one</article></div>') == ["one"]
