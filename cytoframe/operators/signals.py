@@ -54,7 +54,7 @@ def add_per_second(cells: DataFrame) -> DataFrame:
         {
             "green exposure is not above 0": ~F.coalesce(g > 0, F.lit(False)),
             "red exposure is not above 0": ~F.coalesce(r > 0, F.lit(False)),
-            "the two channels were exposed unequally": ~E.close(g, r, 1e-5, 1e-8),
+            "the two channels differ in their exposure": ~E.close(g, r, 1e-5, 1e-8),
         },
     )
     return cells.withColumns({f"{c}_per_s": F.col(c) / (g / 1000.0) for c in PER_SECOND})
