@@ -261,17 +261,29 @@ def neighbourhoods(lists: DataFrame, nodes: DataFrame, pivots: DataFrame, thresh
     return members.join(with_floors(nodes, lists), "node").select("pivot", *COLUMNS)
 
 
+def shared_labels(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+
+
+def audit_weights(nodes: DataFrame) -> dict[bool, float]:
+    """How many nodes a sampled node of ``audit_links`` stands for, by whether it shares its label."""
+    r = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared")).first()
+    shared, alone = r["shared"] or 0, (r["all"] or 0) - (r["shared"] or 0)
+    n_shared = min(AUDIT // 2, shared)
+    return {True: shared / max(1, n_shared), False: alone / max(1, min(AUDIT - n_shared, alone))}
+
+
 def audit_links(nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): all links of a sample of nodes, by brute force; the sample is bounded by AUDIT, so it can be sent to all workers.
 
-    Half of it are nodes that share their label with others, so that rare links are measured too; the rest are any.
+    Up to half of it are nodes that share their label with others, so that rare links are measured too; the rest are drawn from the nodes that
+    the search left alone, where lost links show.  Each part stands for all nodes of its kind (``audit_weights``).
     """
-    linked = nodes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    queries = {}
-    for rows in (nodes.join(linked, "label", "left_semi"), nodes):
-        for r in rows.select("node", "vec").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).collect():
-            if len(queries) < (AUDIT if rows is nodes else AUDIT // 2):
-                queries[r["node"]] = bytes(r["vec"])
+    linked = shared_labels(nodes)
+    queries: dict[int, bytes] = {}
+    for how, most in (("left_semi", AUDIT // 2), ("left_anti", AUDIT)):
+        for r in nodes.join(linked, "label", how).select("node", "vec").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(most - len(queries)).collect():
+            queries[r["node"]] = bytes(r["vec"])
     shared = nodes.sparkSession.sparkContext.broadcast(list(queries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,9 +357,12 @@ def count_links(member: DataFrame, threshold: float) -> DataFrame:
     return links.unionByName(compared).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def find_links(nodes: DataFrame, threshold: float, *, max_rounds: int | None = None, max_searches: int | None = None) -> tuple[DataFrame, float]:
-    """(a, b) links that connect all found, and the share of sampled nodes with links whose links all lie in their
-    component (1.0 where neither the search nor the sample has any).
+def find_links(nodes: DataFrame, threshold: float, *, max_rounds: int | None = None, max_searches: int | None = None, told: dict | None = None) -> tuple[DataFrame, float]:
+    """(a, b) links that connect all found, and the estimated share of nodes with links whose links all lie in their component (1.0 where the sample
+    has none with links; ``told["sampled"]`` says how many it has).
+
+    The sample has nodes that the search linked and nodes that it left alone, each weighed by how many it stands for, so that the estimate does not
+    lean towards nodes that were found.
 
     Raises where that share stays below RECALL though new searches find nothing more.  With a number of rounds or searches
     the search ends there, whatever its recall.
@@ -355,7 +370,7 @@ def find_links(nodes: DataFrame, threshold: float, *, max_rounds: int | None = N
     plain = nodes.select("node", "vec")
     labelled = plain.withColumn("label", F.col("node"))
     found = plain.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    parts, labels, lists, truth = [found], None, None, None
+    parts, labels, lists, truth, weights = [found], None, None, None, {}
     attempt, quiet = 0, 0
     while True:
         merged = False
@@ -412,19 +427,24 @@ def find_links(nodes: DataFrame, threshold: float, *, max_rounds: int | None = N
         if not quiet and not last:
             continue
         if truth is None:
-            truth = materialise(audit_links(labelled, threshold), "audit")
+            weights = audit_weights(labelled)
+            kinds = labelled.join(shared_labels(labelled).withColumn("shared", F.lit(True)), "label", "left").select(F.col("node").alias("a"), F.coalesce("shared", F.lit(False)).alias("shared"))
+            truth = materialise(audit_links(labelled, threshold).join(kinds, "a"), "audit")
         if labels is None:
-            seen = truth.select("a", F.lit(False).alias("same"))
+            seen = truth.select("a", "shared", F.lit(False).alias("same"))
         else:
             of = labelled.select("node", "label")
-            seen = truth.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("a", (F.col("la") == F.col("lb")).alias("same"))
-        r = seen.groupBy("a").agg(F.min("same").alias("whole")).agg(F.count("*").alias("n"), F.count_if("whole").alias("k")).first()
-        recall = r["k"] / r["n"] if r["n"] else 1.0
+            seen = truth.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select("a", "shared", (F.col("la") == F.col("lb")).alias("same"))
+        each = seen.groupBy("a", "shared").agg(F.min("same").alias("whole")).withColumn("w", F.when(F.col("shared"), weights[True]).otherwise(weights[False]))
+        r = each.agg(F.count("*").alias("n"), F.count_if("whole").alias("k"), F.sum("w").alias("w"), F.sum(F.when(F.col("whole"), F.col("w")).otherwise(0.0)).alias("found")).first()
+        recall = r["found"] / r["w"] if r["n"] else 1.0
+        if told is not None:
+            told["sampled"] = r["n"]
         if recall >= RECALL or last:
             discard(lists, pivots)
             return _union(parts), recall
         if quiet >= QUIET:
-            raise RuntimeError(f"the search found all links of {r['k']} of {r['n']} sampled nodes, below {RECALL}, and {quiet} more searches found none")
+            raise RuntimeError(f"the search found all links of {r['k']} of {r['n']} sampled nodes, or {recall:.3f} of all, below {RECALL}, and {quiet} more searches found none")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -435,7 +455,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.95, recall_col: str | None = None) -> DataFrame:
-    """One row per input row: (vec_id, n_links, component_id, kept), and the audited recall where ``recall_col`` names a column for it.
+    """One row per input row: (vec_id, n_links, component_id, kept), and where ``recall_col`` names a column the audited recall, with the number of sampled
+    vectors with links that it rests on in ``<recall_col>_of``.
 
     Two vectors link when their cosine, in double precision, is at least ``threshold``.  n_links counts the other rows
     linked; component_id is the smallest vec_id reachable over links; kept says that it is the row's own.
@@ -446,11 +467,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """
     rows = materialise(vectors(df, id_col, vec_col), "vectors")
     valid = rows.where("node is not null")
-    audited = lambda x: [] if recall_col is None else [F.lit(float(x)).alias(recall_col)]
+    told = {"sampled": 0}
+    audited = lambda x: [] if recall_col is None else [F.lit(float(x)).alias(recall_col), F.lit(told["sampled"]).cast("long").alias(f"{recall_col}_of")]
     if valid.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), *audited(1.0))
     nodes = materialise(valid.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.first("vec").alias("vec")), "nodes")
-    links, recall = find_links(nodes, threshold)
+    links, recall = find_links(nodes, threshold, told=told)
     comp = components(links).withColumnRenamed("label", "comp")
     member = comp.join(nodes, "node").select("comp", "node", "weight", "vec")
     counts = materialise(count_links(member, threshold), "counts")

@@ -1,6 +1,9 @@
+import random
+
 import numpy as np
 import pytest
 from helpers import SF, components
+from pyspark.sql import functions as F
 
 from cytoframe.llm import nndescent, queries
 
@@ -139,3 +142,25 @@ def test_exact_count_in_chunks(spark, monkeypatch):
 def test_op2(spark):
     t = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     assert sorted(tuple(r)[:4] for r in queries.op2_nn_descent(spark, SF).collect()) == brute([r.vec_id for r in t], [r.embedding for r in t])
+
+
+def test_recall_weighs_nodes_that_were_left_alone(spark, monkeypatch):
+    """Lost links between nodes that both stayed alone lower the estimate, though half of the sample was found by the search."""
+    r = random.Random(8)
+    base = [[r.gauss(0, 1) for _ in range(24)] for _ in range(300)]
+    rows = [(2 * i + j, [x + r.gauss(0, 0.01) for x in v]) for i, v in enumerate(base) for j in range(2)]
+    nodes = nndescent.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").select("node", "vec", "vec_id")
+    # As if the search had found the first 60 pairs alone.
+    labelled = nodes.withColumn("label", F.when((F.col("vec_id") < 120) & (F.col("vec_id") % 2 == 1), F.lit(-1) - F.floor(F.col("vec_id") / 2)).otherwise(F.when(F.col("vec_id") < 120, F.lit(-1) - F.floor(F.col("vec_id") / 2)).otherwise(F.col("node"))))
+    labelled = labelled.select("node", "vec", F.col("label").cast("long").alias("label"))
+    monkeypatch.setattr(nndescent, "AUDIT", 100)
+    w = nndescent.audit_weights(labelled)
+    assert w == {True: 120 / 50, False: 480 / 50}
+    truth = nndescent.audit_links(labelled, 0.95)
+    sampled = truth.join(labelled.select(F.col("node").alias("a"), "label"), "a").groupBy("a").agg(F.max((F.col("label") < 0) & (F.col("label") > -1000)).alias("found")).collect()
+    found = sum(w[True] for x in sampled if x.found)
+    estimate = found / (found + sum(w[False] for x in sampled if not x.found))
+    assert len(sampled) == 100 and abs(estimate - 120 / 600) < 1e-9
+    told = {}
+    links, recall = nndescent.find_links(nodes.select("node", "vec"), 0.95, told=told)
+    assert recall >= 0.99 and told["sampled"] == 50  # none is left alone, so half of the sample is all
