@@ -91,6 +91,24 @@ paired AS (SELECT feat.*, green - r_green AS d_green, red - r_red AS d_red, posi
   CASE WHEN green_pos > 0 AND r_green_pos > 0 THEN ln(green_pos / r_green_pos) END AS log_fold_green_pos, CASE WHEN red_pos > 0 AND r_red_pos > 0 THEN ln(red_pos / r_red_pos) END AS log_fold_red_pos FROM {joins})"""
 
 
+def _continuous() -> str:
+    """Every linear segment between neighbouring doses keeps the part that fits all times; the best point of each is where a parabola is lowest."""
+    tol = "0.0601e0"
+    return f"""WITH {_GRID}, {_DOSE_OBS},
+seg AS (SELECT * FROM (SELECT time_h, dose_uM AS l, lead(dose_uM) OVER w AS r, ratio AS start, lead(ratio) OVER w - ratio AS slope FROM g WINDOW w AS (PARTITION BY time_h ORDER BY dose_uM)) WHERE r IS NOT NULL),
+j AS (SELECT obs_id, k, l, r, start, slope, observed, (observed - {tol} - start) / slope AS e1, (observed + {tol} - start) / slope AS e2 FROM o JOIN seg ON o.time_h = seg.time_h),
+s AS (SELECT obs_id, l, r, greatest(0, max(least(e1, e2))) AS lo, least(1, min(greatest(e1, e2))) AS hi, sum(pow(slope / {tol}, 2)) AS den, sum(slope * (observed - start) / pow({tol}, 2)) AS num, sum(pow((start - observed) / {tol}, 2)) AS c0 FROM j GROUP BY obs_id, l, r),
+a AS (SELECT *, least(greatest(num / den, lo), hi) AS alpha FROM s WHERE lo <= hi),
+b AS (SELECT obs_id, l + lo * (r - l) AS low, l + hi * (r - l) AS high, l + alpha * (r - l) AS est, c0 - 2 * alpha * num + alpha * alpha * den AS score FROM a),
+m AS (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY obs_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-12 * greatest(1, abs(low)) THEN 0 ELSE 1 END AS new, min(score) OVER (PARTITION BY obs_id) AS best FROM b),
+n AS (SELECT obs_id, sum(new) AS regions FROM m GROUP BY 1),
+t AS (SELECT obs_id, est, lag(est) OVER (PARTITION BY obs_id ORDER BY est) AS before FROM m WHERE abs(score - best) <= 1e-12 + 1e-9 * abs(best)),
+u AS (SELECT obs_id, count(*) FILTER (before IS NULL OR abs(est - before) > 1e-10 + 1e-10 * abs(before)) AS minima, min(est) AS est FROM t GROUP BY 1),
+d AS (SELECT obs_id, bool_or(observed < lo - {tol} OR observed > hi + {tol}) AS outside FROM (SELECT obs_id, k, observed, min(least(start, start + slope)) AS lo, max(greatest(start, start + slope)) AS hi FROM j GROUP BY 1, 2, 3) GROUP BY 1),
+x AS (SELECT obs_id, est, CASE WHEN regions IS NULL THEN CASE WHEN outside THEN 'out_of_response_domain' ELSE 'no_continuous_match' END WHEN regions > 1 OR minima > 1 THEN 'ambiguous' ELSE 'single_compatible_region' END AS status FROM d LEFT JOIN n USING (obs_id) LEFT JOIN u USING (obs_id))
+SELECT obs_id, status, CASE WHEN status = 'single_compatible_region' THEN round(est, 6) END AS "dose_estimate_uM" FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that resample, solve assignments or integrate have none; tests hold those against plain computations."""
     peak = """
@@ -112,6 +130,7 @@ LEFT JOIN kn k ON p.session_id = k.session_id AND p.t_max_sampled >= k.t0 AND (p
     return {
         **imaging.oracle_sql(),
         **acquisition.oracle_sql(),
+        "q_continuous_dose": _continuous(),
         "q_annotate": _from_cells("SELECT cell_id, day, stressor, strain, dose_uM FROM annotated"),
         "q_usable": f"WITH cells AS (SELECT * FROM ({_cells()})) SELECT cell_id, session_id FROM cells WHERE qc_pass AND NOT edge_flag",
         "q_per_second": _from_cells("SELECT cell_id, round(corrected_mean_green / 0.4, 6) AS corrected_mean_green_per_s, round(corrected_mean_red / 0.4, 6) AS corrected_mean_red_per_s, round(integrated_green / 0.4, 6) AS integrated_green_per_s FROM cells"),
