@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..sources.work import staged
 from . import interpolation as I
 from . import signals as S
 from . import stats
@@ -49,7 +50,8 @@ def point_values(cells: DataFrame, q: float = 0.9) -> DataFrame:
     fields = use.groupBy(*keys, "sample_id").agg(whole("green_af").alias("green"), whole("red_af").alias("red"), F.avg("pos").alias("positive"))
     times = use.groupBy(*keys).agg(E.median("measurement_time_hours").alias("time_h"))
     points = fields.groupBy(*keys).agg(whole("green").alias("green"), whole("red").alias("red"), F.avg("positive").alias("positive")).join(times, keys)
-    return points.unpivot([*keys, "time_h"], list(READOUTS), "readout", "value")
+    # A row for each condition and readout, which what follows reads several times.
+    return staged(points.unpivot([*keys, "time_h"], list(READOUTS), "readout", "value"), "points")
 
 
 def _seed(seed: int, *names: object) -> np.random.Generator:
@@ -101,8 +103,9 @@ def induction_table(cells: DataFrame, n_boot: int = 500, seed: int = 0, q: float
     points = point_values(cells, q)
     observed = I.effects(points)
     times = points.select("session_id", "condition_id", "time_h").distinct()
-    reps = E_clean(point_replicates(field_arrays(cells, q), times, n_boot, seed))
-    rep_effects = I.effects(reps, keys=("session_id", "readout", "replicate")).select("session_id", "readout", "replicate", "dose_uM", "effect")
+    # Replicates are drawn once: controls, knots and stressed points are all read from what is written.
+    reps = staged(E_clean(point_replicates(field_arrays(cells, q), times, n_boot, seed)), "replicates")
+    rep_effects = staged(I.effects(reps, keys=("session_id", "readout", "replicate")).select("session_id", "readout", "replicate", "dose_uM", "effect"), "effects")
     keys = ["session_id", "readout", "dose_uM"]
     spread = rep_effects.groupBy(*keys).agg(*interval("effect"), F.stddev_samp("effect").alias("se"))
     meta = points.groupBy("session_id").agg(F.min("day").alias("day"), F.min("stressor").alias("stressor"))
