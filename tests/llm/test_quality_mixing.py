@@ -92,6 +92,25 @@ def test_floors_of_odd_labels(spark):
     assert quality.least_entropy_of(floors, "greek", 8.0) == 0.0 and quality.least_entropy_of(None, "latin", 8.0) == 0.0
 
 
+def test_reach_of_good_texts(spark):
+    rows = [("latin", 1 << k, 0.95 - 0.05 * k + 0.01 * (i % 2), 3.0 + i / 10, 0.001 * (i % 3)) for k in (5, 6, 7) for i in range(30)]
+    floors = quality.floors_from(rows)
+    at, most, pieces, fallback = floors.reach["latin"]
+    assert at == [5.0, 6.0, 7.0] and most == pytest.approx([0.72, 0.67, 0.62]) and (pieces, fallback) == (3.0, 0.002)
+    beyond = lambda *x: quality.beyond_reach(floors, *x)
+    assert beyond("latin", 6.0, 2.9, 0.0, 0.68) and not beyond("latin", 6.0, 2.9, 0.0, 0.66) and not beyond("latin", 6.0, 3.1, 0.0, 0.9)
+    assert beyond("latin", 6.0, 2.9, 0.02, 0.1) and not beyond("latin", 4.0, 2.9, 0.0, 0.99) and not beyond("greek", 6.0, 0.1, 1.0, 1.0)
+    assert not quality.beyond_reach(None, "latin", 6.0, 0.1, 1.0, 1.0) and not quality.floors_from([r[:3] for r in rows]).reach
+    docs, labels, _ = labelled(spark, "sf0.01")
+    import random
+
+    rng = random.Random(3)
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(400))
+    fitted = quality.fit_floors(docs, labels)
+    row = next(quality.measured(pa.array([letters]), None, fitted))
+    assert not row[5] and not row[6] and row[11] >= quality.least_entropy_of(fitted, "latin", np.log2(row[8]))
+
+
 def test_op8_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
