@@ -125,10 +125,11 @@ FROM pk p LEFT JOIN cur c ON p.session_id = c.session_id AND p.dose_uM = c.dose_
 LEFT JOIN kn k ON p.session_id = k.session_id AND p.t_max_sampled >= k.t0 AND (p.t_max_sampled < k.t1 OR (k.t1 IS NULL AND p.t_max_sampled = k.t0))
 """
     pop = """, c AS (SELECT *, corrected_mean_red / corrected_mean_green AS ratio, qc_pass AND corrected_mean_green > {floor} AS el FROM cells)"""
-    from . import acquisition, imaging
+    from . import acquisition, illumination, imaging
 
     return {
         **imaging.oracle_sql(),
+        **illumination.oracle_sql(),
         **acquisition.oracle_sql(),
         "q_continuous_dose": _continuous(),
         "q_annotate": _from_cells("SELECT cell_id, day, stressor, strain, dose_uM FROM annotated"),

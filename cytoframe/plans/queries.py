@@ -464,6 +464,6 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    from . import acquisition, imaging
+    from . import acquisition, illumination, imaging
 
-    return {f.__name__: f for f in (*QUERIES, *imaging.QUERIES, *acquisition.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *imaging.QUERIES, *illumination.QUERIES, *acquisition.QUERIES)}
