@@ -327,8 +327,10 @@ def q_snapshot_grid(spark, sf_dir):
 
 
 def q_grid_posterior(spark, sf_dir):
-    m, _ = grids.grid_posterior(grids.prior_masses(grid(spark), "uniform_grid"), snapshots(spark, sf_dir), (0.04, 0.005, 0.09), max_distance=9.21)
-    return rounded(m.groupBy("obs_id").agg(F.max("mass").alias("top"), F.sum(F.col("mass") * F.col("dose_uM")).alias("mean_dose"), F.sum(F.col("mass") * F.col("time_h")).alias("mean_time"), F.count_if("in_region").alias("n_region")))
+    p = grids.posteriors(grids.prior_masses(grid(spark), "uniform_grid"), snapshots(spark, sf_dir), (0.04, 0.005, 0.09))
+    mean = lambda axis: F.aggregate("nodes", F.lit(0.0), lambda s, n: s + n["mass"] * n[axis])
+    n_region = F.size(F.filter("nodes", lambda n: n["in_region"])).cast("long")
+    return rounded(p.select("obs_id", F.array_max(F.col("nodes")["mass"]).alias("top"), mean("dose_uM").alias("mean_dose"), mean("time_h").alias("mean_time"), n_region.alias("n_region")))
 
 
 def dose_observations(spark, sf_dir):

@@ -232,3 +232,27 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second run from the checkpoint adds nothing
         windows.append_new(s, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def exchanges(df):
+    """Shuffles of an adaptive plan, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(obs_id")
+
+
+def test_observations_are_dealt_once_and_never_with_their_grid(spark):
+    g = grids.prior_masses(long(spark, range(4), (0.5, 1), np.linspace(0.2, 0.9, 8).reshape(4, 2), np.full((4, 2), 0.4).tolist()), "uniform_grid")
+    prepared = spark.range(20).selectExpr("id AS obs_id", "'m' AS artifact_id", "0.3D + id % 3 * 0.1D AS ratio_obs", "0.4D AS green_obs", "0D AS model_low", "1D AS model_high", "id = 7 AS low")
+    p = grids.posteriors(g, prepared, (0.04, 0.01, 0.09))
+    assert exchanges(p) == 0 and p.count() == 19
+    o = observed(spark, [((0.5, 0.2), (1, 0.3))] * 3, 0.01)
+    assert exchanges(grids.decode_dose(g, o)) == 1
+    offsets = spark.createDataFrame([("m", 0.5)], "artifact_id string, elapsed_h double")
+    assert exchanges(grids.decode_joint(g, o.selectExpr("obs_id", "artifact_id", "time_h - 0.5 AS relative_h", "ratio", "tolerance"), offsets)) == 1
+
+
+def test_doses_of_an_uneven_grid(spark):
+    g = spark.createDataFrame([("m", 0.0, 0.5, 0.1), ("m", 25.0, 0.5, 0.4), ("m", 25.0, 1.0, 0.5), ("m", 75.0, 1.0, 0.5)], "artifact_id string, dose_uM double, time_h double, ratio double")
+    o = observed(spark, [((0.5, 0.4), (1, 0.5)), ((1, 0.5),), ((9, 0.4),)], 0.01)
+    out = {r.obs_id: (r.status, r.candidate_doses_uM) for r in grids.decode_dose(g, o).collect()}
+    # A dose that the grid lacks at a time is not tested there; an observation of other times alone has no row.
+    assert out == {0: ("ambiguous", [25.0, 75.0]), 1: ("ambiguous", [25.0, 75.0])}
