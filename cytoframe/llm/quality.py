@@ -56,15 +56,15 @@ LEAST_ENTROPY = ((9, 10, 11, 12, 13, 14, 16), (0.525, 0.53, 0.51, 0.47, 0.445, 0
 MOST_ENTROPY = ((5, 6, 7, 8, 9, 10, 11, 12, 13, 15), (0.939, 0.936, 0.897, 0.854, 0.771, 0.707, 0.651, 0.598, 0.554, 0.48))
 SHORT_PIECES = 1.8
 
-#: Fitting: good texts measured at most, texts of a script and size from which a floor is taken, what is left below the least of
-#: them, and the least fall of a floor with each doubling beyond the largest size.
-FIT_ROWS, FIT_LEAST, FIT_SLACK, FIT_FALL = 4000, 20, 0.01, 0.05
+#: Fitting: texts of a script and size from which a floor is taken, what is left below the least of them, and the least fall of a floor
+#: with each doubling beyond the largest size.
+FIT_LEAST, FIT_SLACK, FIT_FALL = 20, 0.01, 0.05
 
 
 class Floors(dict[str, tuple[list[float], list[float]]]):
     """Entropy floors by script: sizes (log2 of the number of tokens) and least entropy shares.
 
-    ``reach`` has, by script, what no good text of the sample goes beyond: sizes, most entropy shares, the least characters per token
+    ``reach`` has, by script, what no good text goes beyond: sizes, most entropy shares, the least characters per token
     and the most byte fallback.
     """
 
@@ -182,32 +182,44 @@ def least_entropy_of(floors: Floors | None, script: str, size: float) -> float:
 def floors_from(rows: list[tuple]) -> Floors:
     """Floors from (script, n_tokens, entropy_share) of good texts: by script and rounded size the least share, less a little.
 
-    Shares fall with size, so the least of a size's texts is that of its longest ones, and no floor may rise.  Rows that go on with
-    (chars_per_token, fallback_share) give the reach of these measures too.
+    Rows that go on with (chars_per_token, fallback_share) give the reach of these measures too.
     """
-    by: dict[str, dict[int, list[tuple]]] = {}
+    by: dict[tuple[str, int], list[tuple]] = {}
     for script, n, *measures in rows:
         if n > 1:
-            by.setdefault(script, {}).setdefault(round(math.log2(n)), []).append(tuple(measures))
+            by.setdefault((script, round(math.log2(n))), []).append(tuple(measures))
+    out = []
+    for (script, size), v in by.items():
+        full = all(len(m) == 3 for m in v)
+        out.append((script, size, len(v), min(m[0] for m in v), max(m[0] for m in v), min(m[1] for m in v) if full else None, max(m[2] for m in v) if full else None))
+    return floors_of(out)
+
+
+def floors_of(groups: list[tuple]) -> Floors:
+    """Floors from (script, size, texts, least entropy, most entropy, least characters per token or None, most byte fallback or None).
+
+    Shares fall with size, so the least of a size's texts is that of its longest ones, and no floor may rise.
+    """
+    by: dict[str, dict[int, tuple]] = {}
+    for script, size, n, *ends in groups:
+        if n >= FIT_LEAST:
+            by.setdefault(script, {})[size] = tuple(ends)
     out = Floors()
     for script, sizes in by.items():
-        at = sorted(k for k, v in sizes.items() if len(v) >= FIT_LEAST)
-        if not at:
-            continue
-        least = np.minimum.accumulate([min(m[0] for m in sizes[k]) - FIT_SLACK for k in at]).tolist()
+        at = sorted(sizes)
+        least = np.minimum.accumulate([sizes[k][0] - FIT_SLACK for k in at]).tolist()
         out[script] = [float(k) for k in at], least
-        good = [m for k in at for m in sizes[k]]
-        if all(len(m) == 3 for m in good):
-            most = np.maximum.accumulate([max(m[0] for m in sizes[k]) + FIT_SLACK for k in reversed(at)])[::-1].tolist()
-            out.reach[script] = [float(k) for k in at], most, min(m[1] for m in good), max(m[2] for m in good)
+        if all(sizes[k][2] is not None for k in at):
+            most = np.maximum.accumulate([sizes[k][1] + FIT_SLACK for k in reversed(at)])[::-1].tolist()
+            out.reach[script] = [float(k) for k in at], most, min(sizes[k][2] for k in at), max(sizes[k][3] for k in at)
     return out
 
 
 def beyond_reach(floors: Floors | None, script: str, size: float, per_token: float, fallback: float, entropy: float) -> bool:
     """Whether a text falls into shorter pieces than any good text of its script, and holds more entropy than those of its size or more byte fallback.
 
-    Random letters do both; either alone is no reason, as other languages and richer prose differ from the sample in one of them.
-    Texts shorter than the sample's are not held against its entropy.
+    Random letters do both; either alone is no reason, as other languages and richer prose differ from the good texts in one of them.
+    Texts shorter than those are not held against its entropy.
     """
     if not floors or script not in floors.reach:
         return False
@@ -215,17 +227,21 @@ def beyond_reach(floors: Floors | None, script: str, size: float, per_token: flo
     return per_token < pieces and (fallback > most_fallback + FIT_SLACK or size >= at[0] and entropy > float(np.interp(size, at, most)))
 
 
-def fit_floors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, good: Column | None = None, limit: int = FIT_ROWS, vocabulary: str | None = None) -> Floors:
-    """Entropy floors, and the reach of all three measures, from at most ``limit`` labelled good documents, chosen by a hash of their ids, that pass the base rules.
+def fit_floors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, good: Column | None = None, limit: int | None = None, vocabulary: str | None = None) -> Floors:
+    """Entropy floors, and the reach of all three measures, from every labelled good document that passes the base rules.
 
-    ``labels`` has the id and what ``good`` reads (quality = 1).  Null and repeated ids, labels without a document and empty tables
-    add nothing; scripts and sizes with fewer than FIT_LEAST such documents get no floor of their own.
+    ``labels`` has the id and what ``good`` reads (quality = 1).  All of them are measured, and what comes to the driver is a row for each script and
+    size.  Null and repeated ids, labels without a document and empty tables add nothing; scripts and sizes with fewer than FIT_LEAST such
+    documents get no floor of their own.  Only a caller that sets ``limit`` gets a fit on that many of them, chosen by a hash of their ids.
     """
     chosen = labels.where(F.col("quality") == 1 if good is None else good).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    chosen = chosen.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(limit)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
-    rows = quality(texts, "id", "text", vocabulary=vocabulary).where("not base_failed").select("script", "n_tokens", "entropy_share", "chars_per_token", "fallback_share").limit(2 * limit).collect()
-    return floors_from([tuple(r) for r in rows])
+    if limit is not None:
+        chosen = chosen.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(limit)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id", "left_semi")
+    m = quality(texts, "id", "text", vocabulary=vocabulary).where("not base_failed and n_tokens > 1")
+    ends = (F.count("*"), F.min("entropy_share"), F.max("entropy_share"), F.min("chars_per_token"), F.max("fallback_share"))
+    groups = m.groupBy("script", F.bround(F.log2("n_tokens")).cast("int").alias("size")).agg(*ends)
+    return floors_of([tuple(r) for r in groups.collect()])
 
 
 def measure(text: str | None, raw: bytes, words: list[bytes], numbers: np.ndarray, f: Fertility, floors: Floors | None = None) -> tuple:

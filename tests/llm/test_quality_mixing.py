@@ -92,6 +92,19 @@ def test_floors_of_odd_labels(spark):
     assert quality.least_entropy_of(floors, "greek", 8.0) == 0.0 and quality.least_entropy_of(None, "latin", 8.0) == 0.0
 
 
+def test_floors_come_from_every_good_document(spark):
+    # 4,500 good texts, more than any sample took before; a single one has the least entropy.
+    common = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = spark.range(4500).selectExpr("id AS doc_id", f"concat('{common}', ' ', CAST(id AS STRING)) AS text")
+    plain = spark.range(4500, 4501).selectExpr("id AS doc_id", "concat(array_join(transform(sequence(1, 60), i -> concat('wordaa', repeat('a', i % 3))), ' '), ' x ', CAST(rand(1) AS STRING)) AS text")
+    rows = [quality.quality(t).select("script", "n_tokens", "entropy_share", "chars_per_token", "fallback_share", "base_failed") for t in (docs, plain)]
+    both = rows[0].unionByName(rows[1]).where("not base_failed").drop("base_failed").collect()
+    labels = spark.range(4501).selectExpr("id AS doc_id", "1 AS quality")
+    want, got = quality.floors_from([tuple(r) for r in both]), quality.fit_floors(docs.unionByName(plain), labels)
+    assert dict(got) == dict(want) and got.reach == want.reach
+    assert got.reach["latin"][3] == max(r.fallback_share for r in both)
+
+
 def test_reach_of_good_texts(spark):
     rows = [("latin", 1 << k, 0.95 - 0.05 * k + 0.01 * (i % 2), 3.0 + i / 10, 0.001 * (i % 3)) for k in (5, 6, 7) for i in range(30)]
     floors = quality.floors_from(rows)
