@@ -26,7 +26,8 @@ def check_trajectories(samples: DataFrame, calibrations: DataFrame, *, data_kind
     All checks are one aggregate over the rows of a trajectory beside its session's calibration; the first that fails, in this order, is the reason.
     """
     c = calibrations.select("session_id", *(F.col(x).alias(f"_{x}") for x in ("reference_id", "c_session", "source_kind", "source")), F.lit(True).alias("_there"))
-    j = trajectories(samples).join(c, "session_id", "left")
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = trajectories(samples).repartition(n, "obs_id").join(c, "session_id", "left")
     raw, corrected, used = F.col("ratio_red_green_median"), F.col("calibrated_ratio_red_green_median"), F.col("n_cells_used")
     finite = lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False))
     expected = "synthetic" if data_kind == "synthetic" else "experimental_reference"
@@ -63,7 +64,7 @@ def decode_samples(grid: DataFrame, samples: DataFrame, calibrations: DataFrame,
     if mode != "continuous" and allowance is not None:
         raise ValueError("an allowance is for the continuous mode")
     checked = check_trajectories(samples, calibrations, data_kind=data_kind, min_cells=min_cells, time=time)
-    rows = trajectories(samples).join(checked.where("reason IS NULL").select("obs_id"), "obs_id", "left_semi")
+    rows = trajectories(samples).select("obs_id", time, "calibrated_ratio_red_green_median").join(checked.where("reason IS NULL").select("obs_id"), "obs_id", "left_semi")
     o = rows.select("obs_id", F.lit(artifact_id).alias("artifact_id"), F.col(time).cast("double").alias("time_h"), F.col("calibrated_ratio_red_green_median").alias("ratio"), F.lit(tolerance).alias("tolerance"))
     if mode == "joint":
         first = o.groupBy("obs_id").agg(F.min("time_h").alias("_first"))

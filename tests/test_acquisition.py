@@ -102,3 +102,14 @@ def test_snapshots_need_ready_summaries(spark):
     df = spark.createDataFrame(rows, "session_id string, specimen_id string, biological_replicate_id string, sample_id string, timepoint long, ratio_red_green_median double, corrected_green_median double, summary_status string, summary_method string, objective string, exposure_ms_green double, exposure_ms_red double, nd_filter_green double, nd_filter_red double, acquisition_json string")
     got = [r.reason for r in linkage.snapshots_from_summary(df, method="median", source="here").collect()]
     assert got == [None, "summary is not ready", "summary has another method", "an identity is missing", "no acquisition settings", "acquisition settings disagree", "ratio or green out of range", "acquisition settings disagree"]
+
+
+def test_trajectories_are_dealt_once(spark):
+    from cytoframe.operators import linkage
+
+    columns = "session_id string, sample_id string, condition_id string, measurement_time_hours double, ratio_red_green_median double, calibrated_ratio_red_green_median double, n_cells_used int, calibration_reference_id string, calibration_source_kind string, calibration_source string, data_kind string, c_session double"
+    rows = [("s", "a", None, float(t), 0.4, 0.4, 5, "r", "synthetic", "made", "synthetic", 1.0) for t in (1, 2)]
+    calibrations = spark.createDataFrame([("s", "r", 1.0, "synthetic", "made")], "session_id string, reference_id string, c_session double, source_kind string, source string")
+    checked = linkage.check_trajectories(spark.createDataFrame(rows, columns), calibrations.hint("broadcast"), data_kind="synthetic", min_cells=3, time="measurement_time_hours")
+    assert checked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(obs_id") == 1
+    assert [(r.n_points, r.reason) for r in checked.collect()] == [(2, None)]
