@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import staged
+
 
 def segments(knots: DataFrame, keys: list[str], t: str, v: str, flat: bool) -> DataFrame:
     """(keys, t0, v0, t1, v1) between neighbouring knots, closed on the left; the last knot is a segment of its own.
@@ -66,6 +68,8 @@ def add_paired(fields: DataFrame) -> DataFrame:
     from ..functions.exprs import log_ratio
 
     columns = ("green", "red", "positive", "green_pos", "red_pos")
+    # A row per field, made from many cells: written, as both sides of the join read it.
+    fields = staged(fields, "fields")
     per = fields.where("dose_uM = 0").groupBy("session_id", "condition_id")
     # A column's own rows decide its times and values, as where it is missing the row does not count for it.
     per = per.agg(*(F.avg(F.when(F.col(c).isNotNull(), F.col("time_h"))).alias(f"t_{c}") for c in columns), *(F.avg(c).alias(f"v_{c}") for c in columns))

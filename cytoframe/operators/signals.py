@@ -34,16 +34,18 @@ def annotate(cells: DataFrame) -> DataFrame:
 
 
 def with_labels(cells: DataFrame) -> DataFrame:
-    """The columns of ``annotate`` without its checks."""
+    """The columns of ``annotate`` without its checks.
+
+    Ids are read once for each distinct pair of them, written, and joined to the cells (null ids too): pairs are few, cells many.  Read off row by row, the
+    patterns would be matched again in every filter and aggregate that uses a label.
+    """
     s, c = F.col("session_id"), F.col("condition_id")
-    return cells.withColumns(
-        {
-            "day": E.part(s, E.SESSION_ID, 1),
-            "stressor": E.part(s, E.SESSION_ID, 2),
-            "strain": E.part(s, E.SESSION_ID, 3),
-            "dose_uM": F.when(E.part(s, E.SESSION_ID, 2) != "none", E.part(c, E.CONDITION_ID, 2).cast("double")),
-        }
-    )
+    pairs = cells.select("session_id", "condition_id").distinct()
+    stressor = E.part(s, E.SESSION_ID, 2)
+    labels = {"day": E.part(s, E.SESSION_ID, 1), "stressor": stressor, "strain": E.part(s, E.SESSION_ID, 3), "dose_uM": F.when(stressor != "none", E.part(c, E.CONDITION_ID, 2).cast("double"))}
+    read = staged(pairs.select(s.alias("_session"), c.alias("_condition"), *(v.alias(k) for k, v in labels.items())), "labels")
+    joined = cells.drop(*labels).join(read, s.eqNullSafe(F.col("_session")) & c.eqNullSafe(F.col("_condition")), "left")
+    return joined.drop("_session", "_condition")
 
 
 def add_per_second(cells: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import classify, grids, interpolation, matching, model, resampling, signals, stats, summary
+from ..sources.work import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,7 +232,8 @@ def q_peaks(spark, sf_dir):
 
 
 def q_excess(spark, sf_dir):
-    curve = signals.timecourse(signals.field_summaries(corrected(spark, sf_dir))).where("strain = 'tr'")
+    # A row per sample and time, which the peaks and both sides of the excess read.
+    curve = staged(signals.timecourse(signals.field_summaries(corrected(spark, sf_dir))).where("strain = 'tr'"), "curve")
     p = stats.peaks(curve, ["session_id", "dose_uM"], "time_h", "green").select("session_id", "dose_uM", "t_max_sampled")
     return rounded(stats.excess_over_control(p, curve, "green"))
 

@@ -58,6 +58,17 @@ def test_usable_vocabulary(spark):
     assert [r[0] for r in df.select(E.usable()).collect()] == [True, True, False, False, False]
 
 
+def test_labels_are_read_once_for_each_pair_of_ids(spark):
+    rows = [(1, "20260101_h2o2_tr", "h2o2_50uM_t1"), (2, "20260101_h2o2_tr", None), (3, None, "h2o2_50uM_t1"), (4, "20260101_none_nt", "h2o2_50uM_t1"), (5, "other", "h2o2_1.5uM"), (6, "20260101_h2o2_tr", "h2o2_50uM_t1")]
+    out = signals.with_labels(spark.createDataFrame(rows, "cell_id int, session_id string, condition_id string"))
+    got = [(r.cell_id, r.day, r.stressor, r.strain, r.dose_uM) for r in out.orderBy("cell_id").collect()]
+    day = "20260101"
+    assert got == [(1, day, "h2o2", "tr", 50.0), (2, day, "h2o2", "tr", None), (3, None, None, None, None), (4, day, "none", "nt", None), (5, None, None, None, None), (6, day, "h2o2", "tr", 50.0)]
+    # No pattern is matched again where cells are filtered or grouped by a label.
+    used = out.where("strain = 'tr'").na.drop(subset=["day", "dose_uM"]).groupBy("stressor", "dose_uM").count()
+    assert "rlike" not in used._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_per_second(spark):
     schema = "exposure_ms_green double, exposure_ms_red double, corrected_mean_green double, corrected_mean_red double, integrated_green double, integrated_red double"
     out = signals.add_per_second(spark.createDataFrame([(800.0, 800.0, 4.0, 4.0, 8.0, 8.0), (1600.0, 1600.0, 8.0, 8.0, 8.0, 8.0)], schema)).collect()
