@@ -6,15 +6,15 @@ A pixel table is (image_id, r, c, v); pixels that it lacks are background.  ``sh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..sources.work import staged
-from .components import connected
-
-#: Columns of a frame that one key of the join of neighbouring rows covers.
-TILE = 256
 
 
 def otsu_cuts(pixels: DataFrame, bins: int = 256) -> DataFrame:
@@ -64,6 +64,14 @@ def pixels_of(runs: DataFrame) -> DataFrame:
     return runs.withColumn("c", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1")
 
 
+def merged(runs: DataFrame) -> DataFrame:
+    """Runs of all pixels that any of ``runs`` covers: those that overlap or touch become one."""
+    w = Window.partitionBy("image_id", "r").orderBy("c0", "c1")
+    reach = F.max("c1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = runs.withColumn("new", F.coalesce(F.col("c0") > reach + 1, F.lit(True)).cast("long")).withColumn("at", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return new.groupBy("image_id", "r", "at").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("at")
+
+
 def gaps_of(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """Runs of all that the mask leaves out of its frames, rows without runs included."""
     w = Window.partitionBy("image_id", "r").orderBy("c0")
@@ -75,22 +83,48 @@ def gaps_of(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     return g.where(F.col("from") < F.col("c0")).select("image_id", "r", F.col("from").alias("c0"), (F.col("c0") - 1).alias("c1"))
 
 
+def linked_runs(frame: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """For each run the first run of its component; runs are sorted by frame, row and column, and those of one row do not overlap."""
+    height, width = (int(x.max(initial=0)) + 2 for x in (r, c1))
+    row = (frame * height + r) * width
+    # The runs of the row below that overlap one are neighbours in this order; below a frame's last row there is a row without any.
+    lo, hi = np.searchsorted(row + c1, row + width + c0, "left"), np.searchsorted(row + c0, row + width + c1, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(r)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    first = np.arange(len(r))
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, first[a], least)
+        np.minimum.at(first, first[b], least)
+        while (first != (up := first[first])).any():
+            first = up
+    return first
+
+
 def components(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """``runs`` with ``label``: the smallest pixel number (r * width + c) of the component that a run belongs to.
 
-    Runs of neighbouring rows are linked where they overlap, found by an equi-join on image, row and stretch of ``TILE`` columns; an
-    overlap counts in the stretch where it begins, so no link comes twice and nothing is split at a stretch's border.
+    Runs of neighbouring rows are linked where they overlap.  Components end at their frame's edge, so a frame's runs are one row of arrays, shuffled once, and a
+    batch of frames is labelled at a time; labels never travel from run to run in rounds of joins.
     """
-    number = F.xxhash64("image_id", "r", "c0")
-    r = runs.join(shapes.select("image_id", "width"), "image_id").select("image_id", "r", "c0", "c1", "width", number.alias("node"))
-    tiles = r.withColumn("tile", F.explode(F.sequence(F.shiftright("c0", 8), F.shiftright("c1", 8))))
-    below = tiles.select("image_id", "tile", (F.col("r") - 1).alias("r"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
-    start = F.greatest("c0", "d0")
-    met = tiles.join(below, ["image_id", "r", "tile"]).where((start <= F.least("c1", "d1")) & (F.shiftright(start, 8) == F.col("tile")))
-    labels = connected(r.select("node"), met.select(F.col("node").alias("a"), "b"))
-    joined = r.join(labels.withColumnRenamed("label", "root"), "node")
-    first = joined.groupBy("image_id", "root").agg(F.min(F.col("r") * F.col("width") + F.col("c0")).alias("label"))
-    return joined.join(first, ["image_id", "root"]).select("image_id", "r", "c0", "c1", "label")
+    x = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("r", "c0", "c1")))))
+    rows = runs.groupBy("image_id").agg(x.alias("x")).join(shapes.select("image_id", F.col("width").cast("long").alias("width")), "image_id")
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            counts = b["r"].map(len).to_numpy()
+            r, c0, c1 = (np.concatenate(b[k].to_list()).astype(np.int64) for k in ("r", "c0", "c1"))
+            frame = np.repeat(np.arange(len(b)), counts)
+            first = linked_runs(frame, r, c0, c1)
+            labels = r[first] * b["width"].to_numpy()[frame] + c0[first]
+            yield b[["image_id", "r", "c0", "c1"]].assign(label=np.split(labels, np.cumsum(counts)[:-1]))
+
+    kind = dict(runs.dtypes)["image_id"]
+    found = rows.select("image_id", "width", *(F.col("x")[k].alias(k) for k in ("r", "c0", "c1"))).mapInPandas(label, f"image_id {kind}, r array<long>, c0 array<long>, c1 array<long>, label array<long>")
+    return found.select("image_id", F.explode(F.arrays_zip("r", "c0", "c1", "label")).alias("x")).select("image_id", "x.r", "x.c0", "x.c1", "x.label")
 
 
 def sizes(labelled: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -102,9 +136,9 @@ def sizes(labelled: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def fill_holes(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """Runs of the mask and of all background that no edge of the frame reaches."""
-    back = components(gaps_of(runs, shapes), shapes)
+    back = staged(components(gaps_of(runs, shapes), shapes), "back")
     holes = back.join(sizes(back, shapes).where("not edge_flag").select("image_id", "label"), ["image_id", "label"], "left_semi")
-    return runs_of(pixels_of(runs.select("image_id", "r", "c0", "c1")).unionByName(pixels_of(holes.drop("label"))))
+    return merged(runs.select("image_id", "r", "c0", "c1").unionByName(holes.drop("label")))
 
 
 def segment(pixels: DataFrame, shapes: DataFrame, cuts: DataFrame, *, min_size: int = 30, fill: bool = True) -> DataFrame:

@@ -137,3 +137,26 @@ def test_extraction_equals_arrays(spark, erosion, ring):
         w = want[x.image_id, x.cell_id]
         mine = (x.area_px, x.raw_mean_green, x.raw_mean_red, x.corrected_mean_green, x.corrected_mean_red, x.integrated_green, x.integrated_red, x.sat_flag, x.local_background_green, x.local_background_red)
         assert all(abs(p - q) < 1e-9 for p, q in zip(mine, w, strict=True)), (x, w)
+
+
+def test_components_of_a_frame_take_no_rounds(spark):
+    # A snake through 60 rows: its ends are 59 links apart; a second frame and a loose run keep labels of their own.
+    runs = [("a", 2 * k, 0, 9) for k in range(30)] + [("a", 2 * k + 1, 9 * (k % 2), 9 * (k % 2)) for k in range(29)] + [("a", 60, 0, 3), ("b", 0, 2, 4), ("b", 1, 5, 6), ("b", 1, 0, 2)]
+    table = spark.createDataFrame(runs, "image_id string, r long, c0 long, c1 long")
+    shapes = spark.createDataFrame([("a", 70, 10), ("b", 2, 10)], "image_id string, height long, width long")
+    context = spark.sparkContext
+    context.setJobGroup("components", "components")
+    try:
+        out = S.components(table, shapes)
+        assert not list(context.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    got = {(x.image_id, x.r, x.c0): x.label for x in out.collect()}
+    assert len(got) == len(runs) and {v for (i, r, _), v in got.items() if i == "a" and r < 60} == {0}
+    assert got["a", 60, 0] == 600 and got["b", 0, 2] == got["b", 1, 0] == 2 and got["b", 1, 5] == 15
+
+
+def test_merged_runs(spark):
+    runs = [("a", 0, 0, 2), ("a", 0, 3, 4), ("a", 0, 6, 9), ("a", 0, 7, 8), ("a", 0, 9, 11), ("a", 1, 5, 5)]
+    out = S.merged(spark.createDataFrame(runs, "image_id string, r long, c0 long, c1 long"))
+    assert sorted(map(tuple, out.select("r", "c0", "c1").collect())) == [(0, 0, 4), (0, 6, 11), (1, 5, 5)]
