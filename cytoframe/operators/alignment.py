@@ -102,7 +102,9 @@ def place_pairs(pairs: DataFrame, masks: DataFrame, fields: DataFrame, shapes: D
     ``masks`` is (frame_id, r, c0, c1), ``fields`` pixels (image_id, r, c, v) over whole frames, ``shapes`` (image_id, height, width).  Frames are sent as runs.  Pairs
     whose field cannot be laid out, and masks out of the field's shape, keep their row with nulls: nothing stops the batch.  A task holds one pair at a time.
     """
-    runs = masks.groupBy("frame_id").agg(F.collect_list(F.struct("r", "c0", "c1")).alias("_runs"))
+    # Three arrays of numbers: an array of structs would be a Python object for each run.
+    spans = ("_r", "_c0", "_c1")
+    runs = masks.groupBy("frame_id").agg(F.collect_list(F.struct("r", "c0", "c1")).alias("_x")).select("frame_id", *(F.col("_x")[k[1:]].alias(k) for k in spans))
     rows = frame_rows(fields, shapes).withColumnRenamed("image_id", "field_id")
     j = pairs.join(runs, "frame_id", "left").join(rows, "field_id", "left")
     names = pairs.columns
@@ -110,15 +112,15 @@ def place_pairs(pairs: DataFrame, masks: DataFrame, fields: DataFrame, shapes: D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
-            for row in b[["_runs", "height", "width", "values"]].itertuples(index=False, name=None):
-                spans, height, width, values = row
+            for row in b[[*spans, "height", "width", "values"]].itertuples(index=False, name=None):
+                *given, height, width, values = row
                 out = {"dy": None, "dx": None, "z": None, "contrast": None, "mask_fraction": None}
                 if values is not None:
                     mask = np.zeros((int(height), int(width)), bool)
-                    spans = [] if spans is None else list(spans)
-                    if all(0 <= s["r"] < height and 0 <= s["c0"] <= s["c1"] < width for s in spans):
-                        for s in spans:
-                            mask[s["r"], s["c0"] : s["c1"] + 1] = True
+                    r, c0, c1 = (np.asarray([] if x is None else x, int) for x in given)
+                    if ((r >= 0) & (r < height) & (c0 >= 0) & (c0 <= c1) & (c1 < width)).all():
+                        for y, x0, x1 in zip(r, c0, c1, strict=True):
+                            mask[y, x0 : x1 + 1] = True
                         out = place_mask(mask, np.asarray(values, float).reshape(mask.shape), reach=reach, guard=guard, sigma=sigma)
                 found.append(out)
             placed = pd.DataFrame(found, columns=["dy", "dx", "z", "contrast", "mask_fraction"], index=b.index)
@@ -127,7 +129,7 @@ def place_pairs(pairs: DataFrame, masks: DataFrame, fields: DataFrame, shapes: D
             yield pd.concat([b[names], placed], axis=1)
 
     schema = ", ".join([f"`{c}` {k}" for c, k in pairs.dtypes] + [PLACED])
-    return j.select(*names, "_runs", "height", "width", "values").mapInPandas(run, schema)
+    return j.select(*names, *spans, "height", "width", "values").mapInPandas(run, schema)
 
 
 def assign_frames(scored: DataFrame) -> DataFrame:

@@ -196,3 +196,11 @@ def test_registered_alignment_finds_the_known_displacements(spark):
     own = [(n, x) for n, x in rows if x.frame_id == f"b{n}"]
     assert len(own) == len({x.frame_id for _, x in rows}) == 10
     assert all((x.dy, x.dx) == (2 - n % 5, 3 - n % 7) and x.matched for n, x in own)
+
+
+def test_runs_reach_the_kernel_as_arrays_of_numbers(spark):
+    px, shapes = tables(spark, {"f": np.eye(6)})
+    masks = spark.createDataFrame([("b", 1, 1, 2)], "frame_id string, r long, c0 long, c1 long")
+    placed = A.place_pairs(spark.createDataFrame([("f", "b")], "field_id string, frame_id string"), masks, px, shapes, reach=1, guard=0, sigma=None)
+    sent = placed._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+    assert "_c0:array<bigint>" in sent and "struct<r" not in sent
