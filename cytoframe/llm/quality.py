@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mix64, text_bytes
+from .common import WordHashes, materialise, mix64, text_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 8
@@ -78,6 +78,8 @@ SCHEMA = T.StructType(
     + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("script", T.StringType()), T.StructField("n_tokens", T.LongType())]
     + [T.StructField(c, T.DoubleType()) for c in ("chars_per_token", "fallback_share", "entropy_share")]
 )
+#: What a verdict goes by besides: whether the text has a letter of any script.
+MEASURES = T.StructType([*SCHEMA.fields, T.StructField("lettered", T.BooleanType())])
 
 
 def default_vocabulary() -> str:
@@ -234,11 +236,21 @@ def fit_floors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     size.  Null and repeated ids, labels without a document and empty tables add nothing; scripts and sizes with fewer than FIT_LEAST such
     documents get no floor of their own.  Only a caller that sets ``limit`` gets a fit on that many of them, chosen by a hash of their ids.
     """
-    chosen = labels.where(F.col("quality") == 1 if good is None else good).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    chosen = good_ids(labels, id_col, good)
     if limit is not None:
-        chosen = chosen.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(limit)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id", "left_semi")
-    m = quality(texts, "id", "text", vocabulary=vocabulary).where("not base_failed and n_tokens > 1")
+        chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(limit)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id", "left_semi")
+    return floors_of_measures(quality(texts, "doc_id", "text", vocabulary=vocabulary))
+
+
+def good_ids(labels: DataFrame, id_col: str = "doc_id", good: Column | None = None) -> DataFrame:
+    """The distinct ids of labelled good documents as ``doc_id``."""
+    return labels.where(F.col("quality") == 1 if good is None else good).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+
+
+def floors_of_measures(measures: DataFrame) -> Floors:
+    """The fit of ``fit_floors`` from good documents' measures, of which those that pass the base rules count."""
+    m = measures.where("not base_failed and n_tokens > 1")
     ends = (F.count("*"), F.min("entropy_share"), F.max("entropy_share"), F.min("chars_per_token"), F.max("fallback_share"))
     groups = m.groupBy("script", F.bround(F.log2("n_tokens")).cast("int").alias("size")).agg(*ends)
     return floors_of([tuple(r) for r in groups.collect()])
@@ -261,9 +273,16 @@ def measure(text: str | None, raw: bytes, words: list[bytes], numbers: np.ndarra
         entropy = (math.log2(n) - float((c * np.log2(c)).sum()) / n) / math.log2(min(n, len(f.byte)))
     else:
         entropy = 0.0
+    lettered = script != "other" or any(map(str.isalpha, text or ""))
+    kept = verdict(failed, lettered, script, n, per_token, fallback, entropy, floors)
+    return n_words, n_chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), n_repeat, failed, kept, script, n, per_token, fallback, entropy, lettered
+
+
+def verdict(failed: bool, lettered: bool, script: str, n: int, per_token: float, fallback: float, entropy: float, floors: Floors | None) -> bool:
+    """Whether a text of these measures is kept."""
     low, high, most_fallback, least_entropy = BANDS[script]
     # Without a single letter of any script a text is no language.
-    plausible = script != "other" or any(map(str.isalpha, text or ""))
+    plausible = lettered
     if n > 1:
         size = math.log2(n)
         if script == "latin" and not (floors and script in floors):
@@ -272,8 +291,7 @@ def measure(text: str | None, raw: bytes, words: list[bytes], numbers: np.ndarra
         else:
             least_entropy = max(least_entropy, least_entropy_of(floors, script, size))
             plausible = plausible and not beyond_reach(floors, script, size, per_token, fallback, entropy)
-    kept = not failed and plausible and low <= per_token <= high and fallback <= most_fallback and entropy >= least_entropy
-    return n_words, n_chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), n_repeat, failed, kept, script, n, per_token, fallback, entropy
+    return not failed and plausible and low <= per_token <= high and fallback <= most_fallback and entropy >= least_entropy
 
 
 def measured(texts: pa.Array, vocabulary: str | None, floors: Floors | None = None) -> Iterator[tuple]:
@@ -305,14 +323,44 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vo
     table gives no rows; other columns are not read.  ``vocabulary`` is a sentencepiece file on every worker.
     """
 
+    return _measures(df, id_col, text_col, vocabulary, floors).select(*SCHEMA.names)
+
+
+def _arrow(schema: T.StructType) -> list[pa.Field]:
+    types = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    return [pa.field(f.name, types[f.dataType.simpleString()]) for f in schema]
+
+
+def _measures(df: DataFrame, id_col: str, text_col: str, vocabulary: str | None, floors: Floors | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(measured(b.column(1), vocabulary, floors))
             columns = [b.column(0)] + [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema[1:])]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(schema))
 
-    schema = [pa.field("doc_id", pa.int64())] + [pa.field(f.name, {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()]) for f in SCHEMA.fields[1:]]
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    schema = _arrow(MEASURES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, MEASURES)
+
+
+def fit_and_judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, good: Column | None = None, vocabulary: str | None = None) -> DataFrame:
+    """``quality`` with the floors that ``fit_floors`` gives for the same table, from one pass over its texts.
+
+    A row of measures for each document is written; the fit joins the labels to these rows, and verdicts are made from them, so that no text
+    is shuffled, kept or measured twice.
+    """
+    m = materialise(_measures(docs, id_col, text_col, vocabulary), "measures")
+    floors = floors_of_measures(m.join(good_ids(labels, id_col, good), "doc_id", "left_semi"))
+    by = [MEASURES.names.index(c) for c in ("base_failed", "lettered", "script", "n_tokens", "chars_per_token", "fallback_share", "entropy_share")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = SCHEMA.names.index("kept")
+        for b in batches:
+            kept = [verdict(*row, floors) for row in zip(*(b.column(i).to_pylist() for i in by), strict=True)]
+            columns = [pa.array(kept, pa.bool_()) if i == at else b.column(i) for i in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(schema))
+
+    schema = _arrow(SCHEMA)
+    return m.mapInArrow(run, SCHEMA)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", *, vocabulary: str | None = None, floors: Floors | None = None) -> DataFrame:

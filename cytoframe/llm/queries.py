@@ -75,8 +75,7 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.quality(docs, floors=quality.fit_floors(docs, table(spark, sf_dir, "labels")))
+    return quality.fit_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

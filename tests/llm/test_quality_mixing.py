@@ -105,6 +105,18 @@ def test_floors_come_from_every_good_document(spark):
     assert got.reach["latin"][3] == max(r.fallback_share for r in both)
 
 
+def test_fit_and_verdicts_share_one_pass(spark):
+    docs, labels, _ = labelled(spark, "sf0.01")
+    odd = odd_table(spark).select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    want = quality.quality(odd, floors=quality.fit_floors(odd, labels))
+    got = quality.fit_and_judge(odd, labels)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert quality.fit_and_judge(empty_table(spark), labels).count() == 0
+    # Each text is measured once and none is shuffled: verdicts are made from written measures.
+    plan = queries.op10_quality(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.replace("file:", "") and "lettered" in plan and "documents" not in plan
+
+
 def test_reach_of_good_texts(spark):
     rows = [("latin", 1 << k, 0.95 - 0.05 * k + 0.01 * (i % 2), 3.0 + i / 10, 0.001 * (i % 3)) for k in (5, 6, 7) for i in range(30)]
     floors = quality.floors_from(rows)
