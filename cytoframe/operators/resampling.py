@@ -1,18 +1,17 @@
 """Bootstrap operators.
 
-Replicates are spread over tasks by (group, block of replicates); each block draws from a generator seeded by the seed,
-the group and the block, so results do not depend on how the data is partitioned.  A group's fields are one
-imaging day or curve, a bounded set of arrays.
+Replicates are spread over tasks by point (a day's condition); each point draws from a generator seeded by the seed and the point's
+keys, so results do not depend on how the data is partitioned.  A point's fields are a few sorted arrays.  What a replicate takes
+from a field, its redrawn cells' median or share, is drawn from that value's own distribution, so a draw costs the same however many cells a field has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -24,18 +23,19 @@ from . import stats
 READOUTS = ("green", "red", "positive")
 #: Fixed value: smallest effect found with 80 % power at 5 %, in standard errors.
 Z_MDE = 1.96 + 0.84
-BLOCK = 50
+
+
+def sorted_cells(c: str) -> Column:
+    """A column's values in order, nulls and NaN left out."""
+    return F.array_sort(F.collect_list(E.clean(F.col(c))))
 
 
 def field_arrays(cells: DataFrame, q: float = 0.9) -> DataFrame:
-    """Transfected fields with their cells' values as arrays, in order of cell: green, red, and 1 or 0 for positive."""
+    """Transfected fields with their cells' values: green and red as sorted arrays, and the numbers of positive ones and of all."""
     limits = S.positive_thresholds(cells, q)
-    use = cells.where(E.usable() & (F.col("strain") == "tr")).join(limits, "stressor")
-    use = use.na.drop(subset=["session_id", "day", "stressor", "dose_uM", "condition_id", "sample_id"]).withColumn("pos", S._positive().cast("double"))
-    cell = F.struct("cell_id", "green_af", "red_af", "pos", "measurement_time_hours")
-    f = use.groupBy("session_id", "day", "stressor", "dose_uM", "condition_id", "sample_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    pick = lambda k: F.transform("c", lambda x: x[k])
-    return f.select("session_id", "day", "stressor", "dose_uM", "condition_id", "sample_id", pick("green_af").alias("green"), pick("red_af").alias("red"), pick("pos").alias("positive"))
+    keys = ["session_id", "day", "stressor", "dose_uM", "condition_id", "sample_id"]
+    use = cells.where(E.usable() & (F.col("strain") == "tr")).join(limits, "stressor").na.drop(subset=keys)
+    return use.groupBy(*keys).agg(sorted_cells("green_af").alias("green"), sorted_cells("red_af").alias("red"), F.count_if(S._positive()).alias("positive"), F.count("*").alias("n"))
 
 
 def point_values(cells: DataFrame, q: float = 0.9) -> DataFrame:
@@ -58,44 +58,58 @@ def _seed(seed: int, *names: object) -> np.random.Generator:
     return np.random.default_rng([seed, *(crc32(str(n).encode()) for n in names)])
 
 
-def redraw(arrays: list[tuple[np.ndarray, ...]], count: int, rng: np.random.Generator) -> np.ndarray:
-    """(count, fields, columns): per replicate as many fields as there are, drawn with replacement, each with its cells redrawn.
+def redrawn_medians(values: np.ndarray, n: int, count: int, rng: np.random.Generator) -> np.ndarray:
+    """Medians of ``count`` redraws of n cells, of which ``values`` (sorted) are known; NaN where a redraw holds a missing one.
 
-    The last of three columns is a share and gets a mean, the others medians.  All draws of one field are made at once.
+    A redrawn cell's place is floor(m * u), u uniform, which keeps order; so the k-th smallest of n redrawn cells is the value at the place of
+    the k-th smallest of n uniform numbers, a beta variable, and the one after it lies a beta share of the rest above.
     """
-    m = len(arrays)
+    m = len(values)
+    if not m:
+        return np.full(count, np.nan)
+    k = (n + 1) // 2
+    u = rng.beta(k, n - k + 1, count)
+    at = lambda u: values[np.minimum((m * u).astype(np.int64), m - 1)]
+    out = at(u)
+    if n % 2 == 0:
+        out = (out + at(u + (1 - u) * rng.beta(1, n - k, count))) / 2
+    if n > m:
+        out[rng.binomial(n, (n - m) / n, count) > 0] = np.nan
+    return out
+
+
+def redraw(fields: list[dict], readouts: tuple[str, ...], count: int, rng: np.random.Generator) -> np.ndarray:
+    """(count, fields, readouts): per replicate as many fields as there are, drawn with replacement, each with its cells redrawn.
+
+    Green and red get medians, positive a share.  Readouts share a replicate's fields; within a field each is drawn by itself, as no
+    result compares readouts.
+    """
+    m = len(fields)
     picks = rng.integers(0, m, (count, m))
-    out = np.empty((count, m, len(arrays[0])))
-    for j, columns in enumerate(arrays):
+    out = np.empty((count, m, len(readouts)))
+    for j, f in enumerate(fields):
         where = picks == j
-        n = len(columns[0])
-        at = rng.integers(0, n, (int(where.sum()), n))
-        for k, c in enumerate(columns):
-            out[where, k] = c[at].mean(1) if k == 2 else np.median(c[at], axis=1)
+        size, n = int(where.sum()), int(f["n"])
+        for k, name in enumerate(readouts):
+            out[where, k] = rng.binomial(n, f[name] / n, size) / n if name == "positive" else redrawn_medians(np.asarray(f[name], float), n, size, rng)
     return out
 
 
-def point_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: int) -> DataFrame:
+def point_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: int, readouts: tuple[str, ...] = READOUTS) -> DataFrame:
     """(session_id, dose_uM, condition_id, time_h, replicate, readout, value): fields redrawn within points, cells within fields.
 
-    All doses of a session share a replicate's draws, so that its effects have one control.
+    All doses of a session share a replicate's draws of a point, so that its effects have one control.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK))).alias("block")
-    rows = fields.join(times, ["session_id", "condition_id"]).select("*", blocks)
+    rows = fields.join(times, ["session_id", "condition_id"])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        session, block = pdf["session_id"].iloc[0], int(pdf["block"].iloc[0])
-        rng, count = _seed(seed, session, block), min(BLOCK, n_boot - block * BLOCK)
-        out = []
-        for (dose, condition), point in pdf.sort_values(["dose_uM", "condition_id", "sample_id"]).groupby(["dose_uM", "condition_id"], sort=True):
-            arrays = [tuple(np.asarray(r[c], float) for c in READOUTS) for r in point.to_dict("records")]
-            t = float(point["time_h"].iloc[0]) if point["time_h"].notna().any() else np.nan
-            v = redraw(arrays, count, rng)
-            values = (np.median(v[:, :, 0], axis=1), np.median(v[:, :, 1], axis=1), v[:, :, 2].mean(1))
-            out += [(session, dose, condition, t, block * BLOCK + k, name, x[k]) for name, x in zip(READOUTS, values, strict=True) for k in range(count)]
-        return pd.DataFrame(out, columns=["session_id", "dose_uM", "condition_id", "time_h", "replicate", "readout", "value"])
+        point = pdf.sort_values("sample_id").to_dict("records")
+        session, dose, condition, t = (point[0][c] for c in ("session_id", "dose_uM", "condition_id", "time_h"))
+        v = redraw(point, readouts, n_boot, _seed(seed, session, dose, condition))
+        values = [v[:, :, k].mean(1) if name == "positive" else np.median(v[:, :, k], axis=1) for k, name in enumerate(readouts)]
+        return pd.DataFrame({"session_id": session, "dose_uM": dose, "condition_id": condition, "time_h": t, "replicate": np.tile(np.arange(n_boot), len(readouts)), "readout": np.repeat(readouts, n_boot), "value": np.concatenate(values)})
 
-    return rows.groupBy("session_id", "block").applyInPandas(draw, "session_id string, dose_uM double, condition_id string, time_h double, replicate long, readout string, value double")
+    return rows.groupBy("session_id", "dose_uM", "condition_id").applyInPandas(draw, "session_id string, dose_uM double, condition_id string, time_h double, replicate long, readout string, value double")
 
 
 def induction_table(cells: DataFrame, n_boot: int = 500, seed: int = 0, q: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -167,11 +181,8 @@ def bootstrap_peaks(cells: DataFrame, n_boot: int = 500, seed: int = 0) -> DataF
     """(session_id, dose_uM, channel, replicate share and interval of the peak time) per curve, fields and cells redrawn."""
     use = cells.where(E.usable() & (F.col("stressor") != "none"))
     curve = S.timecourse(S.field_summaries(cells))
-    cell = F.struct("cell_id", "green_af", "red_af")
-    fields = use.groupBy("session_id", "dose_uM", "condition_id", "sample_id").agg(F.array_sort(F.collect_list(cell)).alias("c"), E.median("measurement_time_hours").alias("_t"))
-    pick = lambda k: F.transform("c", lambda x: x[k])
-    fields = fields.select("session_id", "dose_uM", "condition_id", "sample_id", pick("green_af").alias("green"), pick("red_af").alias("red"), F.array().cast("array<double>").alias("positive"))
-    reps = E_clean(_curve_replicates(fields, curve.select("session_id", "condition_id", "time_h"), n_boot, seed))
+    fields = use.groupBy("session_id", "dose_uM", "condition_id", "sample_id").agg(sorted_cells("green_af").alias("green"), sorted_cells("red_af").alias("red"), F.count("*").alias("n"))
+    reps = E_clean(point_replicates(fields, curve.select("session_id", "condition_id", "time_h"), n_boot, seed, ("green", "red"))).withColumnRenamed("readout", "channel")
     long = curve.unpivot(["session_id", "dose_uM", "time_h"], ["green", "red"], "channel", "value")
     observed = stats.peaks(long, ["session_id", "dose_uM", "channel"], "time_h", "value")
     p = stats.peaks(reps, ["session_id", "dose_uM", "channel", "replicate"], "time_h", "value")
@@ -184,23 +195,6 @@ def bootstrap_peaks(cells: DataFrame, n_boot: int = 500, seed: int = 0) -> DataF
     return observed.join(spread, ["session_id", "dose_uM", "channel"], "left").join(ends, ["session_id", "dose_uM", "channel"])
 
 
-def _curve_replicates(fields: DataFrame, times: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK))).alias("block")
-    rows = fields.join(times, ["session_id", "condition_id"]).select("*", blocks)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        session, dose, block = pdf["session_id"].iloc[0], pdf["dose_uM"].iloc[0], int(pdf["block"].iloc[0])
-        rng, count = _seed(seed, session, dose, block), min(BLOCK, n_boot - block * BLOCK)
-        out = []
-        for _, point in pdf.sort_values(["condition_id", "sample_id"]).groupby("condition_id", sort=True):
-            arrays, t = [(np.asarray(r["green"], float), np.asarray(r["red"], float)) for r in point.to_dict("records")], point["time_h"].iloc[0]
-            v = np.median(redraw(arrays, count, rng), axis=1)
-            out += [(session, dose, t, block * BLOCK + k, name, v[k, c]) for c, name in enumerate(("green", "red")) for k in range(count)]
-        return pd.DataFrame(out, columns=["session_id", "dose_uM", "time_h", "replicate", "channel", "value"])
-
-    return rows.groupBy("session_id", "dose_uM", "block").applyInPandas(draw, "session_id string, dose_uM double, time_h double, replicate long, channel string, value double")
-
-
 def bootstrap_median(df: DataFrame, keys: list[str], value: str, n: int = 2000, seed: int = 0, least: int = 5) -> DataFrame:
     """(keys, n_values, median, ci_low, ci_high): simple bootstrap of a median; intervals are null below ``least`` values."""
     names = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)

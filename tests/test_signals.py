@@ -1,5 +1,6 @@
 import datetime
 import math
+import time
 
 import numpy as np
 import pytest
@@ -239,3 +240,23 @@ def test_clock(spark):
     assert [r[0] for r in df.select(E.clock_hours(F.col("a"), F.col("b"))).collect()] == [0.85, -23.667, None]
     t = spark.createDataFrame([("2026:01:02 03:04:05",), ("2026-01-02 03:04:05",), ("x",)], "s string")
     assert [r[0] for r in t.select(E.tiff_time(F.col("s"))).collect()] == [datetime.datetime(2026, 1, 2, 3, 4, 5)] * 2 + [None]
+
+
+def test_redrawn_fields_have_the_distribution_of_redrawn_cells():
+    import itertools
+    from collections import Counter
+
+    rng, count = np.random.default_rng(1), 100_000
+    for values, missing in (([1.0], 0), ([1.0, 5.0], 0), ([1.0, 2.0, 2.0], 0), ([1.0, 2.0, 4.0, 9.0], 0), ([1.0, 2.0, 4.0, 9.0, 11.0], 0), ([1.0, 3.0, 4.0], 1)):
+        n = len(values) + missing
+        draws = np.array(list(itertools.product([*values, *[np.nan] * missing], repeat=n)))
+        want = Counter(np.nan_to_num(np.median(draws, axis=1), nan=-1).tolist())
+        got = Counter(np.nan_to_num(resampling.redrawn_medians(np.array(values), n, count, rng), nan=-1).tolist())
+        assert set(got) <= set(want) and all(abs(got[v] / count - k / len(draws)) < 0.01 for v, k in want.items())
+    assert np.isnan(resampling.redrawn_medians(np.array([]), 3, 4, rng)).all()
+    # A field's draws cost the same however many cells it has; redrawing these 20 million cells one by one took 10^10 draws.
+    field = {"green": np.arange(20_000_000.0), "red": np.arange(20_000_000.0), "positive": 5_000_000, "n": 20_000_000}
+    began = time.process_time()
+    v = resampling.redraw([field, field], ("green", "red", "positive"), 500, rng)
+    assert time.process_time() - began < 5 and v.shape == (500, 2, 3)
+    assert v.mean((0, 1)) == pytest.approx([1e7, 1e7, 0.25], rel=1e-3) and 500 < v[:, :, 0].std() < 5000
