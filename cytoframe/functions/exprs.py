@@ -80,6 +80,13 @@ def median(column: Column | str) -> Column:
     return F.percentile(column, 0.5)
 
 
+def array_quantile(values: Column, q: float) -> Column:
+    """The same quantile of a sorted array without nulls; null where it is empty."""
+    at = F.lit(float(q)) * (F.size(values) - 1)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def time_window(hours: Column, edges: list[float]) -> Column:
     """Index of the window that holds each time: right-open, the last one closed; -1 outside or unknown."""
     n = len(edges) - 1

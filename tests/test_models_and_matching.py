@@ -188,6 +188,23 @@ def test_review(spark):
         summary.review_summaries(population(spark), flagged.withColumn("cell_id", F.lit(99).cast("long")), data_kind="synthetic")
 
 
+def test_summaries_keep_arrays_of_values_and_no_copies_of_rows(spark):
+    cells = population(spark).drop("cell_id").crossJoin(spark.range(25).selectExpr("id AS k")).withColumn("cell_id", F.monotonically_increasing_id())
+    cells = cells.withColumn("corrected_mean_green", F.col("corrected_mean_green") + F.col("k") * 7 % 5).withColumn("ratio_red_green", F.col("corrected_mean_red") / F.col("corrected_mean_green"))
+    before, after, comparison, _ = summary.review_summaries(cells, cells.where("k < 3").select(*summary.IDENTITY, F.lit("debris").alias("review_reason")), data_kind="synthetic")
+    # Distinct counts of settings copied every cell a dozen times, and percentile maps each value to its count.
+    plan = comparison._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "percentile(" not in plan
+    for t, kept in ((before, "qc_pass"), (after, "qc_pass and k >= 3")):
+        r, want = t.first(), cells.where(kept).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in ("ratio_red_green", "corrected_mean_green"))).first()
+        assert [r.ratio_red_green_q25, r.ratio_red_green_median, r.ratio_red_green_q75] == want[0] and r.corrected_green_median == want[1][1] and r.n_images == 1
+    mixed = lambda x: cells.withColumn("objective", F.when(F.col("k") == 1, F.lit(x)).otherwise(F.col("objective")))
+    for x in (None, "20X"):
+        with pytest.raises(ValueError, match="inconsistent objective"):
+            summary.summarize_cells(mixed(x), data_kind="synthetic")
+    assert summary.summarize_cells(cells.withColumn("objective", F.lit(None).cast("string")), data_kind="synthetic").first().n_cells_total == 100
+
+
 def test_cell_csv(spark, tmp_path):
     p = tmp_path / "cells.csv"
     p.write_text("session_id,cell_id,qc_pass,ratio_red_green,sample_id\n001,7,True,nan,05\n002,8,0,1.5,06\n")
