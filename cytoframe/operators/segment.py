@@ -28,12 +28,20 @@ def otsu_cuts(pixels: DataFrame, bins: int = 256) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
     h = p.join(span, "image_id").groupBy("image_id", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("image_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("image_id")
-    h = h.withColumns({"below": F.sum("n").over(upto), "sum_below": F.sum(F.col("n") * F.col("bin")).over(upto), "all": F.sum("n").over(whole), "sum_all": F.sum(F.col("n") * F.col("bin")).over(whole)})
-    far = (F.col("all") * F.col("sum_below") - F.col("below") * F.col("sum_all")).cast("double")
-    h = h.withColumn("between", F.when(F.col("below") < F.col("all"), far * far / (F.col("below") * (F.col("all") - F.col("below"))).cast("double")).otherwise(F.lit(0.0)))
-    best = h.groupBy("image_id", "lo", "hi").agg(F.max_by("bin", F.struct("between", (-F.col("bin")).alias("early"))).alias("bin"))
+    # An image's histogram is one array of at most ``bins`` entries, walked once with what lies at or below each bin.
+    whole = h.groupBy("image_id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("bin")).alias("sum_all"))
+    far = lambda s, m: (F.col("all") * m - s * F.col("sum_all")).cast("double")
+    between = lambda s, m: F.when(s < F.col("all"), far(s, m) * far(s, m) / (s * (F.col("all") - s)).cast("double")).otherwise(F.lit(0.0))
+
+    def step(state: Column, x: Column) -> Column:
+        below, moment = state["below"] + x["n"], state["moment"] + x["n"] * x["bin"]
+        b = between(below, moment)
+        better = b > state["best"]
+        return F.struct(below.alias("below"), moment.alias("moment"), F.when(better, b).otherwise(state["best"]).alias("best"), F.when(better, x["bin"]).otherwise(state["bin"]).alias("bin"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("below"), zero.alias("moment"), F.lit(-1.0).alias("best"), zero.alias("bin"))
+    best = whole.select("image_id", "lo", "hi", F.aggregate("h", start, step)["bin"].alias("bin"))
     return best.select("image_id", F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("bin") + 0.5) * width).otherwise(F.col("hi")).alias("cut"))
 
 
@@ -42,8 +50,10 @@ def noise_cuts(pixels: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
     The deviation is 1.4826 times the median distance from the median.  An image without any noise is cut at its maximum: it has no foreground.
     """
-    m = pixels.groupBy("image_id").agg(E.median("v").alias("m"), F.max("v").alias("hi"))
-    d = pixels.join(m, "image_id").groupBy("image_id", "m", "hi").agg(E.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
+    v = pixels.groupBy("image_id").agg(F.array_sort(F.collect_list("v")).alias("v"), F.max("v").alias("hi"))
+    m = v.withColumn("m", E.array_quantile(F.col("v"), 0.5))
+    off = F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m"))))
+    d = m.select("image_id", "m", "hi", off.alias("off")).withColumn("mad", E.array_quantile(F.col("off"), 0.5))
     return d.select("image_id", F.when(F.col("mad") > 0, F.col("m") + sigmas * 1.4826 * F.col("mad")).otherwise(F.col("hi")).alias("cut"))
 
 

@@ -160,3 +160,30 @@ def test_merged_runs(spark):
     runs = [("a", 0, 0, 2), ("a", 0, 3, 4), ("a", 0, 6, 9), ("a", 0, 7, 8), ("a", 0, 9, 11), ("a", 1, 5, 5)]
     out = S.merged(spark.createDataFrame(runs, "image_id string, r long, c0 long, c1 long"))
     assert sorted(map(tuple, out.select("r", "c0", "c1").collect())) == [(0, 0, 4), (0, 6, 11), (1, 5, 5)]
+
+
+def test_cuts_take_one_array_an_image(spark):
+    rng = np.random.default_rng(3)
+    images = {"none": [], "one": [4.0], "flat": [2.0] * 5, "two": [1.0, 9.0], "odd": [1.0, 2.0, 40.0], "many": np.floor(rng.normal(30, 9, 400)).tolist() + np.floor(rng.normal(90, 5, 60)).tolist()}
+    rows = [(k, 0, i, v) for k, vs in images.items() for i, v in enumerate([*vs, None])]
+    px = spark.createDataFrame(rows, "image_id string, r long, c long, v double")
+    otsu, noise = S.otsu_cuts(px), S.noise_cuts(px, 2.0)
+    for t in (otsu, noise):
+        # Windows over histograms and percentile buffers held many rows and boxed values of an image.
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "percentile(" not in plan
+    cuts, noise = ({r.image_id: r.cut for r in t.collect()} for t in (otsu, noise))
+    assert set(cuts) == set(images) - {"none"} and noise["none"] is None
+    for k, vs in images.items():
+        if not vs:
+            continue
+        v = np.array(vs)
+        mad = np.median(np.abs(v - np.median(v)))
+        assert noise[k] == pytest.approx(np.median(v) + 2 * 1.4826 * mad if mad > 0 else v.max())
+        lo, hi = v.min(), v.max()
+        if lo == hi:
+            assert cuts[k] == hi
+            continue
+        b = np.minimum(np.floor((v - lo) / ((hi - lo) / 256)), 255)
+        score = {x: ((len(v) * b[b <= x].sum() - (b <= x).sum() * b.sum()) ** 2 / ((b <= x).sum() * (b > x).sum()) if (b > x).any() else 0.0) for x in sorted(set(b))}
+        assert cuts[k] == pytest.approx(lo + (max(score, key=lambda x: (score[x], -x)) + 0.5) * (hi - lo) / 256)
