@@ -5,9 +5,9 @@ block is coded on its own from a fresh state, so any block can be read without t
 by its checksum and harms no other.  All blocks of a segment are coded side by side, one id of each at a step.
 
 Three orders predict the next id of a block.  Order 0 gives every id of the segment a probability, from counts that stand in the
-segment's head.  Order 1 predicts the id that last followed the last id, order 2 the id that last followed the last two; each gives
-its prediction an adaptive confidence (how often such predictions held before) and leaves the rest to order 0.  The three
-distributions are mixed with weights that follow how well each has done in this block, and the mixed probability of the
+segment's head.  Order 1 predicts the id that last followed the last id, order 2 the id that last followed the last two; each
+keeps with its prediction how often it held of late.  The three distributions are mixed with weights that follow how well each has done
+in this block where both predictions stood as they stand now, and the mixed probability of the
 id itself drives the range coder: nothing of an id is stored beside it.
 """
 
@@ -26,15 +26,18 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import work_root, write
 
-MAGIC = b"CYTOIDS2"
+MAGIC = b"CYTOIDS3"
 #: Ids in a block at most, and blocks in a segment.
 BLOCK, LANES = 2048, 4096
 #: Bits of the hashes under which a block remembers what followed one id and two.
-_BITS1, _BITS2 = 10, 11
+_BITS = 10
 #: A prediction's level counts how often it held of late; zero: nothing seen in this context yet.
 _LEVELS = 8
 #: Weights of the orders are whole numbers out of 4096.
 _SHARES = 12
+#: A block adapts the weights of orders 2 and 1 out of this, by 1/2^5 of the way at each id.  At first an order has these parts of what is left to it, by level.
+_FULL, _RATE = 32_000, 5
+_FIRST = np.array([0, 0.1, 0.25, 0.4, 0.5, 0.6, 0.7, 0.8])
 _HEAD = struct.Struct("<8sIIQI")
 
 
@@ -45,7 +48,6 @@ class Zero:
         self.ids, self.freq = ids, freq.astype(np.int64)
         self.cum = np.concatenate(([0], np.cumsum(self.freq)))
         self.bits = int(self.cum[-1]).bit_length() - 1
-        self.p = (self.freq / float(1 << self.bits)).astype(np.float32)
         # From a value to the place of its id; beyond 2^20 values it is searched for instead.
         self.at = np.repeat(np.arange(len(ids)), self.freq) if self.bits <= 20 else None
 
@@ -80,75 +82,90 @@ class Zero:
         return cls(np.cumsum(steps.astype(np.int64)), freq)
 
 
-_M1, _M2 = np.int64(2654435761), np.int64(2246822519)
-_LOW32 = np.int64(0xFFFFFFFF)
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model:
-    """State of all blocks side by side.  Only element-wise IEEE arithmetic, so coder and decoder agree everywhere."""
+    """State of all blocks side by side; arrays of both orders hold order 2 first.  Only whole numbers, so coder and decoder agree everywhere."""
 
     def __init__(self, zero: Zero, lanes: int):
-        self.zero, self.n = zero, lanes
-        self.at = np.arange(lanes)
-        self.base1, self.base2 = self.at << _BITS1, self.at << _BITS2
-        # What last followed a context, as eight times (place plus one) plus the level.
-        self.t1, self.t2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
-        self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        # How often predictions of each level held, by block.
-        self.c1, self.c2 = (np.repeat(np.linspace(0.05, 0.75, _LEVELS, dtype=np.float32), lanes) for _ in range(2))
-        self.w0, self.w1, self.w2 = (np.full(lanes, x, np.float32) for x in (0.4, 0.3, 0.3))
+        self.zero, self.n, n = zero, lanes, len(zero.ids)
+        # What a context is hashed by and what tables hold, by place: eight times (place plus one), to which the level is added.
+        self.hash = ((np.arange(1, n + 1, dtype=np.uint64) * _M) >> np.uint64(64 - _BITS)).view(np.int64)
+        self.entry = np.arange(1, n + 1, dtype=np.int32) << np.int32(3)
+        self.base, self.table = np.arange(2 * lanes) << _BITS, np.zeros(2 * lanes << _BITS, np.int32)
+        self.context, self.before = np.zeros(2 * lanes, np.int64), np.zeros(lanes, np.int64)
+        # Weights of both orders, by level of order 2, level of order 1 and block.
+        two, one = np.repeat(_FIRST, _LEVELS), np.tile(_FIRST, _LEVELS)
+        self.weights = np.repeat((np.concatenate((two, (1 - two) * one)) * _FULL).astype(np.int32), lanes)
+        self.lane, self.at = np.arange(lanes), np.empty(2 * lanes, np.int64)
 
     def predict(self) -> None:
-        """Predicted places plus one (a1, a2), and the shares f2, f1 and f0 of the orders out of 4096."""
-        h = (self.prev * _M1) & _LOW32
-        self.i1 = self.base1 + (h >> np.int64(32 - _BITS1))
-        self.i2 = self.base2 + ((((h ^ self.before) * _M2) & _LOW32) >> np.int64(32 - _BITS2))
-        self.before = h >> np.int64(3)
-        v1, v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.a1, self.a2 = v1 >> 3, v2 >> 3
-        self.l1, self.l2 = v1 & 7, v2 & 7
-        self.r1, self.r2 = self.l1 * np.int64(self.n) + self.at, self.l2 * np.int64(self.n) + self.at
-        self.q1, self.q2 = self.c1.take(self.r1), self.c2.take(self.r2)
-        self.f2 = (self.w2 * self.q2 * np.float32(4000.0)).astype(np.int64) + 1
-        self.f21 = (self.w1 * self.q1 * np.float32(4000.0)).astype(np.int64) + 1 + self.f2
+        """What both orders predict (``old``: an entry and its level), and the shares f2, f1 and f0 of the orders out of 4096."""
+        n = self.n
+        self.slot = self.base + self.context
+        self.old = self.table.take(self.slot)
+        self.level = self.old & np.int32(7)
+        row = self.at[:n]
+        np.multiply((self.level[:n] << np.int32(3)) + self.level[n:], np.int64(n), out=row)
+        row += self.lane
+        np.add(row, _LEVELS * _LEVELS * n, out=self.at[n:])
+        self.weight = self.weights.take(self.at)
+        f = ((self.weight >> np.int32(3)) + np.int32(1)).astype(np.int64)
+        self.f2, self.f1 = f[:n], f[n:]
+        self.f21 = self.f2 + self.f1
         self.f0 = (1 << _SHARES) - self.f21
 
-    def span(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the places ``x`` out of 2^(12 + bits of order 0)."""
-        bits, z = np.int64(self.zero.bits), self.zero
-        hit = hit2 | hit1
-        # Where both orders predict the same id, their shares lie side by side.
-        first = np.where(hit2, 0, np.where(hit1, self.f2, self.f21)) << bits
-        last = np.where(hit1, self.f21, self.f2)
-        start = np.where(hit, first, first + z.cum.take(x) * self.f0)
-        return start, np.where(hit, (last << bits) - first, z.freq.take(x) * self.f0)
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Learn the place that each block had."""
-        p0, q1, q2 = self.zero.p.take(x), self.q1, self.q2
-        w0, w1, w2 = self.w0 * p0, self.w1 * (q1 * hit1 + (1 - q1) * p0), self.w2 * (q2 * hit2 + (1 - q2) * p0)
-        scale = np.float32(0.97) / (w0 + w1 + w2)
-        self.w0, self.w1, self.w2 = (w * scale + np.float32(0.01) for w in (w0, w1, w2))
-        self.c1[self.r1] = q1 + (hit1 - q1) * np.float32(0.03)
-        self.c2[self.r2] = q2 + (hit2 - q2) * np.float32(0.03)
-        v = (x.astype(np.int32) + np.int32(1)) << np.int32(3)
-        self.t1[self.i1] = v + np.where(hit1, np.minimum(self.l1 + 1, 7), 1).astype(np.int32)
-        self.t2[self.i2] = v + np.where(hit2, np.minimum(self.l2 + 1, 7), 1).astype(np.int32)
-        self.prev = x + 1
-
-
-_SETTLED, _SMALL, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
-
-
-def _settle(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Blocks whose first 16 bits are settled, or whose width has become too small and is cut to the next boundary."""
-    settled = (low ^ (low + width)) < _SETTLED
-    small = width < _SMALL
-    small &= ~settled
-    if small.any():
-        width[small] = (~low[small] + np.uint64(1)) & (_SMALL - np.uint64(1))
-        settled |= small
-    return np.flatnonzero(settled)
+    def learn(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the places ``x`` out of 2^(12 + bits of order 0), as predicted; then learns that each block had its place."""
+        n, z = self.n, self.zero
+        new = self.entry.take(x)
+        hit = (self.old.reshape(2, n) ^ new).view(np.uint32) < 8
+        start, width = z.cum.take(x) * self.f0, z.freq.take(x) * self.f0
+        start += self.f21 << z.bits
+        i = np.flatnonzero(hit[0] | hit[1])
+        second, f2 = hit[0].take(i), self.f2.take(i)
+        start[i] = np.where(second, 0, f2) << z.bits
+        width[i] = np.where(second, f2, self.f1.take(i)) << z.bits
+        # A prediction that held rises by a level, one that did not makes way for the place.
+        held = hit.astype(np.int32)
+        level = self.level.reshape(2, n) * held
+        level += np.int32(1)
+        np.minimum(level, np.int32(7), out=level)
+        level += new
+        self.table[self.slot] = level.ravel()
+        # Order 1 counts where order 2 did not predict the place.
+        held[1] -= held[0] & held[1]
+        held *= np.int32(_FULL)
+        weight = self.weight.reshape(2, n)
+        held -= weight
+        held >>= np.int32(_RATE)
+        held += weight
+        self.weights[self.at] = held.ravel()
+        g = self.hash.take(x)
+        np.bitwise_xor(g, self.before, out=self.context[:n])
+        self.context[n:] = g
+        self.before = g >> 4
+        return start.view(np.uint64), width.view(np.uint64)
+
+
+class _Words:
+    """Coded words: their type, bits, the least width that needs none, and the words of a block of so many ids at most."""
+
+    def __init__(self, zero: Zero, length: int = 0):
+        wide = zero.bits + _SHARES <= 32
+        self.type, self.room = ("<u4", length + 4) if wide else ("<u2", 4 * length + 8)
+        self.bits = np.uint64(32 if wide else 16)
+        self.top = np.uint64(64) - self.bits
+        self.least = np.uint64(1 << int(self.top))
+
+
+def _carry(out: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the number that ends before each of the places."""
+    while len(at):
+        at = at - 1
+        out[at] += out.dtype.type(1)
+        at = at[out.take(at) == 0]
 
 
 def _grid(n: int) -> tuple[int, int]:
@@ -163,77 +180,70 @@ def code_blocks(zero: Zero, places: np.ndarray) -> list[bytes]:
     grid = np.zeros(lanes * length, np.int32)
     grid[: len(places)] = places
     grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
-    m, bits = Model(zero, lanes), np.uint64(zero.bits + _SHARES)
+    m, bits, w = Model(zero, lanes), np.uint64(zero.bits + _SHARES), _Words(zero, length)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    room = 3 * length + 8
-    out, at = np.zeros(lanes * room, "<u2"), np.arange(lanes) * room
+    out, at = np.zeros(lanes * w.room, w.type), np.arange(lanes) * w.room
     first = at.copy()
     for row in grid:
-        x = row.astype(np.int64)
         m.predict()
-        hit2, hit1 = m.a2 == x + 1, m.a1 == x + 1
-        start, freq = m.span(x, hit2, hit1)
-        r = width >> bits
-        low += r * start.view(np.uint64)
-        np.multiply(r, freq.view(np.uint64), out=width)
-        i = _settle(low, width)
+        start, share = m.learn(row.astype(np.int64))
+        width >>= bits
+        start *= width
+        width *= share
+        low += start
+        _carry(out, at[low < start])
+        i = np.flatnonzero(width < w.least)
         while len(i):
-            v = low[i]
-            out[at[i]] = v >> np.uint64(48)
-            at[i] += 1
-            v, w = v << _WORD, width[i] << _WORD
-            more = _settle(v, w)
-            low[i], width[i] = v, w
-            i = i[more]
-        m.update(x, hit2, hit1)
-    for _ in range(4):
-        out[at] = low >> np.uint64(48)
-        at += 1
-        low = low << _WORD
+            v, j, now = low.take(i), at.take(i), width.take(i) << w.bits
+            out[j] = v >> w.top
+            at[i], low[i], width[i] = j + 1, v << w.bits, now
+            i = i[now < w.least]
+    # One more word names a number within the last range; what follows it is read as zeros.
+    end = low + (w.least - np.uint64(1))
+    _carry(out, at[end < low])
+    out[at] = end >> w.top
+    at += 1
     return [out[a:b].tobytes() for a, b in zip(first.tolist(), at.tolist(), strict=True)]
 
 
 def decode_blocks(zero: Zero, blocks: list[bytes], n: int) -> np.ndarray:
     """Places of ``n`` ids from blocks coded by ``code_blocks``."""
     lanes, length = len(blocks), _grid(n)[1]
-    room = max(map(len, blocks)) // 2 + 8
-    code = np.zeros((lanes, room), "<u2")
+    m, bits, low0, w = Model(zero, lanes), np.uint64(zero.bits + _SHARES), np.int64(zero.bits), _Words(zero)
+    size = np.dtype(w.type).itemsize
+    room = max(map(len, blocks)) // size + 8
+    words = np.zeros((lanes, room), w.type)
     for i, b in enumerate(blocks):
-        code[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    code, last = code.ravel().astype(np.uint64), np.arange(lanes) * room + room - 1
-    at = np.arange(lanes) * room
-    m, bits, low0 = Model(zero, lanes), np.uint64(zero.bits + _SHARES), np.int64(zero.bits)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    value = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        value = (value << _WORD) | code.take(at)
+        words[i, : len(b) // size] = np.frombuffer(b, w.type)
+    words, at = words.ravel(), np.arange(lanes) * room
+    last = at + room - 1
+    width, code = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(lanes, np.uint64)
+    for _ in range(8 // size):
+        code = (code << w.bits) | words.take(at)
         at += 1
     grid, top = np.zeros((length, lanes), np.int32), (1 << zero.bits) - 1
     for step in range(length):
         m.predict()
-        r = width >> bits
-        v = ((value - low) // r).view(np.int64)
-        share = v >> low0
-        by2, by1 = share < m.f2, share < m.f21
-        x = np.where(by2, m.a2, m.a1) - 1
-        other = np.flatnonzero(~by1)
-        rest = (v[other] - (m.f21[other] << low0)) // m.f0[other]
-        x[other] = zero.places(np.clip(rest, 0, top))
+        width >>= bits
+        v = (code // width).view(np.int64)
+        # Whole numbers below 2^53, so the quotient is never rounded over a whole number.
+        rest = ((v - (m.f21 << low0)) / m.f0).astype(np.int64)
+        x = zero.places(np.clip(rest, 0, top, out=rest)).astype(np.int64, copy=False)
+        share, held = v >> low0, (m.old >> np.int32(3)) - np.int32(1)
+        np.copyto(x, held[lanes:], where=share < m.f21)
+        np.copyto(x, held[:lanes], where=share < m.f2)
         np.maximum(x, 0, out=x)  # only damage that the checksum missed could ask for an empty context
         grid[step] = x
-        hit2, hit1 = m.a2 == x + 1, m.a1 == x + 1
-        start, freq = m.span(x, hit2, hit1)
-        low += r * start.view(np.uint64)
-        np.multiply(r, freq.view(np.uint64), out=width)
-        i = _settle(low, width)
+        start, share = m.learn(x)
+        start *= width
+        code -= start
+        width *= share
+        i = np.flatnonzero(width < w.least)
         while len(i):
-            value[i] = (value[i] << _WORD) | code.take(np.minimum(at[i], last[i]))
-            at[i] += 1
-            a, w = low[i] << _WORD, width[i] << _WORD
-            more = _settle(a, w)
-            low[i], width[i] = a, w
-            i = i[more]
-        m.update(x, hit2, hit1)
+            j, now = at.take(i), width.take(i) << w.bits
+            code[i] = (code.take(i) << w.bits) | words.take(np.minimum(j, last.take(i)))
+            at[i], width[i] = j + 1, now
+            i = i[now < w.least]
     return grid.T.reshape(-1)[:n]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import regex
@@ -18,6 +18,9 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Control characters on which engines differ about white space.
 _DISPUTED = re.compile(r"[\x1c-\x1f\x85]")
+#: Words that are one piece by the pattern: letters in every version of Unicode, after one space at most.
+_WORD = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af]+")
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: From a byte to the letter that stands for it in the vocabulary.
 _LETTERS = dict(enumerate(byte_letters()))
 
@@ -70,8 +73,10 @@ class WordEncoder:
     """Ids of texts, as the library gives them for the whole text without adding special tokens.
 
     The library cuts a text by a published pattern and merges within the pieces alone.  A space or a line break begins
-    a piece, unless it stands in a longer run of white space; so a text is cut before each of them, and each
+    a piece, unless it stands in a longer run of white space, and no piece holds a punctuation mark after a letter or digit; so a text
+    is cut before each of them (before marks in ASCII only), and each
     distinct stretch is given to the library once per worker, up to a bound; arrays hold the ids of each number.
+    No list of ids is kept: many of them would make Python's garbage collector walk them again and again.
     Texts with longer runs, or other white space at a cut, are cut by the pattern itself, and
     those that hold a special token's string, or characters on which engines disagree, go to the library whole.
     """
@@ -86,6 +91,10 @@ class WordEncoder:
             raise ValueError("special tokens with white space are not supported")
         self.model, self.pieces = self.library.model, {}
         self.bound, self.longest = bound, longest
+        # Kinds of bytes: 1 letters and digits, 2 marks before which a text is cut if one of those comes before, 4 spaces and line breaks.
+        # A mark at which a special token's string would be cut is left out.
+        inside = {b for s in self.special for a, b in pairwise(s.encode()) if a in _ALNUM}
+        self.kind = np.array([1 if b in _ALNUM else 4 if b in (10, 32) else 2 if 32 < b < 127 and b not in inside else 0 for b in range(256)], np.uint8)
         self.known, self.kept = Stretches(bound), 0
         # Ids of number n: ids[start[n] : start[n + 1]]; where plain is false, its text cannot be cut at spaces.  Arrays with room to grow.
         self.n, self.start, self.plain, self.ids = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), np.zeros(1 << 14, np.uint32)
@@ -98,7 +107,7 @@ class WordEncoder:
         for p in PATTERN.findall(text):
             known = self.pieces.get(p)
             if known is None:
-                known = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]
+                known = tuple(t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS)))
                 if len(self.pieces) < 200_000 and len(p) <= self.longest:
                     self.pieces[p] = known
             ids += known
@@ -106,18 +115,20 @@ class WordEncoder:
 
     def learn(self, found: list[bytes]) -> np.ndarray:
         """Numbers of new stretches, whose ids the arrays hold from now on."""
-        tokenize, parts, plain = self.model.tokenize, [], []
-        for raw in found:
+        tokenize, word, flat = self.model.tokenize, _WORD.fullmatch, []
+        plain, ends = np.ones(len(found), bool), np.empty(len(found), np.int64)
+        for i, raw in enumerate(found):
             text = raw.decode()
-            inner = text[1:] if raw[0] in (32, 10) else text
-            if raw[0] == 32 and inner.isascii() and inner.isalpha():
-                parts.append([t.id for t in tokenize("Ġ" + inner)])
-                plain.append(True)
-                continue
-            plain.append(not inner or not (inner[0].isspace() or inner[-1].isspace() or any(s in text for s in self.special)))
-            parts.append(self.encode_text(text) if plain[-1] else [])
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        more = np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))
+            if word(text):
+                letters = text if text.isascii() else raw.decode("latin-1").translate(_LETTERS)
+                flat += [t.id for t in tokenize("Ġ" + letters[1:] if raw[0] == 32 else letters)]
+            else:
+                inner = text[1:] if raw[0] in (32, 10) else text
+                plain[i] = not inner or not (inner[0].isspace() or inner[-1].isspace() or any(s in text for s in self.special))
+                if plain[i]:
+                    flat += self.encode_text(text)
+            ends[i] = len(flat)
+        more = np.array(flat, np.uint32)
         first, end = self.n, self.n + len(found)
         if end + 1 > len(self.plain):
             self.start, self.plain = (np.concatenate((x, np.zeros(max(len(x), end + 1), x.dtype))) for x in (self.start, self.plain))
@@ -125,7 +136,7 @@ class WordEncoder:
         if at + len(more) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(more)), np.uint32)))
         self.ids[at : at + len(more)] = more
-        self.start[first + 1 : end + 1] = at + np.cumsum(lengths)
+        self.start[first + 1 : end + 1] = at + ends
         self.plain[first:end] = plain
         self.n = end
         return np.arange(first, end)
@@ -138,8 +149,10 @@ class WordEncoder:
         data, total = np.frombuffer(joined, np.uint8), len(joined) - 16
         ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
         begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-        cut = (data[:total] == 32) | (data[:total] == 10)
-        gap = cut.copy()
+        kind = self.kind.take(data[:total])
+        gap = kind == 4
+        cut = gap.copy()
+        cut[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
         cut[begins[begins < ends]] = True
         start = np.flatnonzero(cut)
         size = np.diff(start, append=total)

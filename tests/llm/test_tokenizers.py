@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import zlib
 
 import numpy as np
@@ -64,6 +65,37 @@ def test_encoding_by_pieces_is_the_librarys(byte_library):
             assert np.frombuffer(ids, "<u4").tolist() == byte_library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_encoded_once_whatever_mark_follows(byte_library):
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    e = tokens.WordEncoder(tokens.default_vocabulary())
+    e.model = Counted(e.model)
+    texts = ["".join(f" {w}{i % 10 * 'x'}{mark}" for i in range(20) for w in ("thha", "née")) for mark in ("", ",", ".", "!!", '"', ")")]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == byte_library.encode(text, add_special_tokens=False).ids
+    # Twenty words, five marks; a word that ends in a letter beyond ASCII keeps its mark in one stretch (née itself, five times).
+    assert e.model.calls <= 20 + 5 + 5 and e.kept <= 20 + 5 + 5
+    assert not any(isinstance(x, list) for x in e.pieces.values())
+
+
+def test_cuts_before_marks_are_the_librarys(byte_library):
+    r = random.Random(7)
+    parts = ["a", "don", "'t", "'s", "'re", "'", " ", "  ", "\n", "\t", "\r", ".", ",", "!!", "***", "<|endoftext|>", "endoftext", "<|", "|>", "<", "é", "日本", "½", "3", "\x1c", "\x85", "\xa0", "…", "\u0301", "😀", " The", "_", "-", "$5", "ſ", "x.y", "A1", "ß,", "\x00", "ʰ"]
+    texts = ["".join(r.choices(parts, k=r.randrange(1, 25))) for _ in range(2000)]
+    for e in (tokens.WordEncoder(tokens.default_vocabulary()), tokens.WordEncoder(tokens.default_vocabulary(), bound=20)):
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            want = [byte_library.encode(t, add_special_tokens=False).ids for t in some]
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(some)] == want
+            assert e.count(some) == [len(x) for x in want]
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 7, coder.BLOCK - 1, coder.BLOCK, coder.BLOCK + 1, 9 * coder.BLOCK + 5):
@@ -71,10 +103,24 @@ def test_coder_round_trip():
             ids = ids.astype(np.uint32)
             names, got_lengths, got = coder.unpack(coder.pack([5, None], [0, n], ids))
             assert names == [5, None] and got_lengths.tolist() == [0, n] and (got == ids).all()
+    # So many distinct ids that words of 16 bits are written instead of 32.
+    many = np.concatenate([np.arange(300_000), r.integers(0, 1 << 31, 5000)]).astype(np.uint32)
+    assert (coder.unpack(coder.pack([1], [len(many)], many))[2] == many).all()
     repeated = np.tile(r.integers(0, 50_000, 64), 256).astype(np.uint32)
     assert len(coder.pack([1], [len(repeated)], repeated)) < len(repeated) / 4
 
 
+def test_carries_and_ends_of_blocks():
+    for kind in ("<u4", "<u2"):
+        most = np.iinfo(kind).max
+        out = np.array([5, most, most, 7, 0, 8], kind)
+        coder._carry(out, np.array([3, 5]))
+        assert out.tolist() == [6, 0, 0, 7, 1, 8]
+    # Ids that cost nothing leave one word of four bytes in a block.
+    zero, places = coder.Zero.of(np.zeros(3, np.uint32))
+    assert len(coder.code_blocks(zero, places)[0]) == 4
+
+
 def test_damage_is_found():
     ids = np.arange(5000, dtype=np.uint32)
     p = bytearray(coder.pack([1], [5000], ids))
