@@ -95,6 +95,8 @@ class WordEncoder:
         # A mark at which a special token's string would be cut is left out.
         inside = {b for s in self.special for a, b in pairwise(s.encode()) if a in _ALNUM}
         self.kind = np.array([1 if b in _ALNUM else 4 if b in (10, 32) else 2 if 32 < b < 127 and b not in inside else 0 for b in range(256)], np.uint8)
+        # A special token of letters alone may stand within a word, so that no word is taken for one piece.
+        self.word = re.compile(r"(?!)").fullmatch if any(_WORD.fullmatch(s) for s in self.special) else _WORD.fullmatch
         self.known, self.kept = Stretches(bound), 0
         # Ids of number n: ids[start[n] : start[n + 1]]; where plain is false, its text cannot be cut at spaces.  Arrays with room to grow.
         self.n, self.start, self.plain, self.ids = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), np.zeros(1 << 14, np.uint32)
@@ -115,7 +117,7 @@ class WordEncoder:
 
     def learn(self, found: list[bytes]) -> np.ndarray:
         """Numbers of new stretches, whose ids the arrays hold from now on."""
-        tokenize, word, flat = self.model.tokenize, _WORD.fullmatch, []
+        tokenize, word, flat = self.model.tokenize, self.word, []
         plain, ends = np.ones(len(found), bool), np.empty(len(found), np.int64)
         for i, raw in enumerate(found):
             text = raw.decode()

@@ -96,6 +96,16 @@ def test_cuts_before_marks_are_the_librarys(byte_library):
             assert e.count(some) == [len(x) for x in want]
 
 
+def test_special_tokens_of_letters_or_with_marks_inside(tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    library.add_special_tokens(["EOT", "A1.b"])
+    path = str(tmp_path / "special.json")
+    library.save(path)
+    texts = ["an EOT here", "EOT", "xEOTy, EOT.", "plain, words.", " A1.b A1.c", "xA1.b!", "A1.b"]
+    for text, ids in zip(texts, tokens.WordEncoder(path).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 7, coder.BLOCK - 1, coder.BLOCK, coder.BLOCK + 1, 9 * coder.BLOCK + 5):
