@@ -139,21 +139,21 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of all n-word windows; with fewer words, of the whole sequence as one; empty without words."""
     if len(words) == 0:
         return np.empty(0, np.uint64)
-    k = min(n, len(words))
-    last = len(words) - k + 1
-    with np.errstate(over="ignore"):
-        h = np.full(last, k, np.uint64)
-        for i in range(k):
-            h = (h ^ (h >> _S)) * _M1 + words[i : i + last]
-        h = mix64(h)
+    h = window_hashes(words, min(n, len(words)))
     h.sort()
-    if last > 1:
+    if len(h) > 1:
         h = h[np.concatenate(([True], h[1:] != h[:-1]))]
     return h
 
 
-def signed(a: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(a).view(np.int64)
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k words, in order; there are k words at least."""
+    last = len(words) - k + 1
+    with np.errstate(over="ignore"):
+        h = np.full(last, k, np.uint64)
+        for i in range(k):
+            h = (h ^ (h >> _S)) * _M1 + words[i : i + last]
+        return mix64(h)
 
 
 def with_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
@@ -243,8 +243,11 @@ def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return h, head
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(signed hashes of all words of the texts in order, lower-cased in A-Z; number of words of each text); null is empty."""
+def word_hashes(texts: pa.Array, sized: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(signed hashes of all words of the texts in order, lower-cased in A-Z; number of words of each text); null is empty.
+
+    With ``sized`` a short word and one that ends in zero bytes have hashes of their own.
+    """
     raws = text_bytes(texts)
     joined = b" ".join([*raws, bytes(16)]).lower()
     data, total = np.frombuffer(joined, np.uint8), len(joined) - 16
@@ -255,6 +258,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h, _ = hashes(data, start, size)
     for i in np.flatnonzero(size > HUGE).tolist():
         h[i] = xxhash.xxh3_64_intdigest(joined[start[i] : end[i]])
+    if sized:
+        h = h + size.astype(np.uint64) * _M3
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in raws), np.int64, len(raws)))
     return h.view(np.int64), np.diff(np.searchsorted(start, ends), prepend=0)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from helpers import components, empty_table, odd_table, shingles
 
 from cytoframe.llm import jaccard
@@ -120,3 +121,70 @@ def test_graph_components(spark):
         groups.setdefault(want[node], set()).add(label)
     assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == len(groups)
     assert graph_components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_sets_of_odd_texts():
+    texts = [None, "", " \n", "a", "b\x00", "A b\x00 c", "x" * 300, "y " + "x" * 299, "éa \x0b b", "a b c d e f a b c d", "w " * 400, *(" ".join(f"q{i * j % 97}" for j in range(i)) for i in range(1, 300, 7))]
+    for n in (1, 4, 5):
+        want = [shingles(t, n) for t in texts]
+        got = []
+        for s, sizes in jaccard.sets_of(pa.array(texts, pa.string()), n):
+            got += np.split(s, np.cumsum(sizes)[:-1])
+        assert [len(x) for x in got] == [len(x) for x in want] and all((np.diff(x.astype(object)) > 0).all() for x in got)
+        for i in range(len(texts)):
+            assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for j in range(i))
+
+
+def test_linked_sets_are_plausible():
+    r = np.random.default_rng(5)
+    fresh = lambda k: r.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, k, dtype=np.uint64)
+    far = 0
+    for size in (1, 2, 5, 20, 90, 400, 600, 601, 1195, 1210, 5000):
+        for _ in range(20):
+            base = fresh(size)
+            # As different as linked sets may be: of one size, or one with all of the other.
+            lost = r.choice((0, size * 20 // 180))
+            more = r.integers(0, size // 4 + 1) if not lost else lost
+            x, y, z = np.unique(base), np.unique(np.concatenate((base[lost:], fresh(more)))), np.unique(np.concatenate((base[: size // 3], fresh(size - size // 3))))
+            sizes = np.array([len(v) for v in (x, y, z)])
+            drawn = jaccard.sketches(np.concatenate((x, y, z)), sizes).reshape(3, 2, -1).view(np.uint64)
+            a, b = np.array([0, 0]), np.array([1, 2])
+            near, other = jaccard.plausible(drawn[a], drawn[b], sizes[a], sizes[b], 80)
+            both = len(np.intersect1d(x, y))
+            assert near and 100 * both >= 80 * (len(x) + len(y) - both)
+            far += int(other and size >= 20)
+    assert far < 10
+
+
+def test_a_common_passage_joins_no_blocks(spark):
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = []
+    for i in range(300):
+        own = [f"q{r.randrange(10**7)}" for _ in range(60)]
+        rows += [(4 * i + k, " ".join([*own[: 30 + k], passage, *own[30 + k :]])) for k in range(r.choice((1, 1, 2)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = jaccard.document_nodes(docs, 4)
+    known = nodes.select("node", nodes.n_shingles.alias("size"), "sketch").dropDuplicates(["node"])
+    groups = jaccard.key_groups(jaccard.key_rows(docs, 4, 0.8)).distinct()
+    label = {x.node: x.label for x in graph_components(jaccard.block_edges(groups.join(known, "node"), 80)).collect()}
+    # Segments within the passage put most texts in groups; only pairs that may link make blocks.
+    assert groups.select("node").distinct().count() > 200
+    sizes = sorted(list(label.values()).count(v) for v in set(label.values()))
+    assert sizes and sizes[-1] <= 4
+    got = {tuple(x) for x in jaccard.jaccard_components(docs, n=4, percent=80).collect()}
+    assert got == brute(rows, 4, 80)
+
+
+def test_keys_travel_in_few_rows(spark):
+    r = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    # A row for each bucket, not for each of some 30,000 keys.
+    assert jaccard.key_rows(docs, 4, 0.85).count() <= jaccard.BUCKETS * 4
+
+
+def test_marked_documents(spark):
+    docs = spark.range(-3000, 3000).selectExpr("id AS doc_id", "'t' AS text").union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    ids = spark.range(-2990, 3000, 50).selectExpr("id AS doc_id")
+    got = [r.doc_id for r in jaccard.among(docs, ids).collect()]
+    assert len(got) == len(set(got)) and {r.doc_id for r in ids.collect()} <= set(got) and len(got) < 130
