@@ -6,10 +6,11 @@ A pixel table is (image_id, r, c, v); pixels that it lacks are background.  ``sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,55 +177,96 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(dy, int((radius * radius - dy * dy) ** 0.5)) for dy in range(-radius, radius + 1)]
 
 
-def dilated(labelled: DataFrame, shapes: DataFrame, radius: int) -> DataFrame:
-    """(image_id, label, r, c): pixels within ``radius`` of a cell's own, inside its frame; one row per cell and pixel."""
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in disk(radius)))
-    p = labelled.join(shapes, "image_id").withColumn("o", F.explode(offsets))
-    p = p.withColumns({"r": F.col("r") + F.col("o.dy"), "c0": F.greatest(F.col("c0") - F.col("o.w"), F.lit(0)), "c1": F.least(F.col("c1") + F.col("o.w"), F.col("width") - 1)})
-    return pixels_of(p.where("r >= 0 and r < height").select("image_id", "label", "r", "c0", "c1")).distinct()
-
-
-def eroded(labelled: DataFrame, shapes: DataFrame, radius: int) -> DataFrame:
-    """(image_id, label, r, c): a cell's pixels all of whose neighbours within ``radius`` are its own; what lies outside the frame does not count.
-
-    Every pixel votes for those around it, and a pixel stays that gets all the votes that its place in the frame allows.
-    """
-    own = pixels_of(labelled.select("image_id", "label", "r", "c0", "c1"))
-    if radius <= 0:
-        return own
-    around = [(dy, dx) for dy, w in disk(radius) for dx in range(-w, w + 1)]
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around))
-    to = own.withColumn("o", F.explode(offsets)).select("image_id", "label", (F.col("r") + F.col("o.dy")).alias("r"), (F.col("c") + F.col("o.dx")).alias("c"), ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("self"))
-    votes = to.groupBy("image_id", "label", "r", "c").agg(F.count("*").alias("n"), F.max("self").alias("self")).where("self").join(shapes, "image_id")
-    inside: Column = F.size(F.filter(offsets, lambda o: (F.col("r") + o["dy"]).between(0, F.col("height") - 1) & (F.col("c") + o["dx"]).between(0, F.col("width") - 1)))
-    return votes.where(F.col("n") == inside).select("image_id", "label", "r", "c")
+def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Which pixels lie within ``radius`` of the mask's."""
+    h, w = mask.shape
+    out = np.zeros((h, w), bool)
+    before = np.zeros((h, w + 1), np.int64)
+    np.cumsum(mask, axis=1, out=before[:, 1:])
+    for dy, half in disk(radius):
+        if abs(dy) < h:
+            near = before[:, np.minimum(np.arange(w) + half + 1, w)] > before[:, np.maximum(np.arange(w) - half, 0)]
+            out[max(dy, 0) : h + min(dy, 0)] |= near[max(-dy, 0) : h - max(dy, 0)]
+    return out
+
+
+def measured_cells(label: np.ndarray, values: np.ndarray, known: np.ndarray, saturation: float, erosion_px: int, annulus_px: int) -> Iterator[tuple]:
+    """The cells of one frame, as ``extract_cells`` has them: ``label`` is -1 outside cells, ``values`` the four channels, ``known`` which pixels have a row in them."""
+    r, c = np.nonzero(label >= 0)
+    order = np.argsort(label[r, c], kind="stable")
+    r, c = r[order], c[order]
+    names, start = np.unique(label[r, c], return_index=True)
+    reach = erosion_px + annulus_px + 1
+    for name, at, end in zip(names.tolist(), start.tolist(), np.append(start, len(r))[1:].tolist(), strict=True):
+        rows, columns = r[at:end], c[at:end]
+        part = np.s_[max(rows.min() - reach, 0) : rows.max() + reach + 1, max(columns.min() - reach, 0) : columns.max() + reach + 1]
+        own, there = label[part] == name, known[part]
+        green, red, raw_green, raw_red = (x[part] for x in values)
+        if not (seen := own & there).any():
+            continue
+        inner = own & ~dilated(~own, erosion_px) if erosion_px > 0 else own
+        used = kept if (kept := inner & there).any() else seen
+        ring = dilated(own, erosion_px + annulus_px) & ~dilated(own, erosion_px) & (label[part] < 0) & there
+        n = int(ring.sum())
+        lifted, background = [], []
+        for x in (green, red):
+            b = _or_none(np.median, x[ring])
+            v = x[used]
+            # A pixel without a value is one of no light once a background is taken off.
+            lifted.append(v if b is None else np.fmax(v - b, 0.0))
+            background.append(b or 0.0)
+        over = bool(((raw_green[seen] >= saturation) | (raw_red[seen] >= saturation)).any())
+        yield name, *(_or_none(np.mean, x[used]) for x in (raw_green, raw_red)), *(_or_none(np.mean, x) for x in lifted), *(_or_none(np.sum, x) for x in lifted), over, *background, n
+
+
+def _or_none(of: Callable[[np.ndarray], float], x: np.ndarray) -> float | None:
+    x = x[~np.isnan(x)]
+    return float(of(x)) if len(x) else None
+
+
+CHANNELS = ("green", "red", "raw_green", "raw_red")
+#: Pixels of frames that Python gets at once, if frames are no larger.
+PIXELS = 1 << 20
 
 
 def extract_cells(labelled: DataFrame, shapes: DataFrame, channels: DataFrame, *, saturation: float = 255.0, erosion_px: int = 1, annulus_px: int = 3) -> DataFrame:
     """One row per cell: (image_id, cell_id, area_px, edge_flag, raw_mean_*, local_background_*, corrected_mean_*, integrated_*, sat_flag, n_annulus).
 
-    ``channels`` is (image_id, r, c, green, red, raw_green, raw_red) over whole frames.  Intensities are taken over the cell's eroded pixels, or over all
+    ``channels`` is (image_id, r, c, green, red, raw_green, raw_red) over whole frames, a row for each pixel.  Intensities are taken over the cell's eroded pixels, or over all
     where erosion leaves none.  The local background is the median of the ring between the cell dilated by ``erosion_px`` and by
     ``annulus_px`` more, without any cell's pixels; it is taken off and what falls below 0 is 0.  A cell without a ring keeps its
     intensities.  A cell is saturated if any of its pixels is, in either raw channel.
+
+    A frame's pixels and its cells' runs are a row of arrays each, shuffled once and measured frame by frame; dilated and eroded pixels are never rows.
     """
-    own = pixels_of(labelled.select("image_id", "label", "r", "c0", "c1"))
-    inner = eroded(labelled, shapes, erosion_px).withColumn("kept", F.lit(True))
-    ring = dilated(labelled, shapes, erosion_px + annulus_px).join(dilated(labelled, shapes, erosion_px), ["image_id", "label", "r", "c"], "left_anti")
-    ring = ring.join(own.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_anti")
-    back = ring.join(channels, ["image_id", "r", "c"]).groupBy("image_id", "label").agg(E.median("green").alias("bg"), E.median("red").alias("br"), F.count("*").alias("n_annulus"))
-    px = own.join(inner, ["image_id", "label", "r", "c"], "left").join(channels, ["image_id", "r", "c"])
-    any_kept = px.groupBy("image_id", "label").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"))
-    px = px.join(any_kept, ["image_id", "label"]).join(back, ["image_id", "label"], "left")
-    measured = F.coalesce("kept", F.lit(False)) | ~F.col("any_kept")
-    lifted = lambda v, b: F.when(F.col(b).isNull(), F.col(v)).otherwise(F.greatest(F.col(v) - F.col(b), F.lit(0.0)))
-    over = lambda c: F.when(measured, c)
-    cells = px.groupBy("image_id", "label").agg(
-        F.avg(over(F.col("raw_green"))).alias("raw_mean_green"), F.avg(over(F.col("raw_red"))).alias("raw_mean_red"),
-        F.avg(over(lifted("green", "bg"))).alias("corrected_mean_green"), F.avg(over(lifted("red", "br"))).alias("corrected_mean_red"),
-        F.sum(over(lifted("green", "bg"))).alias("integrated_green"), F.sum(over(lifted("red", "br"))).alias("integrated_red"),
-        F.max((F.col("raw_green") >= saturation) | (F.col("raw_red") >= saturation)).alias("sat_flag"),
-        F.coalesce(F.max("bg"), F.lit(0.0)).alias("local_background_green"), F.coalesce(F.max("br"), F.lit(0.0)).alias("local_background_red"),
-        F.coalesce(F.max("n_annulus"), F.lit(0)).alias("n_annulus"),
-    )
+    pixel = F.struct(*(F.col(c).cast("int").alias(c) for c in ("r", "c")), *(F.col(c).cast("double").alias(c) for c in CHANNELS))
+    run = F.struct(*(F.col(c).cast("long").alias(c) for c in ("r", "c0", "c1", "label")))
+    size = shapes.select("image_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))
+    runs = labelled.groupBy("image_id").agg(F.collect_list(run).alias("x")).join(size, "image_id")
+    pixels = channels.groupBy("image_id").agg(F.collect_list(pixel).alias("p"))
+    frames = runs.join(pixels, "image_id").select("image_id", "height", "width", "x", "p")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, (h, w) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                x, p = (b.column(k).slice(i, 1).flatten().flatten() for k in (3, 4))
+                x, p = [v.to_numpy(zero_copy_only=False) for v in x], [v.to_numpy(zero_copy_only=False) for v in p]
+                label, known, values = np.full((h, w), -1), np.zeros((h, w), bool), np.full((len(CHANNELS), h, w), np.nan)
+                for r, c0, c1, name in zip(*(v.tolist() for v in x), strict=True):
+                    label[r, c0 : c1 + 1] = name
+                inside = (p[0] >= 0) & (p[0] < h) & (p[1] >= 0) & (p[1] < w)
+                known[p[0][inside], p[1][inside]] = True
+                values[:, p[0][inside], p[1][inside]] = [v[inside] for v in p[2:]]
+                out += [(i, *cell) for cell in measured_cells(label, values, known, saturation, erosion_px, annulus_px)]
+            columns = list(zip(*out, strict=True)) or [()] * (len(fields) + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int32())), *(pa.array(v, t) for v, (_, t) in zip(columns[1:], fields, strict=True))], names=["image_id", *(k for k, _ in fields)])
+
+    means = ("raw_mean_green", "raw_mean_red", "corrected_mean_green", "corrected_mean_red", "integrated_green", "integrated_red")
+    backgrounds = ("local_background_green", "local_background_red")
+    fields = [("label", pa.int64()), *((k, pa.float64()) for k in means), ("sat_flag", pa.bool_()), *((k, pa.float64()) for k in backgrounds), ("n_annulus", pa.int64())]
+    spark_types = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
+    schema = ", ".join([f"image_id {dict(labelled.dtypes)['image_id']}", *(f"{k} {spark_types[t]}" for k, t in fields)])
+    largest = shapes.agg(F.max(F.col("height") * F.col("width"))).first()[0] or 1
+    cells = staged(frames.mapInArrow(measure, schema), "measured", max(1, PIXELS // largest))
     return cells.join(sizes(labelled, shapes), ["image_id", "label"]).withColumnRenamed("label", "cell_id")

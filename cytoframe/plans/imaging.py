@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +36,24 @@ OBJECTIVES = ("10X", "20X", "40X", "100X")
 
 def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(pixels of all channels over whole frames, shapes)."""
-    lit = staged(spark.sql(LIT.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")), "lit")
-    shapes = lit.select("image_id").distinct().withColumns({"height": F.lit(HEIGHT).cast("long"), "width": F.lit(WIDTH).cast("long")})
-    grid = shapes.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("r"), "width").select("image_id", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("c"))
-    names = ("green", "red", "raw_green", "raw_red")
-    px = grid.join(lit, ["image_id", "r", "c"], "left").select("image_id", "r", "c", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
-    return staged(px, "frames"), staged(shapes, "shapes")
+    lit = spark.sql(LIT.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    inside = F.col("r").between(0, HEIGHT - 1) & F.col("c").between(0, WIDTH - 1)
+    pixel = F.struct((F.col("r") * WIDTH + F.col("c")).cast("int").alias("at"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in segment.CHANNELS))
+    # A frame is a row of its lit pixels, which are laid out over all of its places where they are.
+    rows = lit.groupBy("image_id").agg(F.collect_list(F.when(inside, pixel)).alias("x"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, c = (x.ravel() for x in np.indices((HEIGHT, WIDTH)))
+        for b in batches:
+            for i in range(b.num_rows):
+                at, *lights = (v.to_numpy(zero_copy_only=False) for v in b.column(1).slice(i, 1).flatten().flatten())
+                values = np.zeros((len(segment.CHANNELS), HEIGHT * WIDTH))
+                values[:, at] = lights
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(HEIGHT * WIDTH, i))), pa.array(r), pa.array(c), *map(pa.array, values)], names=["image_id", "r", "c", *segment.CHANNELS])
+
+    px = staged(rows.mapInArrow(whole, "image_id string, r long, c long, " + ", ".join(f"{n} double" for n in segment.CHANNELS)), "frames")
+    shapes = px.where("r = 0 and c = 0").select("image_id", F.lit(HEIGHT).cast("long").alias("height"), F.lit(WIDTH).cast("long").alias("width"))
+    return px, staged(shapes, "shapes")
 
 
 def cells_of(px: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -25,8 +25,19 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written and read back: computed once, lineage cut."""
-    path = f"{work_root(df.sparkSession)}/cytoframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+    """``df`` written and read back: computed once, lineage cut.  Python gets so many ``rows`` at once at most, for rows that are large."""
+    spark = df.sparkSession
+    path = f"{work_root(spark)}/cytoframe/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH, None)
+    if rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if rows:
+            spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+    return spark.read.schema(df.schema).parquet(path)

@@ -187,3 +187,34 @@ def test_cuts_take_one_array_an_image(spark):
         b = np.minimum(np.floor((v - lo) / ((hi - lo) / 256)), 255)
         score = {x: ((len(v) * b[b <= x].sum() - (b <= x).sum() * b.sum()) ** 2 / ((b <= x).sum() * (b > x).sum()) if (b > x).any() else 0.0) for x in sorted(set(b))}
         assert cuts[k] == pytest.approx(lo + (max(score, key=lambda x: (score[x], -x)) + 0.5) * (hi - lo) / 256)
+
+
+def test_extraction_makes_no_rows_of_dilated_pixels(spark):
+    a = np.zeros((12, 14))
+    a[2:6, 2:6], a[8:10, 9:13], a[11, 0:3] = 9, 9, 9
+    px, shapes = tables(spark, {"a": a})
+    lab = S.segment(px, shapes, S.otsu_cuts(px), min_size=1)
+    r = np.random.default_rng(8)
+    v = [r.integers(0, 200, a.shape).astype(float) for _ in range(4)]
+    # The last cell has no pixel in the channels, the row above it is unknown, and some values are missing.
+    ch = [("a", i, j, *(None if x is v[0] and (i, j) in ((3, 3), (1, 3)) else float(x[i, j]) for x in v)) for i in range(10) for j in range(14)]
+    channels = spark.createDataFrame(ch, "image_id string, r long, c long, green double, red double, raw_green double, raw_red double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = S.extract_cells(lab, shapes, channels)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    # What is dilated or eroded was a row for each cell, pixel and row of the disk.
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {x.cell_id: x for x in out.collect()}
+    assert set(got) == {2 * 14 + 2, 8 * 14 + 9}
+    mask, inner = a > 0, np.zeros(a.shape, bool)
+    inner[3:5, 3:5] = True
+    near = lambda k: np.array([[any((i - p) ** 2 + (j - q) ** 2 <= k * k for p in range(2, 6) for q in range(2, 6)) for j in range(14)] for i in range(12)])
+    ring = near(4) & ~near(1) & ~mask
+    ring[10:] = False
+    green = v[0].copy()
+    green[3, 3] = green[1, 3] = np.nan
+    x = got[2 * 14 + 2]
+    bg, br = np.nanmedian(green[ring]), np.median(v[1][ring])
+    assert (x.area_px, x.n_annulus, x.local_background_green, x.local_background_red) == (16, ring.sum(), bg, br)
+    assert x.integrated_green == pytest.approx(sum(max(g - bg, 0) for g in green[inner] if g == g)) and x.raw_mean_red == pytest.approx(v[3][inner].mean())
+    assert x.corrected_mean_green == pytest.approx(x.integrated_green / 4)
