@@ -492,8 +492,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: (doc_id, n_shingles, component_id); documents link when 100 * |x & y| >= percent * |x | y|.
 
     A set holds the distinct n-word shingles of the text in lower case (A-Z); with fewer words, the whole sequence as
-    one shingle.  component_id is the smallest doc_id reachable over links.  All links count; none of small sets is lost, and one of large sets with a chance under 1e-9 (``segments``)
-    to sampling or to a cap, and equal sets are handled as one.
+    one shingle.  component_id is the smallest doc_id reachable over links.  All links count; none of small sets is lost, and one of large sets with a chance under 1e-9 each in ``segments`` and ``plausible``,
+    to sampling or to a cap; equal sets are handled as one.
 
     Null, empty and blank texts have no shingles, link with nothing, and are their own component.  A row whose
     id is null takes part in no link; it gets the component of an equal set, or null.  Repeated rows give repeated
